@@ -6,14 +6,36 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from graphloom.llm import flac, packing, sentencepieces
-from graphloom.llm.sparkio import table
+from graphloom.llm import flac, htmltemplates, packing, sentencepieces, toxicity, urlrules
+from graphloom.llm.sparkio import fold, table
 
 PIECES = "piece_bpe_32k.model"
 BYTES = "byte_bpe_50k.json"
 
 
+#: Verdict, host and path of the rules that come before mined ones.
+URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "labels", "doc_id", "toxic")
+    model = toxicity.learn(docs, labels, may_learn=fold("doc_id", 3) != 1)
+    return toxicity.score(docs, model, threshold=0.7).select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "score", "predicted")
+
+
+def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltemplates.extract(table(spark, sf_dir, "pages", "page_id", "url", "html"))
+
+
+def op4_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages, labels = table(spark, sf_dir, "pages", "page_id", "url"), table(spark, sf_dir, "labels", "doc_id", "quality", "toxic")
+    bad = labels.select(F.col("doc_id").alias("page_id"), ((F.coalesce("quality", F.lit(1)) == 0) | (F.coalesce("toxic", F.lit(0)) == 1)).alias("bad"))
+    rules = urlrules.mine(pages.join(bad, "page_id"))
+    return urlrules.judge(pages, rules, URL_RULES)
+
+
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     return sentencepieces.round_trip_digests(docs, public_tokenizers.path(PIECES))
@@ -29,6 +51,9 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_toxicity": op2_toxicity,
+        "op3_html": op3_html,
+        "op4_urls": op4_urls,
         "op5_sentencepiece": op5_sentencepiece,
         "op6_flac": op6_flac,
         "op7_packing": op7_packing,
