@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import flac, htmltemplates, packing, sentencepieces, toxicity, urlrules
+from graphloom.llm import flac, htmltemplates, jaccard, packing, sentencepieces, toxicity, urlrules
 from graphloom.llm.sparkio import fold, table
 
 PIECES = "piece_bpe_32k.model"
@@ -49,6 +49,10 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path(BYTES), length=2048, end_id=1)
 
 
+def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.components(table(spark, sf_dir, "documents", "doc_id", "text"), percent=80)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_toxicity": op2_toxicity,
@@ -57,6 +61,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_sentencepiece": op5_sentencepiece,
         "op6_flac": op6_flac,
         "op7_packing": op7_packing,
+        "op8_jaccard": op8_jaccard,
     }
 
 

@@ -1,28 +1,13 @@
-"""Session helpers of the operators: shared checkpoints, folds, table paths."""
+"""Session helpers of the operators: folds and table paths; materialise() writes shared checkpoints."""
 
 from __future__ import annotations
 
-import os
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-DEFAULT_CHECKPOINTS = "/tmp/checkpoints"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; one of our own only where none is set."""
-    return spark.conf.get("spark.checkpoint.dir", None) or "file://" + DEFAULT_CHECKPOINTS
-
-
-def materialise(df: DataFrame, label: str = "step") -> DataFrame:
-    """Writes df as Parquet into the shared folder and reads it again: the lineage ends here and any executor can be lost."""
-    spark = df.sparkSession
-    path = os.path.join(shared_dir(spark), f"{label}-{uuid.uuid4().hex}")
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from graphloom.session import materialise
 
+__all__ = ["fold", "materialise", "partitions", "table"]
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
