@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import flac, htmltemplates, jaccard, packing, sentencepieces, toxicity, urlrules
+from graphloom.llm import flac, htmltemplates, jaccard, packing, pivots, sentencepieces, toxicity, urlrules
 from graphloom.llm.sparkio import fold, table
 
 PIECES = "piece_bpe_32k.model"
@@ -53,6 +53,10 @@ def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.components(table(spark, sf_dir, "documents", "doc_id", "text"), percent=80)
 
 
+def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivots.top_k(table(spark, sf_dir, "embeddings", "vec_id", "embedding"), k=10, query="id % 100 = 0")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_toxicity": op2_toxicity,
@@ -62,9 +66,28 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_flac": op6_flac,
         "op7_packing": op7_packing,
         "op8_jaccard": op8_jaccard,
+        "op9_topk": op9_topk,
     }
 
 
+SQL9 = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
+         CAST(list_sum(list_transform(range(1, len(q.e) + 1), lambda i: q.e[i] * c.e[i])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id
+  WHERE q.vec_id % 100 = 0
+), r AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s
+)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
+"""
+
+
 def sql() -> dict[str, str]:
     """DuckDB SQL for the queries that SQL can express."""
-    return {}
+    return {"op9_topk": SQL9}
