@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import flac, htmltemplates, jaccard, packing, pivots, sentencepieces, toxicity, urlrules
+from graphloom.llm import flac, htmltemplates, jaccard, packing, pivots, sentencepieces, suffixdedup, toxicity, urlrules
 from graphloom.llm.sparkio import fold, table
 
 PIECES = "piece_bpe_32k.model"
@@ -57,6 +57,10 @@ def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pivots.top_k(table(spark, sf_dir, "embeddings", "vec_id", "embedding"), k=10, query="id % 100 = 0")
 
 
+def op10_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixdedup.digests(suffixdedup.repeated_spans(table(spark, sf_dir, "documents", "doc_id", "text"), width=50))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_toxicity": op2_toxicity,
@@ -67,6 +71,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_packing": op7_packing,
         "op8_jaccard": op8_jaccard,
         "op9_topk": op9_topk,
+        "op10_suffix": op10_suffix,
     }
 
 
