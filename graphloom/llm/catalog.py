@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import flac, htmltemplates, jaccard, packing, pivots, sentencepieces, suffixdedup, toxicity, urlrules
+from graphloom.llm import flac, htmltemplates, jaccard, languagemodel, packing, pivots, sentencepieces, suffixdedup, toxicity, urlrules
 from graphloom.llm.sparkio import fold, table
 
 PIECES = "piece_bpe_32k.model"
@@ -19,6 +19,10 @@ BYTES = "byte_bpe_50k.json"
 URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
 
 
+def op1_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return languagemodel.score(table(spark, sf_dir, "documents", "doc_id", "text"), folds=10)
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "labels", "doc_id", "toxic")
     model = toxicity.learn(docs, labels, may_learn=fold("doc_id", 3) != 1)
@@ -63,6 +67,7 @@ def op10_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_lm": op1_lm,
         "op2_toxicity": op2_toxicity,
         "op3_html": op3_html,
         "op4_urls": op4_urls,
