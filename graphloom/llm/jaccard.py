@@ -284,3 +284,16 @@ def _class_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             yield b.select(["class", "text"]).filter(pa.array(ok))
 
     return docs.join(wanted, "doc_id").select("class", "text").mapInArrow(right, "class long, text string")
+
+
+def representatives(df: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of df, with all their columns, that stand for their component: those of its smallest id.
+
+    Rows of a null id, and those without a shingle, stay. Of repeated rows (one id, one text) one stays.
+    """
+    found = components(df, percent, id_col, text_col)
+    chosen = found.where("doc_id = component_id").select(F.col("doc_id").alias("_kept_id")).distinct()
+    rows = df.join(chosen, df[id_col] == chosen["_kept_id"]).drop("_kept_id").unionByName(df.where(F.col(id_col).isNull()))
+    if not df.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").isEmpty():
+        rows = rows.where(F.col(id_col).isNotNull()).dropDuplicates([id_col, text_col]).unionByName(rows.where(F.col(id_col).isNull()))
+    return rows

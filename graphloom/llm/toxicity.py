@@ -212,3 +212,15 @@ def offending_sentences(df: DataFrame, model: Model, threshold: float = 0.5, id_
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.string()))], ["doc_id", "start", "end", "score", "sentence"])
 
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, start long, end long, score double, sentence string")
+
+
+def keep(df: DataFrame, model: Model, threshold: float = 0.7, text_col: str = "text") -> DataFrame:
+    """The rows of df, with all their columns, whose score is below threshold; null and empty texts stay."""
+
+    def run(batches):
+        for b in A.slices(batches, text_col, SLICE_BYTES):
+            s = Sentences(b.column(text_col))
+            p = -np.expm1(-np.bincount(s.doc, _softplus(model.logits(s)), s.n_docs))
+            yield b.filter(pa.array(p < threshold))
+
+    return df.mapInArrow(run, df.schema)
