@@ -29,7 +29,8 @@ def trends(points: DataFrame, keys: list[str], value: str, order: str = "seq", l
     recent = W.partitionBy(*keys).orderBy(F.desc(order))
     kept = points.where(F.col(value).isNotNull()).withColumn("_r", F.row_number().over(recent)).where(F.col("_r") <= lookback)
     got = kept.groupBy(*keys).agg(F.count("*").alias("n"), F.regr_slope(F.col(value).cast("double"), -F.col("_r").cast("double")).alias("slope"))
-    return got.select(*keys, F.when(F.col("n") >= 3, F.coalesce("slope", F.lit(0.0))).otherwise(0.0).alias("trend"), "n")
+    flat = F.abs("slope") < 1e-12  # what rounding leaves of a constant series
+    return got.select(*keys, F.when((F.col("n") >= 3) & ~flat, F.coalesce("slope", F.lit(0.0))).otherwise(0.0).alias("trend"), "n")
 
 
 def _sum(*terms: tuple[Column, float]) -> Column:

@@ -82,8 +82,8 @@ METRICS = """
 m AS (SELECT user_id, seq, sum(cents) / 100.0::DOUBLE / count(*) AS util, CAST(sum(bad) AS DOUBLE) / count(*) AS errors FROM (
   SELECT user_id, CAST(date_diff('day', DATE '1970-01-01', CAST(ts AS DATE)) AS INTEGER) AS seq, CAST(round(value * 100) AS BIGINT) AS cents, CASE WHEN event_type = 'error' THEN 1 ELSE 0 END AS bad FROM events) GROUP BY 1, 2),
 last10 AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY seq DESC) AS r FROM m QUALIFY r <= 10),
-trend AS (SELECT user_id, count(*) AS n, CASE WHEN count(*) >= 3 THEN coalesce(regr_slope(util, -CAST(r AS DOUBLE)), 0) ELSE 0 END AS util_trend,
-  CASE WHEN count(*) >= 3 THEN coalesce(regr_slope(errors, -CAST(r AS DOUBLE)), 0) ELSE 0 END AS error_trend FROM last10 GROUP BY 1),
+slopes AS (SELECT user_id, count(*) AS n, regr_slope(util, -CAST(r AS DOUBLE)) AS a, regr_slope(errors, -CAST(r AS DOUBLE)) AS b FROM last10 GROUP BY 1),
+trend AS (SELECT user_id, n, CASE WHEN n >= 3 AND abs(a) >= 1e-12 THEN a ELSE 0 END AS util_trend, CASE WHEN n >= 3 AND abs(b) >= 1e-12 THEN b ELSE 0 END AS error_trend FROM slopes),
 now AS (SELECT user_id, arg_max(util, seq) AS util, arg_max(errors, seq) AS errors FROM m GROUP BY 1)"""
 
 LEVEL = "CASE WHEN {p} >= 0.8 THEN 'critical' WHEN {p} >= 0.5 THEN 'high' WHEN {p} >= 0.2 THEN 'medium' ELSE 'low' END"
@@ -123,7 +123,7 @@ def _pr(rounds: int) -> str:
 SQL = {
     "degree_outliers": f"WITH {TRADE}, z AS (SELECT id, degree, (degree - (SELECT avg(degree) FROM deg)) / (SELECT stddev_pop(degree) FROM deg) AS z FROM deg) SELECT id, degree, round(z, 6) AS z, round(0.1::DOUBLE * abs(z), 6) AS score FROM z WHERE abs(z) > 2",
     "top_k_degree_subgraph": f"WITH {TRADE}, t AS (SELECT id, degree FROM deg ORDER BY degree DESC, id LIMIT 10) SELECT t.id, t.degree AS whole_degree, count(x.id) AS degree_inside FROM t LEFT JOIN arcs ON a = t.id LEFT JOIN t x ON x.id = b GROUP BY 1, 2",
-    "lww_merge": "SELECT l_partkey, l_suppkey, arg_max(l_quantity, l_orderkey * 10 + l_linenumber) AS l_quantity, arg_max(l_shipdate, l_orderkey * 10 + l_linenumber) AS l_shipdate FROM lineitem GROUP BY 1, 2",
+    "lww_merge": "SELECT l_partkey, l_suppkey, l_quantity, l_shipdate FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_partkey, l_suppkey ORDER BY l_orderkey DESC, l_linenumber DESC, l_shipdate DESC, l_quantity DESC) = 1",
     "attribute_subgraph": f"WITH {SITE}, k AS (SELECT id FROM nodes WHERE type IN ('switch', 'router')) SELECT k.id, count(x.id) AS degree FROM k LEFT JOIN arcs ON a = k.id LEFT JOIN k x ON x.id = b GROUP BY 1",
     "graph_summary": f"WITH {TRADE} SELECT count(*) AS nodes, (SELECT count(*) FROM pairs) AS edges, round(2.0::DOUBLE * (SELECT count(*) FROM pairs) / (count(*) * (count(*) - 1)), 9) AS density, round(avg(degree), 6) AS mean_degree, round(stddev_pop(degree), 6) AS std_degree FROM deg",
     "directed_neighbors": f"WITH {FLOW} SELECT src AS id, count(*) AS successors FROM e GROUP BY 1",

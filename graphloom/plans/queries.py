@@ -48,7 +48,7 @@ def top_k_degree_subgraph(spark, d):
 
 @query
 def lww_merge(spark, d):
-    l = I.table(spark, d, "lineitem").select("l_partkey", "l_suppkey", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ordinal"), "l_quantity", "l_shipdate")
+    l = I.table(spark, d, "lineitem").select("l_partkey", "l_suppkey", F.struct("l_orderkey", "l_linenumber", "l_shipdate", "l_quantity").alias("ordinal"), "l_quantity", "l_shipdate")
     return last_write_wins(l, ["l_partkey", "l_suppkey"], "ordinal")
 
 
