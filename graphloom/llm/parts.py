@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from graphloom.llm import arrays as A
 from graphloom.llm.sparkio import partitions
 
-PART_BYTES = 12_000_000
-CHUNK_BYTES = 16_000_000
+PART_BYTES = 8_000_000
+CHUNK_BYTES = 8_000_000
 PACKED = "part int, n_raw long, blob binary"
 
 

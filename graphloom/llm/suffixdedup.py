@@ -23,7 +23,7 @@ from graphloom.llm import parts as P
 from graphloom.llm.sparkio import materialise, partitions
 
 K = 16
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 1_000_000
 TEXT_BYTES = 400_000  # fragments whose suffixes are sorted together, about
 
 
