@@ -1,14 +1,17 @@
 """N-gram Jaccard join with adaptive multi-match prefixes, down to connected components.
 
-Texts become sets of word shingles. Equal sets are one class, so copies never meet each other. A sketch of fixed size
-counts shingles by bucket; each set is ordered by that count, rare ones first, and keeps a prefix: as long as a pair of
-the wanted similarity must share one shingle of it, plus one shingle for each further match asked for. How many matches
-a document asks for follows from the candidates its prefix is estimated to meet. A pair is verified, on the texts
-themselves, when it shares as many prefix shingles as the less demanding of the two asks for.
-
-Groups of near copies would make every pair of theirs a candidate. As only components are asked for, a first round
-verifies a few pairs for each set and posting, in a line and with the posting's first set; the second round counts and
-verifies every other pair of different components, so no link that matters is missed.
+Texts become sets of word shingles. Equal sets are one class, so copies never meet each other. Shingles are counted over
+all texts: documents lie in parts, each part sends its distinct shingles, as short hashes, to the parts that own them,
+and gets the counts back in the same order. Each set is ordered by count, rare shingles first, and keeps a prefix: as
+long as a pair of the wanted similarity must share one shingle of it, plus one for each further match asked for. How
+many matches a document asks for follows from the sets its prefix meets by those counts. Prefix shingles that no other
+set has are not sent on. A pair is verified, on the texts themselves, when it shares as many prefix shingles as the less
+demanding of the two asks for.
+
+Groups of near copies would make every pair of theirs a candidate. As only components are asked for, seed rounds verify
+a few pairs for each set and posting, in a line and with the posting's first set, which is one that shares most of its
+prefix (an original among its edited copies); later rounds go on with sets whose component still differs. The last
+round counts and verifies every other pair of different components, so no link that matters is missed.
 """
 
 from __future__ import annotations
@@ -19,17 +22,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm import arrays as A
+from graphloom.llm import parts as P
 from graphloom.llm.sparkio import materialise, partitions
 from graphloom.operators.components import connected_components
 
 WIDTH = 5
 #: The similarity as percent: linked when 100 * intersection >= PERCENT * union.
 PERCENT = 80
-SKETCH = 1 << 20
 MAX_MATCHES = 4
 SEEDS = 6  # pairs of the first round for each set, about, beyond those of small postings
-SLICE_BYTES = 2_000_000
-SEEN = 500_000
+ROUNDS = 4  # seed rounds at most; they end when one finds no link
+SLICE_BYTES = 1_000_000
 
 
 def _sets(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -56,77 +59,104 @@ def _classes(h: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.where(some, name, -1)
 
 
-def sketch(docs: DataFrame) -> np.ndarray:
-    """Counts of shingles by bucket over all texts: SKETCH numbers, whatever the input."""
+ASKED = "owner int, part int, n_raw long, blob binary"
+TOLD = "part int, owner int, n_raw long, blob binary"
 
-    def run(batches):
-        total = np.zeros(SKETCH, np.int64)
-        for b in A.slices(batches, "text", SLICE_BYTES):
-            h, _, _ = _sets(b.column("text"))
-            total += np.bincount((h >> A.U64(44)).astype(np.int64), minlength=SKETCH)
-        for lo in range(0, SKETCH, 1 << 14):
-            yield pa.RecordBatch.from_arrays([pa.array([lo], pa.int32()), pa.array([total[lo : lo + (1 << 14)].astype(np.int32)], pa.list_(pa.int32()))], ["at", "counts"])
 
-    # Tasks' counts are added up chunk by chunk, then sent to the driver: 4 bytes a bucket.
-    parts = docs.select("text").mapInArrow(run, "at int, counts array<int>")
+def _rows(rows: list[tuple], names: list[str]) -> pa.Table:
+    cols = list(zip(*rows)) or [()] * 4
+    return pa.table([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int32(), pa.int64(), pa.binary()))], [*names, "n_raw", "blob"])
+
+
+class _Part:
+    """The sets of a part's documents, one of each class, their distinct short hashes, and where those are owned."""
+
+    def __init__(self, rows: pa.Table, n_parts: int, bits: int):
+        texts = P.unpack_documents(rows).texts
+        hs, sizes, names = [], [], []
+        seen: set[int] = set()
+        for b in A.slices([pa.RecordBatch.from_arrays([texts], ["text"])], "text", SLICE_BYTES):
+            h, first, doc = _sets(b.column("text"))
+            name = _classes(h, first)
+            fresh = np.zeros(len(name), bool)
+            for i, k in enumerate(name.tolist()):
+                if k >= 0 and k not in seen:
+                    seen.add(k)
+                    fresh[i] = True
+            hs.append(h[fresh[doc]]), sizes.append(np.diff(first)[fresh]), names.append(name[fresh])
+        self.h, self.names = np.concatenate(hs), np.concatenate(names)
+        self.first = np.r_[0, np.cumsum(np.concatenate(sizes))]
+        self.short, self.at, self.n = np.unique(self.h >> A.U64(64 - bits), return_inverse=True, return_counts=True)
+        owner = (self.short % A.U64(n_parts)).astype(np.int32)
+        self.order = np.argsort(owner, kind="stable")
+        self.cut = np.searchsorted(owner[self.order], np.arange(n_parts + 1))
+
+
+def _ask(n_parts: int, bits: int):
+    def run(rows: pa.Table) -> pa.Table:
+        part, p, out = rows.column("part")[0].as_py(), _Part(rows, n_parts, bits), []
+        for q in range(n_parts):
+            mine = p.order[p.cut[q] : p.cut[q + 1]]
+            if len(mine):
+                step = np.diff(p.short[mine] // A.U64(n_parts), prepend=A.U64(0))
+                out.append((q, part, *P.squeeze(step.astype(np.uint32) if step.max() < 1 << 32 else step, np.minimum(p.n[mine], 65535).astype(np.uint16))))
+        return _rows(out, ["owner", "part"])
+
+    return run
 
-    def add(batches):
-        kept: dict[int, np.ndarray] = {}
-        for b in batches:
-            for at, c in zip(b.column("at").to_pylist(), b.column("counts")):
-                v = c.values.to_numpy().astype(np.int64)
-                kept[at] = kept[at] + v if at in kept else v
-        for at, v in kept.items():
-            yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([np.minimum(v, 2**31 - 1).astype(np.int32)], pa.list_(pa.int32()))], ["at", "counts"])
 
-    out = np.zeros(SKETCH, np.int32)
-    for row in parts.repartition(partitions(docs.sparkSession), "at").mapInArrow(add, "at int, counts array<int>").toArrow().to_pylist():
-        out[row["at"] : row["at"] + (1 << 14)] = row["counts"]
-    return out
+def _answer(rows: pa.Table) -> pa.Table:
+    """How many sets, a class counted once a part, have each short hash."""
+    got = [P.expand(n, z) for n, z in zip(rows.column("n_raw").to_pylist(), rows.column("blob").to_pylist())]
+    every, at = np.unique(np.concatenate([np.cumsum(k, dtype=np.uint64) for k, _ in got]), return_inverse=True)
+    total = np.minimum(np.bincount(at, np.concatenate([n for _, n in got])), 2**31 - 1).astype(np.uint32)
+    out, lo, owner = [], 0, rows.column("owner")[0].as_py()
+    for part, (k, _) in zip(rows.column("part").to_pylist(), got):
+        out.append((part, owner, *P.squeeze(total[at[lo : lo + len(k)]])))
+        lo += len(k)
+    return _rows(out, ["part", "owner"])
 
 
-def _prefixes(h: np.ndarray, first: np.ndarray, doc: np.ndarray, counts: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Prefix shingles, their texts' numbers, and each text's number of matches."""
+def _prefixes(h: np.ndarray, first: np.ndarray, counts: np.ndarray, percent: int) -> tuple[np.ndarray, ...]:
+    """Prefix shingles that other sets may have, their sets' numbers, and each set's matches and share of such shingles."""
     n = np.diff(first)
-    c = counts[(h >> A.U64(44)).astype(np.int64)].astype(np.int64)
-    order = np.lexsort((h, c, doc))
-    h, c = h[order], c[order]
+    doc = np.repeat(np.arange(len(n)), n)
+    order = np.lexsort((h, counts, doc))
+    h, c = h[order], counts[order].astype(np.int64)
     least = -(-percent * n // 100)  # shingles that a linked set shares at least
-    mean = counts.mean()
-    excess = np.r_[0.0, np.cumsum(np.maximum(c - mean - 3 * np.sqrt(mean) - 1, 0))]
+    met_by = np.r_[0, np.cumsum(c - 1)]
     best, matches = np.full(len(n), np.inf), np.ones(len(n), np.int64)
     for m in range(1, MAX_MATCHES + 1):
         size = np.minimum(n - least + m, n)
-        met = excess[first[:-1] + size] - excess[first[:-1]]  # estimated sets met beyond what chance fills a bucket with
+        met = met_by[first[:-1] + size] - met_by[first[:-1]]  # sets met in the prefix
         cost = size + met / 2.0 ** (m - 1)
         better = (cost < best) & (m <= np.maximum(least, 1))
         best, matches = np.where(better, cost, best), np.where(better, m, matches)
     size = np.minimum(n - least + matches, n)
-    return h[A.ragged(first[:-1], size)], np.repeat(np.arange(len(n)), size), matches
+    at = A.ragged(first[:-1], size)
+    shared = c[at] > 1
+    owner = np.repeat(np.arange(len(n)), size)
+    share = np.bincount(owner[shared], minlength=len(n)) / np.maximum(size, 1)
+    return h[at][shared], owner[shared], matches, share
+
+
+def _postings(n_parts: int, bits: int, percent: int):
+    """(token, class, meta) of prefix shingles; meta holds the set's size, 10 bits of how little of its prefix others have, and its matches."""
+
+    def run(docs: pa.Table, told: pa.Table) -> pa.Table:
+        if not docs.num_rows:
+            return pa.table([pa.array([], pa.int64())] * 3, ["token", "class", "meta"])
+        p = _Part(docs, n_parts, bits)
+        total = np.zeros(len(p.short), np.int64)
+        for q, n, z in zip(*(told.column(k).to_pylist() for k in ("owner", "n_raw", "blob"))):
+            total[p.order[p.cut[q] : p.cut[q + 1]]] = P.expand(n, z)[0]
+        if (total == 0).any():
+            raise RuntimeError("an answer is missing")
+        tokens, owner, matches, share = _prefixes(p.h, p.first, total[p.at], percent)
+        meta = np.diff(p.first) << 13 | ((1 - share) * 1023).astype(np.int64) << 3 | matches
+        return pa.table([pa.array(tokens.view(np.int64)), pa.array(p.names[owner]), pa.array(meta[owner])], ["token", "class", "meta"])
 
-
-def _postings(docs: DataFrame, counts: np.ndarray, percent: int) -> DataFrame:
-    """(token, class, n, matches) of every class at least once; a task names a class it has seen only once."""
-
-    def run(batches):
-        seen: set[int] = set()
-        for b in A.slices(batches, "text", SLICE_BYTES):
-            h, first, doc = _sets(b.column("text"))
-            name = _classes(h, first)
-            fresh = np.zeros(len(name), bool)
-            for i, k in enumerate(name.tolist()):
-                if k >= 0 and k not in seen:
-                    seen.add(k)
-                    fresh[i] = True
-            if len(seen) > SEEN:
-                seen.clear()
-            on = fresh[doc]
-            n = np.where(fresh, np.diff(first), 0)
-            f = np.r_[0, np.cumsum(n)]
-            tokens, owner, matches = _prefixes(h[on], f, doc[on], counts, percent)
-            yield pa.RecordBatch.from_arrays([pa.array(tokens.view(np.int64)), pa.array(name[owner]), pa.array((n << 3 | matches)[owner])], ["token", "class", "meta"])
-
-    return docs.select("text").mapInArrow(run, "token long, class long, meta long")
+    return run
 
 
 def _met(batches):
@@ -155,7 +185,7 @@ def _met(batches):
         yield pa.RecordBatch.from_arrays([pa.array(t[keep]), pa.array(c[keep]), pa.array(m[keep])], ["token", "class", "meta"])
 
 
-def _seeds(percent: int):
+def _seeds(percent: int, seeds: int):
     """Pairs of a sorted posting: each set with the one before it and with the first, where sizes allow."""
 
     def run(batches):
@@ -164,7 +194,7 @@ def _seeds(percent: int):
             t, c, m = (b.column(k).to_numpy() for k in ("token", "class", "meta"))
             if not len(t):
                 continue
-            n = m >> 3
+            n = m >> 13
             head = np.ones(len(t), bool)
             head[1:] = t[1:] != t[:-1]
             if carry and carry[0] == t[0]:
@@ -177,7 +207,7 @@ def _seeds(percent: int):
             lead = np.maximum.accumulate(np.where(head, i, 0))
             rank = i - lead + np.where(lead == 0, before, 0)
             size = np.maximum(n - (-(-percent * n // 100)) + 1, 1)
-            draw = (A.mix((t ^ c).view(np.uint64)) % size.astype(np.uint64)).astype(np.int64) < SEEDS
+            draw = (A.mix((t ^ c).view(np.uint64)) % size.astype(np.uint64)).astype(np.int64) < seeds
             use = (rank > 0) & (i >= added) & ((rank < 3) | draw)
             k = np.flatnonzero(use)
             a, x = np.r_[c[lead[k]], c[k - 1]], np.r_[c[k], c[k]]
@@ -236,31 +266,42 @@ def components(df: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", te
 
     named = materialise(rows.mapInArrow(name, "doc_id long, n_shingles long, class long"), "jaccard-classes")
     reps = materialise(named.where("class >= 0 and doc_id is not null").groupBy("class").agg(F.min("doc_id").alias("rep")), "jaccard-reps")
-    counts = sketch(docs)
-    postings = _postings(docs, counts, percent).repartition(n_parts, "token").sortWithinPartitions("token", "class")
+    n_blobs = P.count_parts(docs)
+    bits = min(64, (n_blobs * P.PART_BYTES).bit_length() + 11)  # short hashes: so long that few shingles share one
+    packed = P.pack_documents(docs, n_blobs)
+    told = packed.groupBy("part").applyInArrow(_ask(n_blobs, bits), ASKED).groupBy("owner").applyInArrow(_answer, TOLD)
+    postings = packed.groupBy("part").cogroup(told.groupBy("part")).applyInArrow(_postings(n_blobs, bits, percent), "token long, class long, meta long")
+    postings = postings.repartition(n_parts, "token").sortWithinPartitions("token", "class")
     met = materialise(postings.mapInArrow(_met, "token long, class long, meta long"), "jaccard-postings")
     # The texts of classes that share a prefix shingle with another, once.
     wanted = met.select("class").distinct().join(reps, "class").select("class", F.col("rep").alias("doc_id"))
-    texts = materialise(_class_texts(docs, wanted), "jaccard-texts")
-    # First round.
-    mixed = met.withColumn("by", F.xxhash64("token", "class")).repartition(n_parts, "token").sortWithinPartitions("token", F.shiftright("meta", 3), "by")
-    pairs = mixed.select("token", "class", "meta").mapInArrow(_seeds(percent), "a long, b long").distinct()
-    first = materialise(_checked(pairs, texts, percent), "jaccard-checked")
-    links = first.where("linked").select("a", "b")
-    comp = materialise(connected_components(links, "a", "b"), "jaccard-components")
-    # Second round: tokens that still meet classes of different components.
-    owned = met.join(comp.withColumnRenamed("id", "class"), "class", "left").select("token", "class", F.shiftright("meta", 3).alias("n"), F.col("meta").bitwiseAND(7).alias("matches"), F.coalesce("component", "class").alias("comp"))
-    owned = materialise(owned, "jaccard-owned")
-    split = owned.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token")
-    left = materialise(owned.join(split, "token"), "jaccard-open")
-    x = left.select("token", F.col("class").alias("a"), F.col("n").alias("na"), F.col("matches").alias("ma"), F.col("comp").alias("ca"))
-    y = left.select("token", F.col("class").alias("b"), F.col("n").alias("nb"), F.col("matches").alias("mb"), F.col("comp").alias("cb"))
-    shared = x.join(y, "token").where(f"a < b and ca <> cb and 100 * least(na, nb) >= {percent} * greatest(na, nb)")
+    texts = materialise(_class_texts(packed, wanted, n_blobs), "jaccard-texts")
+    none = spark.createDataFrame([], "a long, b long, linked boolean")
+    checked, comp, open_ = none, None, met
+    for round_ in range(ROUNDS):
+        by = F.xxhash64("token", "class", F.lit(round_))
+        mixed = open_.withColumns({"by": by, "apart": F.shiftright("meta", 3).bitwiseAND(1023)}).repartition(n_parts, "token").sortWithinPartitions("token", "apart", "by")
+        pairs = mixed.select("token", "class", "meta").mapInArrow(_seeds(percent, SEEDS << round_), "a long, b long").distinct()
+        if comp is not None:
+            own = comp.select(F.col("id"), "component")
+            pairs = pairs.join(own.withColumnsRenamed({"id": "a", "component": "ca"}), "a", "left").join(own.withColumnsRenamed({"id": "b", "component": "cb"}), "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+            pairs = pairs.join(checked.select("a", "b"), ["a", "b"], "left_anti")
+        new = materialise(_checked(pairs, texts, percent), "jaccard-checked")
+        checked = checked.union(new)
+        if new.where("linked").isEmpty() and comp is not None:
+            break
+        comp = materialise(connected_components(checked.where("linked"), "a", "b"), "jaccard-components")
+        # Tokens that still meet classes of different components.
+        owned = met.join(comp.withColumnRenamed("id", "class"), "class", "left").select("token", "class", "meta", F.coalesce("component", "class").alias("comp"))
+        split = owned.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token")
+        open_ = materialise(owned.join(split, "token"), "jaccard-open")
+    # Last round: all pairs of different components.
+    side = lambda a: open_.select("token", F.col("class").alias(a), F.shiftright("meta", 13).alias("n" + a), F.col("meta").bitwiseAND(7).alias("m" + a), F.col("comp").alias("c" + a))
+    shared = side("a").join(side("b"), "token").where(f"a < b and ca <> cb and 100 * least(na, nb) >= {percent} * greatest(na, nb)")
     enough = shared.groupBy("a", "b").agg(F.count("*").alias("met"), F.min(F.least("ma", "mb")).alias("need")).where("met >= need").select("a", "b")
-    second = _checked(enough.join(first.select("a", "b"), ["a", "b"], "left_anti"), texts, percent)
-    more = materialise(second.where("linked").select("a", "b"), "jaccard-links")
+    more = materialise(_checked(enough.join(checked.select("a", "b"), ["a", "b"], "left_anti"), texts, percent).where("linked").select("a", "b"), "jaccard-links")
     if not more.isEmpty():
-        comp = materialise(connected_components(links.union(more), "a", "b"), "jaccard-components")
+        comp = materialise(connected_components(checked.where("linked").select("a", "b").union(more), "a", "b"), "jaccard-components")
     least = comp.join(reps.withColumnRenamed("class", "id"), "id").select("id", "component", "rep")
     least = least.join(least.groupBy("component").agg(F.min("rep").alias("component_id")), "component").select(F.col("id").alias("class"), "component_id")
     by_class = reps.join(least, "class", "left").select("class", F.col("rep").alias("class_id"), F.coalesce("component_id", "rep").alias("component_id"))
@@ -269,21 +310,32 @@ def components(df: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", te
     return out.select("doc_id", "n_shingles", *(F.when(F.col("doc_id").isNotNull(), F.when(alone, F.col("doc_id")).otherwise(F.col(c))).alias(c) for c in ("class_id", "component_id")))
 
 
-def _class_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+def _class_texts(packed: DataFrame, wanted: DataFrame, n_parts: int) -> DataFrame:
     """(class, text): a row for each wanted class, from its representative (rows of that id with another set are left out)."""
 
-    def right(batches):
-        seen: set[int] = set()  # the join brings an id's rows together, so repeated rows meet here
-        for b in A.slices(batches, "text", SLICE_BYTES):
+    def place(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(P.part_of(b.column("doc_id").to_numpy(), n_parts)), b.column("class"), b.column("doc_id")], ["part", "class", "doc_id"])
+
+    def pick(docs: pa.Table, want: pa.Table) -> pa.Table:
+        out = pa.table({"class": pa.array([], pa.int64()), "text": pa.array([], pa.string())})
+        if not docs.num_rows or not want.num_rows:
+            return out
+        d = P.unpack_documents(docs)
+        wish = {(i, c) for i, c in zip(want.column("doc_id").to_pylist(), want.column("class").to_pylist())}
+        rows = np.flatnonzero(np.isin(d.ids, want.column("doc_id").to_numpy()))
+        texts, parts = d.texts, [out]
+        for b in A.slices([pa.RecordBatch.from_arrays([texts.take(pa.array(rows)), pa.array(d.ids[rows])], ["text", "id"])], "text", SLICE_BYTES):
             h, first, _ = _sets(b.column("text"))
-            ok = _classes(h, first) == b.column("class").to_numpy()
-            for i in np.flatnonzero(ok).tolist():
-                k = b.column("class")[i].as_py()
-                ok[i] = k not in seen
-                seen.add(k)
-            yield b.select(["class", "text"]).filter(pa.array(ok))
-
-    return docs.join(wanted, "doc_id").select("class", "text").mapInArrow(right, "class long, text string")
+            name, ok = _classes(h, first).tolist(), []
+            for i, k in zip(b.column("id").to_pylist(), name):
+                ok.append((i, k) in wish)
+                wish.discard((i, k))
+            ok = np.flatnonzero(ok)
+            parts.append(pa.table({"class": pa.array(np.array(name, np.int64)[ok]), "text": b.column("text").take(pa.array(ok)).cast(pa.string())}))
+        return pa.concat_tables(parts)
+
+    return packed.groupBy("part").cogroup(wanted.mapInArrow(place, "part int, class long, doc_id long").groupBy("part")).applyInArrow(pick, "class long, text string")
 
 
 def representatives(df: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
