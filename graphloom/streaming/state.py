@@ -1,7 +1,8 @@
 """Structured Streaming forms of the stateful operators.
 
 Counter deltas keep one row of state for each interface, change scores and trends a short list for each graph or
-series; keys spread over all tasks, and idle state ends with a timeout.
+series; keys spread over all tasks. With idle_ms, state of keys that are idle so long is dropped (the stream then runs on without
+new data); without, it stays.
 """
 
 from __future__ import annotations
@@ -19,7 +20,11 @@ from graphloom.operators.interfaces import COUNTERS
 DELTAS = "device string, name string, ts double, " + ", ".join(f"{c}_delta bigint" for c in COUNTERS)
 
 
-def counter_deltas(polls: DataFrame, idle_ms: int = 3_600_000) -> DataFrame:
+def _timeout(idle_ms: int | None) -> str:
+    return GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout
+
+
+def counter_deltas(polls: DataFrame, idle_ms: int | None = None) -> DataFrame:
     """Growth of each interface's counters since its poll before, over a stream of (device, name, ts, counters)."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -35,14 +40,15 @@ def counter_deltas(polls: DataFrame, idle_ms: int = 3_600_000) -> DataFrame:
             if kept is None or r[0] > kept[0]:
                 kept = (float(r[0]), *(int(x) for x in r[1:]))
         state.update(kept)
-        state.setTimeoutDuration(idle_ms)
+        if idle_ms:
+            state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame(out, columns=["device", "name", "ts", *[f"{c}_delta" for c in COUNTERS]])
 
     schema = "ts double, " + ", ".join(f"{c} bigint" for c in COUNTERS)
-    return polls.groupBy("device", "name").applyInPandasWithState(step, DELTAS, schema, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return polls.groupBy("device", "name").applyInPandasWithState(step, DELTAS, schema, "append", _timeout(idle_ms))
 
 
-def rolling_z(series: DataFrame, key: str, ts: str, value: str, window: int = 10, idle_ms: int = 86_400_000) -> DataFrame:
+def rolling_z(series: DataFrame, key: str, ts: str, value: str, window: int = 10, idle_ms: int | None = None) -> DataFrame:
     """(key, ts, value, z): each value against the window that ends with it."""
 
     def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -56,13 +62,14 @@ def rolling_z(series: DataFrame, key: str, ts: str, value: str, window: int = 10
             std = float(np.std(seen))
             out.append((k[0], float(t), float(v), (float(v) - float(np.mean(seen))) / std if std > 0 else 0.0))
         state.update((seen,))
-        state.setTimeoutDuration(idle_ms)
+        if idle_ms:
+            state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame(out, columns=["key", "ts", "value", "z"])
 
-    return series.groupBy(F.col(key).cast("string").alias("key")).applyInPandasWithState(step, "key string, ts double, value double, z double", "seen array<double>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return series.groupBy(F.col(key).cast("string").alias("key")).applyInPandasWithState(step, "key string, ts double, value double, z double", "seen array<double>", "append", _timeout(idle_ms))
 
 
-def rolling_trend(series: DataFrame, key: str, ts: str, value: str, lookback: int = 10, idle_ms: int = 86_400_000) -> DataFrame:
+def rolling_trend(series: DataFrame, key: str, ts: str, value: str, lookback: int = 10, idle_ms: int | None = None) -> DataFrame:
     """(key, ts, value, trend): the slope of the last values, 0 for fewer than three."""
 
     def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -75,10 +82,11 @@ def rolling_trend(series: DataFrame, key: str, ts: str, value: str, lookback: in
             seen = [*seen, float(v)][-lookback:]
             out.append((k[0], float(t), float(v), float(np.polyfit(np.arange(len(seen)), seen, 1)[0]) if len(seen) >= 3 else 0.0))
         state.update((seen,))
-        state.setTimeoutDuration(idle_ms)
+        if idle_ms:
+            state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame(out, columns=["key", "ts", "value", "trend"])
 
-    return series.groupBy(F.col(key).cast("string").alias("key")).applyInPandasWithState(step, "key string, ts double, value double, trend double", "seen array<double>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return series.groupBy(F.col(key).cast("string").alias("key")).applyInPandasWithState(step, "key string, ts double, value double, trend double", "seen array<double>", "append", _timeout(idle_ms))
 
 
 def windowed_errors(events: DataFrame, ts: str = "ts", late: str = "10 minutes", width: str = "1 hour") -> DataFrame:

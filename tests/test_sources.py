@@ -85,7 +85,6 @@ def test_stream_of_counters(spark, tmp_path):
     schema = "device string, name string, ts double, in_bytes bigint, out_bytes bigint, in_errors bigint, out_errors bigint"
     spark.createDataFrame([("d", "e", 0.0, 10, 0, 0, 0), ("d", "e", 1.0, 15, 0, 0, 0), ("d", "e", 2.0, 3, 0, 1, 0)], schema).write.parquet(str(tmp_path / "in"))
     stream = state.counter_deltas(spark.readStream.schema(schema).parquet(str(tmp_path / "in")))
-    q = stream.writeStream.format("memory").queryName("deltas").option("checkpointLocation", str(tmp_path / "cp")).start()
-    q.processAllAvailable()
-    q.stop()
+    q = stream.writeStream.format("memory").queryName("deltas").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    assert q.awaitTermination(120)
     assert [(r["ts"], r["in_bytes_delta"], r["in_errors_delta"]) for r in spark.table("deltas").orderBy("ts").collect()] == [(1.0, 5, 0), (2.0, 0, 1)]
