@@ -463,8 +463,8 @@ def _subframes(bits: _Bits, at: np.ndarray, n: np.ndarray, depth: np.ndarray) ->
 def decode_streams(streams: list[bytes]) -> list[Stream]:
     """Decodes whole streams; raises FlacError where a frame, a CRC-8, a CRC-16 or the MD5 does not fit.
 
-    Frames are found one round after another: round r decodes frame r of every stream, or, where the frames of a
-    stream are known from their sync codes and CRC-8, all frames at once.
+    Candidate frames are found by their sync codes and CRC-8 and decoded all at once; those that follow one another
+    without a gap are the stream.
     """
     heads = [_info(s) for s in streams]
     data = np.frombuffer(b"".join(streams), np.uint8)
@@ -494,16 +494,15 @@ def decode_streams(streams: list[bytes]) -> list[Stream]:
         channels = code + 1 if code < 8 else 2
         if code > 10:
             continue
-        todo = group
-        try:
-            done = _decode_lanes(bits, data, base, todo, code, channels)
-        except FlacError:  # a sync code inside a frame: each lane on its own, only the right ones count
-            done = {}
-            for x in todo:
-                try:
-                    done |= _decode_lanes(bits, data, base, [x], code, channels)
-                except FlacError:
-                    continue
+        # A sync code inside a frame can pass for one; halving the lanes finds such lanes and leaves them out.
+        todo, done = [group], {}
+        while todo:
+            some = todo.pop()
+            try:
+                done |= _decode_lanes(bits, data, base, some, code, channels)
+            except FlacError:
+                if len(some) > 1:
+                    todo += [some[: len(some) // 2], some[len(some) // 2 :]]
         frames |= done
     out = []
     for i, (s, (info, at)) in enumerate(zip(streams, heads)):
