@@ -90,7 +90,7 @@ def test_prefixes_keep_every_link():
 def test_top_k(spark):
     rng = np.random.RandomState(1)
     vecs = [(i, [float(v) for v in rng.randn(6)]) for i in range(400)] + [(400 + i, [0.5] * 6) for i in range(150)]
-    rows = vecs + [(1000, None), (1001, [1.0, None, 0, 0, 0, 0]), (1002, [float("nan")] * 6), (None, [1.0] * 6), (1003, [float("inf")] + [0.0] * 5), (1004, [])]
+    rows = vecs + [(1000, None), (1001, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (1002, [float("nan")] * 6), (None, [1.0] * 6), (1003, [float("inf")] + [0.0] * 5), (1004, [])]
     df = spark.createDataFrame([(i, v, "b") for i, v in rows], "vec_id long, embedding array<double>, block string")
     got = {}
     for r in pivots.top_k(df, 10, "id % 100 = 0", pivots=8, block=32).collect():
