@@ -17,7 +17,7 @@ from graphloom.llm import arrays as A
 from graphloom.llm.sparkio import partitions
 
 PART_BYTES = 8_000_000
-CHUNK_BYTES = 8_000_000
+CHUNK_BYTES = 4_000_000
 PACKED = "part int, n_raw long, blob binary"
 
 

@@ -23,8 +23,8 @@ from graphloom.llm import parts as P
 from graphloom.llm.sparkio import materialise, partitions
 
 K = 16
-SLICE_BYTES = 1_000_000
-TEXT_BYTES = 400_000  # fragments whose suffixes are sorted together, about
+SLICE_BYTES = 500_000
+TEXT_BYTES = 200_000  # fragments whose suffixes are sorted together, about
 
 
 # -- arrays over one text -----------------------------------------------------------------------------------------
