@@ -4,6 +4,10 @@ A document is a bag of sentences. Each sentence has a score sigmoid(bias + sum o
 is their noisy-or, 1 - prod(1 - score). Only documents carry labels; the gradient of the noisy-or passes through to the
 sentences, so the weights say which sentences make a document toxic, and those are located with their own scores.
 
+Clean sentences score a little each, so their noisy-or would reach any threshold in a long enough text. A document's
+score therefore leaves out MARGIN times what clean sentences have on average, but is never below that of its strongest
+sentence: a clean text of any length scores as its strongest sentence does.
+
 Words enter with their first 3 to 6 bytes, their last 4 and whole, as 64-bit hashes. The model is fitted by numpy on a
 bounded sample of labelled rows and sent to all tasks: at most MAX_FEATURES weights.
 """
@@ -19,12 +23,14 @@ from pyspark.sql import functions as F
 
 from graphloom.llm import arrays as A
 
-#: Bounds of what is learned from: labelled rows, taken in hash order, and the bytes of each (longer ones are passed over).
+#: Bounds of what is learned from: labelled ids, taken in hash order, and the bytes of their texts together. Texts are
+#: taken whole, whatever their length; the first beyond MAX_BYTES is the last.
 MAX_ROWS = 10_000
-MAX_ROW_BYTES = 100_000
+MAX_BYTES = 64_000_000
 MAX_FEATURES = 50_000
 MIN_DOCS = 3
 MIN_Z = 3.0
+MARGIN = 2.0  # times the mean mass of clean sentences that a document's sum leaves out
 SLICE_BYTES = 2_000_000
 EPOCHS, RATE, DECAY = 300, 0.1, 1e-4
 
@@ -74,6 +80,7 @@ class Model:
     keys: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
     weights: np.ndarray = field(default_factory=lambda: np.zeros(0))
     bias: float = -30.0
+    plain: float = 0.0  # mass, softplus of the logit, that a sentence of clean text has on average
 
     def index(self) -> A.HashIndex:
         if not hasattr(self, "_index"):
@@ -82,7 +89,7 @@ class Model:
         return self._index
 
     def __getstate__(self):
-        return {"keys": self.keys, "weights": self.weights, "bias": self.bias}
+        return {"keys": self.keys, "weights": self.weights, "bias": self.bias, "plain": self.plain}
 
     def logits(self, s: Sentences) -> np.ndarray:
         z = np.zeros(len(s.heads))
@@ -94,6 +101,14 @@ class Model:
                     z += np.bincount(s.sentence[hit], self.weights[at[hit]], len(z))
         return z + self.bias
 
+    def scores(self, s: Sentences) -> np.ndarray:
+        """The score of each text; 0 without a sentence."""
+        mass = _softplus(self.logits(s))
+        strongest = np.zeros(s.n_docs)
+        np.maximum.at(strongest, s.doc, mass)
+        together = np.bincount(s.doc, mass - MARGIN * self.plain, s.n_docs)
+        return -np.expm1(-np.maximum(strongest, together))
+
 
 def _softplus(z: np.ndarray) -> np.ndarray:
     return np.logaddexp(0.0, z)
@@ -156,11 +171,14 @@ def fit(texts: pa.Array, labels: np.ndarray) -> Model:
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         theta = theta - RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
     kept = np.abs(theta[:-1]) > 0.02
-    return Model(model.keys[kept], theta[:-1][kept], float(theta[-1]))
+    theta[:-1][~kept] = 0
+    zs = theta[-1] + np.bincount(inv, theta[feat], len(used))
+    clean = _softplus(zs)[~y[owner]].sum() + plain[~y].sum() * _softplus(theta[-1])
+    return Model(model.keys[kept], theta[:-1][kept], float(theta[-1]), float(clean / max((~y[doc]).sum(), 1)))
 
 
-def learn(docs: DataFrame, labels: DataFrame, may_learn: Column | None = None, max_rows: int = MAX_ROWS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
-    """Fits on at most max_rows labelled documents, taken in the order of a hash of their id.
+def learn(docs: DataFrame, labels: DataFrame, may_learn: Column | None = None, max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
+    """Fits on at most max_rows labelled documents, taken in the order of a hash of their id up to max_bytes of text.
 
     may_learn: a condition on the id column of labels. Rows without a label or an id teach nothing; a null text is empty.
     """
@@ -170,7 +188,12 @@ def learn(docs: DataFrame, labels: DataFrame, may_learn: Column | None = None, m
     found = found.where("id is not null and label is not null").groupBy("id").agg(F.max("label").alias("label"))
     found = found.orderBy(F.xxhash64("id"), "id").limit(max_rows)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    got = texts.join(F.broadcast(found), "id").where(F.octet_length("text") <= MAX_ROW_BYTES).select("id", "text", "label").toArrow()  # found has max_rows rows at most
+    found = F.broadcast(found)  # max_rows rows at most
+    sizes = texts.join(found, "id").groupBy("id").agg(F.sum(F.octet_length("text").cast("long")).alias("bytes")).select("id", "bytes", F.xxhash64("id").alias("place")).toArrow().sort_by([("place", "ascending"), ("id", "ascending")])
+    before = np.r_[0, np.cumsum(sizes["bytes"].to_numpy())][:-1]
+    ids = sizes["id"].filter(pa.array(before < max_bytes)).to_pylist()
+    taken = docs.sparkSession.createDataFrame([(i,) for i in ids], "id long")
+    got = texts.join(F.broadcast(found.join(taken, "id")), "id").select("id", "text", "label").toArrow()
     got = got.sort_by([("id", "ascending"), ("text", "ascending")]).slice(0, max_rows).combine_chunks()
     if not got.num_rows:
         return Model()
@@ -187,8 +210,7 @@ def score(df: DataFrame, model: Model, threshold: float = 0.7, id_col: str = "do
     def run(batches):
         for b in A.slices(batches, "text", SLICE_BYTES):
             s = Sentences(b.column("text"))
-            a = np.bincount(s.doc, _softplus(model.logits(s)), s.n_docs)
-            p = -np.expm1(-a)
+            p = model.scores(s)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(p), pa.array((p >= threshold).astype(np.int32))], ["doc_id", "score", "predicted"])
 
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, score double, predicted int")
@@ -220,7 +242,7 @@ def keep(df: DataFrame, model: Model, threshold: float = 0.7, text_col: str = "t
     def run(batches):
         for b in A.slices(batches, text_col, SLICE_BYTES):
             s = Sentences(b.column(text_col))
-            p = -np.expm1(-np.bincount(s.doc, _softplus(model.logits(s)), s.n_docs))
+            p = model.scores(s)
             yield b.filter(pa.array(p < threshold))
 
     return df.mapInArrow(run, df.schema)

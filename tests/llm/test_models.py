@@ -67,6 +67,25 @@ def test_toxicity_finds_documents_and_sentences(spark):
         assert held[r["doc_id"]][0][r["start"] : r["end"]] == r["sentence"]
 
 
+def test_toxicity_long_clean_texts_stay(spark):
+    train = _bags(600, 1)
+    m = toxicity.fit(pa.array([t for t, _ in train]), np.array([y for _, y in train]))
+    clean = " ".join(t for t, y in _bags(500, 3) if not y)
+    clean *= 5_000_000 // len(clean)
+    df = spark.createDataFrame([(1, clean), (2, clean + " w1 w2 grumbling w3.")], "doc_id long, text string")
+    assert {r["doc_id"]: r["predicted"] for r in toxicity.score(df, m).collect()} == {1: 0, 2: 1}
+    assert [r["doc_id"] for r in toxicity.keep(df, m).collect()] == [1]
+
+
+def test_toxicity_learns_from_long_rows(spark):
+    rows = [(i, ("grumbler. " if i % 2 else "") + f"w{i} and so on. " * 10_000) for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(12)], "doc_id long, toxic int")
+    m = toxicity.learn(docs, labels)
+    assert len(m.keys) and {r["doc_id"]: r["predicted"] for r in toxicity.score(docs, m).collect()} == {i: i % 2 for i in range(12)}
+    assert toxicity.learn(docs, labels, max_bytes=1).bias < -20  # one text, so one label
+
+
 def test_toxicity_edges(spark):
     labels = spark.createDataFrame([(1, 1), (4, 0), (None, 1), (5, None)], "doc_id long, toxic int")
     m = toxicity.learn(documents(spark), labels)
