@@ -37,7 +37,9 @@ ENDS_P = {"address", "article", "aside", "blockquote", "div", "dl", "fieldset",
 CHROME = {"head", "nav", "header", "footer", "aside", "form", "button", "menu", "dialog", "fieldset", "video", "audio", "canvas"}
 CHROME_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "alert", "alertdialog", "dialog", "menu", "menubar", "form"}
 CHROME_NAMES = {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "adsense", "banner", "sponsor", "sponsored", "promo", "promotion", "nav", "navbar", "navigation", "menu", "breadcrumb", "breadcrumbs", "header", "masthead", "footer", "sidebar", "aside", "widget", "cookie", "cookies", "consent", "gdpr", "notice", "notices", "alert", "popup", "modal", "overlay", "newsletter", "subscribe", "signup", "login", "search", "share", "sharing", "social", "comment", "comments", "reply", "replies", "respond", "discussion", "disqus", "related", "recommended", "pagination", "pager", "toolbar", "skip", "copyright", "legal"}
-IN_ARTICLE = {"header"}  # these names mark chrome around an article, not in it
+#: In an article these names, like all ids, may be a section's own: there they mark chrome only where most text is links.
+IN_ARTICLE = {"header", "discussion", "legal", "related", "recommended", "notice", "notices", "alert", "banner", "navigation", "search", "menu", "aside", "copyright", "respond", "reply", "replies", "login", "signup", "consent", "promotion", "overlay", "widget", "cookie", "cookies", "gdpr"}
+WRAPPERS = {"form", "fieldset"}  # chrome that may also hold a whole page
 MAIN = {"article", "main"}
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
@@ -45,54 +47,65 @@ _CUT = re.compile(r"<[a-zA-Z/!?][^>]*\Z")
 _NAME = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
 
 
-def _names(attributes: str) -> tuple[str, set[str], bool]:
-    """A token's class and id as text, the words in them and its role, and whether it is hidden."""
+def _names(attributes: str) -> tuple[str, set[str], set[str], bool, bool]:
+    """A token's class and id as text, the chrome names among its classes and ids, and if its role is one of chrome or it is hidden."""
     if not attributes or attributes.isspace():
-        return "", set(), False
-    label, words, hidden = [], set(), False
+        return "", set(), set(), False, False
+    label, classes, ids, role, hidden = [], set(), set(), False, False
     for key, *values in _NAME.findall(attributes):
         value, key = "".join(values).strip().lower(), key.lower()
         if key == "role":
-            if value in CHROME_ROLES:
-                words.add("nav")
+            role = value in CHROME_ROLES
         elif key in ("hidden", "aria-hidden"):
             hidden |= key == "hidden" or value == "true"
         elif value:
             label.append(f"{key}={value}")
-            words |= {w for w in re.split(r"[^a-z]+", value) if w}
-    return " ".join(label), words, hidden
+            (classes if key == "class" else ids).update(CHROME_NAMES.intersection(value.split()))
+    return " ".join(label), classes, ids, role, hidden
 
 
 class Page:
     """A page's tokens and texts in order, each with the structure it stands in.
 
-    events: (name, key, chrome, main) of a token, or ("#", text, chrome, main, path). chrome: in an element that holds
-    no main text; main: in an article or main element.
+    events: (name, key, element) of a token, or ("#", text, element, path); elements are numbered as they start, 0 is the
+    page. chrome: whether an element holds no main text; main: whether it is in an article or main element.
     """
 
     def __init__(self, html: str):
         self.events: list[tuple] = []
-        stack: list[tuple[str, str, bool, bool]] = []  # name, path, chrome, main
-        top = ("", "", False, False)
-        pos = 0
+        # Of each element: its parent, name, the names and other marks of chrome, and the lengths of its text and of links.
+        self.parent, self.names, self.marks, self.length, self.linked = [0], [""], [(set(), set(), False, False)], [0], [0]
+        stack: list[tuple[str, str, int, bool]] = []  # name, path, element, hidden
+        top = none = ("", "", 0, False)
+        pos, in_link = 0, False
         add, find = self.events.append, _TOKEN.search
+
+        def text(part: str) -> None:
+            add(("#", part, top[2], top[1]))
+            if not top[3]:
+                n = len(part.strip())
+                self.length[top[2]] += n
+                self.linked[top[2]] += n * in_link
+
         while m := find(html, pos):
             start, stop = m.span()
             if start > pos:
-                add(("#", html[pos:start], top[2], top[3], top[1]))
+                text(html[pos:start])
             pos = stop
             closing, name, attributes = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
             if name is None:  # comment or declaration
                 continue
             name = name.lower()
+            if name == "a":
+                in_link = not closing
             if closing:
-                add(("/" + name, f"{top[1]} /{name}", top[2], top[3]))
+                add(("/" + name, f"{top[1]} /{name}", top[2]))
                 if name not in VOID:
                     for i in range(len(stack) - 1, -1, -1) if name not in INLINE else range(len(stack) - 1, max(len(stack) - 2, -1), -1):
                         if stack[i][0] == name:
                             del stack[i:]
                             break
-                    top = stack[-1] if stack else ("", "", False, False)
+                    top = stack[-1] if stack else none
                 continue
             if name in ENDS_P:
                 for i in range(len(stack) - 1, max(len(stack) - 4, -1), -1):
@@ -102,27 +115,53 @@ class Page:
             peers = CLOSED_BY_PEER.get(name)
             if peers and stack and stack[-1][0] in peers:
                 stack.pop()
-            top = stack[-1] if stack else ("", "", False, False)
-            label, words, hidden = _names(attributes)
-            main = top[3] or name in MAIN
-            named = words & CHROME_NAMES - (IN_ARTICLE if top[3] else set())
-            chrome = top[2] or hidden or (name in CHROME and not (top[3] and name in IN_ARTICLE)) or (bool(named) and name not in ("html", "body"))
+            top = stack[-1] if stack else none
+            label, classes, ids, role, hidden = _names(attributes)
             key = f"{top[1]} {name} {label}" if label else f"{top[1]} {name}"
             if name in RAW:
                 end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(html, pos)
                 pos = end.end() if end else len(html)
-                add((name, key, True, main))
+                add((name, key, top[2]))
+                continue
+            marked = hidden or role or bool(classes or ids)
+            if name in VOID or attributes.endswith("/") or name in INLINE and not marked:
+                add((name, key, top[2]))
                 continue
-            add((name, key, chrome, main))
-            if name not in VOID and name not in INLINE and not attributes.endswith("/"):
-                top = (name, f"{top[1]}/{name}.{label}" if label else f"{top[1]}/{name}", chrome, main)
-                stack.append(top)
-            elif name in INLINE and chrome and not top[2] and not attributes.endswith("/"):  # a hidden or named inline element
-                top = (name, top[1], True, main)
-                stack.append(top)
+            self.parent.append(top[2]), self.names.append(name), self.marks.append((classes, ids, role, hidden)), self.length.append(0), self.linked.append(0)
+            path = top[1] if name in INLINE else f"{top[1]}/{name}.{label}" if label else f"{top[1]}/{name}"
+            top = (name, path, len(self.parent) - 1, top[3] or hidden)
+            stack.append(top)
+            add((name, key, top[2]))
         tail = _CUT.sub("", html[pos:])
         if tail:
-            add(("#", tail, top[2], top[3], top[1]))
+            text(tail)
+        self._judge()
+
+    def _judge(self) -> None:
+        """Which elements are chrome. A name does not mark what holds most of the articles' text, or most text of a page without one."""
+        n, parent = len(self.parent), self.parent
+        self.main, self.chrome = [False] * n, [False] * n
+        for i in range(1, n):
+            self.main[i] = self.main[parent[i]] or self.names[i] in MAIN
+        length, linked = self.length[:], self.linked[:]
+        article = [x * m for x, m in zip(length, self.main)]
+        for i in range(n - 1, 0, -1):
+            length[parent[i]] += length[i]
+            linked[parent[i]] += linked[i]
+            article[parent[i]] += article[i]
+        for i in range(1, n):
+            name, (classes, ids, role, hidden), within = self.names[i], self.marks[i], self.main[parent[i]]
+            if self.chrome[parent[i]] or hidden:
+                self.chrome[i] = True
+                continue
+            if within and name not in MAIN:
+                holds, links = False, 2 * linked[i] > length[i]
+                named = bool(classes - IN_ARTICLE) or links and bool(classes or ids)
+            else:
+                holds = 2 * article[i] >= article[0] if article[0] else 2 * length[i] > length[0] and 2 * linked[i] <= length[i]
+                named = bool(classes or ids) and name not in ("html", "body")
+            tag = role or name in CHROME and not (within and name == "header")
+            self.chrome[i] = named and not holds or tag and not (holds and name in WRAPPERS)
 
     def tokens(self) -> list[tuple[str, int]]:
         """Keys of markup tokens and of short texts outside the article, with their hashes."""
@@ -130,8 +169,8 @@ class Page:
         for e in self.events:
             if e[0] != "#":
                 key = e[1]
-            elif not e[3] and len(e[1]) < 200 and (text := e[1].strip()):
-                key = f"{e[4]} # {text}"
+            elif not self.main[e[2]] and len(e[1]) < 200 and (text := e[1].strip()):
+                key = f"{e[3]} # {text}"
             else:
                 continue
             out.append((key, _hash(key)))
@@ -144,16 +183,16 @@ class Page:
         on a page without one, those in no part that holds no main text, less the template's own texts.
         """
         own = template is None
-        has_main = any(e[0] in MAIN and not e[2] and (own or _hash(e[1]) in template) for e in self.events)
+        has_main = any(e[0] in MAIN and not self.chrome[e[2]] and (own or _hash(e[1]) in template) for e in self.events)
         if not has_main and not own:  # an article element that only this page has
-            has_main = any(e[0] in MAIN and not e[2] for e in self.events)
+            has_main = any(e[0] in MAIN and not self.chrome[e[2]] for e in self.events)
         blocks: list[str] = []
         now: list[str] = []
         for e in self.events:
             if e[0] == "#":
-                if e[2] or has_main and not e[3]:
+                if self.chrome[e[2]] or has_main and not self.main[e[2]]:
                     continue
-                if not has_main and not own and len(e[1]) < 200 and (t := e[1].strip()) and _hash(f"{e[4]} # {t}") in template:
+                if not has_main and not own and len(e[1]) < 200 and (t := e[1].strip()) and _hash(f"{e[3]} # {t}") in template:
                     continue
                 now.append(e[1])
             elif e[0] == "br":

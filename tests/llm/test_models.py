@@ -113,6 +113,21 @@ def test_html(spark):
     assert htmltemplates.extract(df).count() == len(rows) and htmltemplates.extract(df.limit(0)).count() == 0
 
 
+def test_html_names_do_not_cut_the_article():
+    def text(body):
+        return htmltemplates.Page(page(body)).text(None)
+
+    story = "<article><h1>T</h1><p>words of it</p></article>"
+    for wrap in ("<div class='content-sidebar-wrap'>{}</div>", "<div class='layout with-sidebar'>{}</div>", "<div class='sidebar'>{}</div>", "<div id='search'><div>{}</div></div>", "<form>{}</form>"):
+        assert text(wrap.format(story) + "<div class='sidebar'><p>other</p></div><footer>f</footer>") == "T\nwords of it", wrap
+    assert text("<article class='post has-comments'><p>x</p></article>") == "x" == text("<article class='promo'><p>x</p></article>")
+    for mark in ("id='discussion'", "class='discussion'", "class='legal'", "id='related'", "class='related'"):
+        assert text(f"<article><p>x</p><section {mark}><h2>More</h2><p>y</p></section></article>") == "x\nMore\ny", mark
+    assert text("<article><p>x</p><section class='related'><p><a>l</a></p></section><div class='comments'>c</div><span class='ad'>a</span></article>") == "x"
+    assert text(story + "<div class='related'><article>teaser</article></div>") == "T\nwords of it"
+    assert text("<div class='menu'><p>a text without an article</p></div><div class='menu'><a>l</a></div>") == "a text without an article"
+
+
 def test_html_template_groups_tokens(spark):
     df = spark.createDataFrame([("a", page(f"<article><h1>{i}</h1>{'<p>x</p>' * (i + 1)}</article>")) for i in range(6)], "host string, html string")
     t = {r["host"]: set(r["template"]) for r in htmltemplates.deduce(df).collect()}
