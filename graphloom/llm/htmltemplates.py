@@ -1,12 +1,16 @@
 """Main text of web pages by deducing each host's template.
 
-A page is a sequence of markup tokens, told apart by element, class or id, and the structure they stand in. Over the
-pages of a host each token has an occurrence vector (how often it is on each page), kept as a pair of sums of page
-hashes, so that it is counted in parallel. Tokens with equal vectors form an equivalence class; classes on most pages,
-in which every start has its end, are valid. They nest: the tokens that occur once on every page are the outer
-template, others (list items, paragraphs) repeat inside one of its slots. Extraction cuts a page at the template's tokens
-into slots and keeps the slots of the article. Where a host has too few pages, the template of all pages together
-serves.
+A page is a sequence of markup tokens, told apart by element, class or id, and the structure they stand in, and of blocks
+of text. Over the pages of a host each token has an occurrence vector (how often it is on each page), kept as a pair of
+sums of page hashes, so that it is counted in parallel. Tokens with equal vectors form an equivalence class. Classes on
+most pages are the template, of them the tokens whose start and end are both in the class (as both are told apart by the
+elements they stand in, pairs nest). Texts on most pages at one place are the template's own, wherever and however long.
+Copies of a page tell nothing about a template: a token must be on several different pages.
+
+Extraction drops the template's texts from every page (not short ones amid varying texts of an article) and, on pages without an article or main element, the slots of
+template elements whose text over the host is mostly links. Which of the other slots are the article is not in the
+template: elements, roles and names that mean chrome, and article and main, decide that (fixed lists). Where a host has too few
+pages, the template of all pages together serves.
 """
 
 from __future__ import annotations
@@ -27,6 +31,9 @@ SLICE_BYTES = 4_000_000
 MIN_PAGES = 5  # a host's own template needs as many
 MIN_SHARE = 0.9  # of the host's pages hold a template token
 ALL = ""  # stands for all hosts
+LINKS = 1 << 61  # flips a bit of an element's token: a slot of links
+SENTENCE = 5  # words
+NEUTRAL, START, END, TEXT = 0, 1, 2, 3
 
 # What elements and names mean.
 RAW = {"script", "style", "noscript", "template", "iframe", "textarea", "title", "svg", "math", "object", "select", "xmp", "noembed", "noframes"}
@@ -67,21 +74,22 @@ def _names(attributes: str) -> tuple[str, set[str], set[str], bool, bool]:
 class Page:
     """A page's tokens and texts in order, each with the structure it stands in.
 
-    events: (name, key, element) of a token, or ("#", text, element, path); elements are numbered as they start, 0 is the
-    page. chrome: whether an element holds no main text; main: whether it is in an article or main element.
+    events: (name, key, element, kind, path of the element that starts or ends) of a token, or ("#", text, element);
+    elements are numbered as they start, 0 is the page. chrome: whether an element holds no main text; main: whether it is in an article or main element.
     """
 
     def __init__(self, html: str):
         self.events: list[tuple] = []
         # Of each element: its parent, name, the names and other marks of chrome, and the lengths of its text and of links.
         self.parent, self.names, self.marks, self.length, self.linked = [0], [""], [(set(), set(), False, False)], [0], [0]
+        self.keys, self.tags = [""], [""]  # its token and the names of the elements it is in
         stack: list[tuple[str, str, int, bool]] = []  # name, path, element, hidden
         top = none = ("", "", 0, False)
         pos, in_link = 0, False
         add, find = self.events.append, _TOKEN.search
 
         def text(part: str) -> None:
-            add(("#", part, top[2], top[1]))
+            add(("#", part, top[2]))
             if not top[3]:
                 n = len(part.strip())
                 self.length[top[2]] += n
@@ -99,13 +107,16 @@ class Page:
             if name == "a":
                 in_link = not closing
             if closing:
-                add(("/" + name, f"{top[1]} /{name}", top[2]))
+                ended = None
                 if name not in VOID:
                     for i in range(len(stack) - 1, -1, -1) if name not in INLINE else range(len(stack) - 1, max(len(stack) - 2, -1), -1):
                         if stack[i][0] == name:
+                            ended = stack[i][1]
                             del stack[i:]
                             break
-                    top = stack[-1] if stack else none
+                path = top[1] if ended is None else ended
+                add(("/" + name, f"{path} /{name}", top[2], NEUTRAL if name in INLINE or name in VOID else END, f"{path} /" if ended is None else path))
+                top = stack[-1] if stack else none
                 continue
             if name in ENDS_P:
                 for i in range(len(stack) - 1, max(len(stack) - 4, -1), -1):
@@ -121,17 +132,18 @@ class Page:
             if name in RAW:
                 end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(html, pos)
                 pos = end.end() if end else len(html)
-                add((name, key, top[2]))
+                add((name, key, top[2], NEUTRAL, ""))
                 continue
             marked = hidden or role or bool(classes or ids)
             if name in VOID or attributes.endswith("/") or name in INLINE and not marked:
-                add((name, key, top[2]))
+                add((name, key, top[2], NEUTRAL, ""))
                 continue
             self.parent.append(top[2]), self.names.append(name), self.marks.append((classes, ids, role, hidden)), self.length.append(0), self.linked.append(0)
             path = top[1] if name in INLINE else f"{top[1]}/{name}.{label}" if label else f"{top[1]}/{name}"
             top = (name, path, len(self.parent) - 1, top[3] or hidden)
+            self.keys.append(key), self.tags.append(self.tags[self.parent[-1]] + ("" if name in INLINE else "/" + name))
             stack.append(top)
-            add((name, key, top[2]))
+            add((name, key, top[2], NEUTRAL if name in INLINE else START, path))
         tail = _CUT.sub("", html[pos:])
         if tail:
             text(tail)
@@ -163,47 +175,68 @@ class Page:
             tag = role or name in CHROME and not (within and name == "header")
             self.chrome[i] = named and not holds or tag and not (holds and name in WRAPPERS)
 
-    def tokens(self) -> list[tuple[str, int]]:
-        """Keys of markup tokens and of short texts outside the article, with their hashes."""
+    def blocks(self) -> list[tuple[int, list[str]]]:
+        """The element and parts of each block that may be main text: in article or main where the page has one, else in no chrome."""
+        self.has_main = any(n in MAIN and not c for n, c in zip(self.names, self.chrome))
+        out, now, at = [], [], 0
+        for e in self.events:
+            if e[0] == "#":
+                if not self.chrome[e[2]] and (self.main[e[2]] or not self.has_main):
+                    at = at if now else e[2]
+                    now.append(e[1])
+            elif e[0] == "br":
+                now.append(" ") if now else None
+            elif now and e[0].lstrip("/") not in INLINE:
+                out.append((at, now))
+                now = []
+        return out + [(at, now)] if now else out
+
+    def place(self, element: int, text: str) -> int:
+        """The token of a text: what it says and the names of the elements around it."""
+        return _hash(f"{self.tags[element]} # {text}")
+
+    def tokens(self) -> list[tuple[int, int, int, int, int]]:
+        """Token, kind, pair (equal for an element's start and end), and the lengths of a start's own text and of its links."""
         out = []
         for e in self.events:
             if e[0] != "#":
-                key = e[1]
-            elif not self.main[e[2]] and len(e[1]) < 200 and (text := e[1].strip()):
-                key = f"{e[3]} # {text}"
-            else:
-                continue
-            out.append((key, _hash(key)))
+                own = (self.length[e[2]], self.linked[e[2]]) if e[3] == START else (0, 0)
+                out.append((_hash(e[1]), e[3], _hash(e[4]) if e[4] else 0, *own))
+        for at, parts in self.blocks():
+            text = _plain("".join(parts))
+            if text:
+                out.append((self.place(at, text), TEXT, 0, 0, 0))
+            if len(parts) > 1:
+                out.extend((self.place(at, t), TEXT, 0, 0, 0) for t in map(_plain, parts) if " " in t)
         return out
 
     def text(self, template: set[int] | None) -> str:
-        """The blocks of the page's main slots, one a line.
+        """The blocks of main text, one a line, less the template's texts, whole or as parts, and its slots of links.
 
-        The template's tokens bound the slots. Slots of an article or main element of the template are the main ones;
-        on a page without one, those in no part that holds no main text, less the template's own texts.
+        In an article a constant text of fewer than SENTENCE words stays where its kind of element holds others that
+        vary: articles of a host may share a heading or a short line.
         """
-        own = template is None
-        has_main = any(e[0] in MAIN and not self.chrome[e[2]] and (own or _hash(e[1]) in template) for e in self.events)
-        if not has_main and not own:  # an article element that only this page has
-            has_main = any(e[0] in MAIN and not self.chrome[e[2]] for e in self.events)
-        blocks: list[str] = []
-        now: list[str] = []
-        for e in self.events:
-            if e[0] == "#":
-                if self.chrome[e[2]] or has_main and not self.main[e[2]]:
-                    continue
-                if not has_main and not own and len(e[1]) < 200 and (t := e[1].strip()) and _hash(f"{e[3]} # {t}") in template:
-                    continue
-                now.append(e[1])
-            elif e[0] == "br":
-                now.append(" ")
-            elif e[0].lstrip("/") not in INLINE:
-                if now and (text := " ".join(unescape("".join(now)).split())):
-                    blocks.append(text)
-                now.clear()
-        if now and (text := " ".join(unescape("".join(now)).split())):
-            blocks.append(text)
-        return "\n".join(blocks)
+        blocks = [(at, parts, _plain("".join(parts))) for at, parts in self.blocks()]
+        if not template:
+            return "\n".join(text for _, _, text in blocks if text)
+        constant = [self.place(at, text) in template for at, _, text in blocks]
+        varying = {self.keys[at] for (at, _, text), c in zip(blocks, constant) if text and not c}
+        least = SENTENCE if self.has_main else 2
+        out: list[str] = []
+        for (at, parts, text), c in zip(blocks, constant):
+            if c and not (self.has_main and self.keys[at] in varying and text.count(" ") + 1 < SENTENCE):
+                continue
+            if not self.has_main and _hash(self.keys[at]) ^ LINKS in template:
+                continue
+            if len(parts) > 1 and not c:
+                text = _plain("".join(" " if (t := _plain(p)).count(" ") + 1 >= least and self.place(at, t) in template else p for p in parts))
+            if text:
+                out.append(text)
+        return "\n".join(out)
+
+
+def _plain(text: str) -> str:
+    return " ".join(unescape(text).split())
 
 
 def _hash(key: str) -> int:
@@ -211,33 +244,60 @@ def _hash(key: str) -> int:
 
 
 def deduce(pages: DataFrame) -> DataFrame:
-    """Templates (host, template: hashes of the tokens of valid classes) from page rows (url, html).
+    """Templates (host, template: hashes of the tokens of valid classes and of constant texts) from page rows (url, html).
 
-    Only counts by host and token are shuffled, summed in each task first, so a host with most pages spreads.
+    Only counts by host and token are shuffled, summed in each task first, so a host with most pages spreads. Different
+    pages are told by a bit of 64 that each sets.
     """
 
     def count(batches):
         for b in A.slices(batches, "html", SLICE_BYTES):
             found: dict[tuple[str, int], list[int]] = {}
             for host, html in zip(b.column("host").to_pylist(), b.column("html").to_pylist()):
-                seen: dict[int, int] = {0: 1}  # the page itself
-                for _, h in Page(html or "").tokens():
-                    seen[h] = seen.get(h, 0) + 1
-                page = xxhash.xxh3_64_intdigest((html or "")[:1000] + str(len(html or "")) + host)
-                for h, n in seen.items():
+                seen: dict[int, list[int]] = {0: [1, NEUTRAL, 0, 0, 0]}  # the page itself
+                for h, kind, pair, length, linked in Page(html or "").tokens():
+                    x = seen.get(h)
+                    if x is None:
+                        seen[h] = [1, kind, pair, length, linked]
+                    else:
+                        x[0] += 1
+                        x[3] += length
+                        x[4] += linked
+                page = xxhash.xxh3_64_intdigest(html or "")
+                bit = 1 << (page & 63)
+                for h, (n, kind, pair, length, linked) in seen.items():
                     v = xxhash.xxh3_64_intdigest(n.to_bytes(8, "little"), page)
                     for at in (host, ALL) if host else (ALL,):
-                        x = found.setdefault((at, h), [0, 0, 0])
+                        x = found.setdefault((at, h), [0, 0, 0, 0, 0, 0, kind, pair])
                         x[0] += v & 0x7FFFFFFF
                         x[1] += v >> 33
                         x[2] += 1
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in found], pa.string()), pa.array([k[1] for k in found], pa.int64()), *(pa.array([x[i] for x in found.values()], pa.int64()) for i in range(3))], ["host", "token", "v1", "v2", "pages"])
+                        x[3] |= bit
+                        x[4] += length
+                        x[5] += linked
+            for x in found.values():
+                x[3] -= (x[3] >> 63) << 64
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in found], pa.string()), pa.array([k[1] for k in found], pa.int64()), *(pa.array([x[i] for x in found.values()], pa.int64()) for i in range(8))], ["host", "token", "v1", "v2", "pages", "bits", "length", "linked", "kind", "pair"])
+
+    counts = pages.mapInArrow(count, "host string, token long, v1 long, v2 long, pages long, bits long, length long, linked long, kind long, pair long")
+    sums = [F.sum(c).alias(c) for c in ("v1", "v2", "pages", "length", "linked")]
+    counts = counts.groupBy("host", "token").agg(*sums, F.bit_or("bits").alias("bits"), F.min("kind").alias("kind"), F.min("pair").alias("pair"))
+    several = (F.col("pages") >= MIN_PAGES) & (F.bit_count("bits") >= MIN_PAGES - 1)  # two of few pages may share a bit
+    token = F.struct("token", "kind", "pair", ((F.col("kind") == START) & (2 * F.col("linked") > F.col("length"))).alias("links"))
+    classes = counts.where(several).groupBy("host", "v1", "v2", "pages").agg(F.collect_set(token).alias("tokens"))
+
+    def pairs(c, kind):
+        return F.transform(F.filter(c["tokens"], lambda t: t["kind"] == kind), lambda t: t["pair"])
+
+    def valid(c):
+        both = F.array_intersect(pairs(c, START), pairs(c, END))
+        return F.filter(c["tokens"], lambda t: (t["kind"] == TEXT) | (F.size(c["tokens"]) > 1) & ((t["kind"] == NEUTRAL) | F.array_contains(both, t["pair"])))
 
-    counts = pages.mapInArrow(count, "host string, token long, v1 long, v2 long, pages long").groupBy("host", "token").agg(F.sum("v1").alias("v1"), F.sum("v2").alias("v2"), F.sum("pages").alias("pages"))
-    classes = counts.where(F.col("pages") >= MIN_PAGES).groupBy("host", "v1", "v2", "pages").agg(F.collect_set("token").alias("tokens"))
     by_host = classes.groupBy("host").agg(F.max("pages").alias("all"), F.collect_list(F.struct("pages", "tokens")).alias("classes"))
-    valid = F.filter("classes", lambda c: (c["pages"] >= MIN_SHARE * F.col("all")) & (F.size(c["tokens"]) > 1))
-    return by_host.select("host", F.flatten(F.transform(valid, lambda c: c["tokens"])).alias("template"))
+    most = F.filter("classes", lambda c: c["pages"] >= MIN_SHARE * F.col("all"))
+    tokens = by_host.select("host", F.flatten(F.transform(most, valid)).alias("tokens"))
+    links = F.transform(F.filter("tokens", lambda t: t["links"]), lambda t: t["token"].bitwiseXOR(F.lit(LINKS)))
+    return tokens.select("host", F.concat(F.transform("tokens", lambda t: t["token"]), links).alias("template"))
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

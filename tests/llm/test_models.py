@@ -128,6 +128,23 @@ def test_html_names_do_not_cut_the_article():
     assert text("<div class='menu'><p>a text without an article</p></div><div class='menu'><a>l</a></div>") == "a text without an article"
 
 
+def test_html_template_decides(spark):
+    note = "All of this is printed again and again by the same people at the same place. " * 5
+    a = [(i, "http://a.example/", page(f"<article id='post-{i}'><h1>Title {i}</h1><div class='x'>{note}</div><p>own <b>text</b> {i}.</p><p><a>Print this page on your printer</a> on day {i}</p><span>More</span><p>Read on</p><h2>Tools</h2></article>")) for i in range(8)]
+    plain = [(20 + i, "http://b.example/", page(f"<div class='x1'><ul><li><a>to {i}</a></li><li><a>and {i + 1}</a></li></ul></div><div class='y'>{note}<p>story {i} with a <a>link</a></p></div>")) for i in range(8)]
+    copies = [(40 + i, "http://c.example/", page("<article><p>one story in many copies</p></article>")) for i in range(12)]
+    df = spark.createDataFrame(a + plain + copies, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in htmltemplates.extract(df).collect()}
+    assert got[3] == "Title 3\nown text 3.\non day 3\nRead on" and got[23] == "story 3 with a link" and got[41] == "one story in many copies"
+
+
+def test_html_classes_pair_starts_and_ends(spark):
+    df = spark.createDataFrame([("a", page(f"<div class='x'><article>{i}</article><section>")) for i in range(8)], "host string, html string")
+    t = {r["host"]: set(r["template"]) for r in htmltemplates.deduce(df).collect()}["a"]
+    assert htmltemplates._hash("/html/body/div.class=x article") in t and htmltemplates._hash("/html/body/div.class=x/article /article") in t
+    assert htmltemplates._hash("/html/body/div.class=x section") not in t and htmltemplates._hash("/html/body div class=x") not in t
+
+
 def test_html_template_groups_tokens(spark):
     df = spark.createDataFrame([("a", page(f"<article><h1>{i}</h1>{'<p>x</p>' * (i + 1)}</article>")) for i in range(6)], "host string, html string")
     t = {r["host"]: set(r["template"]) for r in htmltemplates.deduce(df).collect()}
