@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.frame import Topology
@@ -179,7 +179,8 @@ def high_centrality(graph: Topology, k: int = 10, metric: str = "betweenness") -
 def algebraic_connectivity(graph: Topology, limit: int = 3000, rounds: int = 300) -> float:
     """Second smallest eigenvalue of the Laplacian of a connected undirected graph; 0 for one that is not.
 
-    Up to `limit` nodes by a dense solver on the driver; beyond by power iteration in joins on the shifted Laplacian.
+    Up to `limit` nodes by a dense solver on the driver; beyond by Lanczos steps in joins, `rounds` at most: RuntimeError
+    if it has not settled by then.
     """
     from graphloom.operators.cuts import components
 
@@ -200,15 +201,53 @@ def algebraic_connectivity(graph: Topology, limit: int = 3000, rounds: int = 300
         return float(max(np.linalg.eigvalsh(lap)[1], 0.0))
     arcs = materialise(e.select(F.col("src").alias("a"), F.col("dst").alias("b")).union(e.select("dst", "src")), "fiedler")
     deg = arcs.groupBy(F.col("a").alias("id")).agg(F.count("*").alias("d"))
-    shift = 2.0 * deg.agg(F.max("d")).head()[0]
-    now, value = materialise(deg.withColumn("x", F.rand(1) - 0.5), "fiedler"), 0.0
-    for r in range(rounds):
-        mean, norm = now.agg(F.avg("x"), F.sqrt(F.sum(F.col("x") * F.col("x")) - F.count("*") * F.avg("x") * F.avg("x"))).head()
-        y = now.select("id", "d", ((F.col("x") - mean) / norm).alias("x"))
-        near = y.join(arcs, y["id"] == arcs["a"]).groupBy(F.col("b").alias("id")).agg(F.sum("x").alias("s"))
-        step = materialise(y.join(near, "id").select("id", "d", (shift * F.col("x") - F.col("d") * F.col("x") + F.col("s")).alias("x"), (F.col("x") * (F.col("d") * F.col("x") - F.col("s"))).alias("q")), "fiedler")
-        was, value = value, step.agg(F.sum("q")).head()[0]
-        now = step.select("id", "d", "x")
-        if r and abs(value - was) < 1e-9 * max(value, 1e-12):
-            break
-    return float(value)
+    return _lanczos(arcs, deg, rounds)
+
+
+#: Vectors that Lanczos steps hold for each node, those kept when it starts over, and the residual that ends it.
+VECTORS, KEPT, SETTLED = 40, 12, 1e-6
+
+
+def _lanczos(arcs: DataFrame, deg: DataFrame, rounds: int) -> float:
+    """The smallest eigenvalue of the Laplacian among vectors that sum to 0, by thick restarts.
+
+    A node's row holds its entries of all vectors; one that is new is made orthogonal to them twice, and to the
+    constant. Its residual bounds a value's distance from an eigenvalue.
+    """
+    n = deg.count()
+
+    def times(weights) -> Column:  # the sum of the vectors by weights
+        return F.aggregate(F.zip_with("q", F.array(*(F.lit(float(x)) for x in weights)), lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
+
+    def sums(df: DataFrame, x: Column, k: int) -> np.ndarray:  # products with each vector, the sum and the square
+        row = df.select("q", x.alias("x")).agg(*(F.sum(F.col("x") * F.col("q")[j]).alias(f"s{j}") for j in range(k)), F.sum("x").alias("sum"), F.sum(F.col("x") * F.col("x")).alias("square")).head()
+        return np.array(row, float)
+
+    now = materialise(deg.withColumn("x", F.xxhash64("id") / F.lit(2.0**63)), "fiedler")
+    mean = now.agg(F.avg("x")).head()[0]
+    norm = now.agg(F.sqrt(F.sum((F.col("x") - mean) * (F.col("x") - mean)))).head()[0]
+    now = now.select("id", "d", F.array((F.col("x") - mean) / norm).alias("q"))
+    h, k = np.zeros((VECTORS, VECTORS)), 1
+    for _ in range(rounds):
+        last = F.element_at("q", -1)
+        near = now.select("id", last.alias("x")).join(arcs, F.col("id") == arcs["a"]).groupBy(F.col("b").alias("id")).agg(F.sum("x").alias("s"))
+        now = materialise(now.join(near, "id").select("id", "d", "q", (F.col("d") * last - F.col("s")).alias("y")), "fiedler")
+        got = sums(now, F.col("y"), k)
+        h[:k, k - 1] = h[k - 1, :k] = got[:k]
+        w = F.col("y") - times(got[:k]) - F.lit(got[k] / n)
+        again = sums(now, w, k)
+        w = w - times(again[:k]) - F.lit(again[k] / n)
+        beta = float(np.sqrt(max(again[k + 1] - (again[:k] ** 2).sum() - again[k] ** 2 / n, 0.0)))
+        values, vectors = np.linalg.eigh(h[:k, :k])
+        if beta * abs(vectors[-1, 0]) <= SETTLED * values[0] or beta <= 1e-12 * values[-1] or k >= n - 1:
+            return float(max(values[0], 0.0))
+        new = w / F.lit(beta)
+        if k == VECTORS:
+            now = now.select("id", "d", F.array(*(times(vectors[:, i]) for i in range(KEPT)), new).alias("q"))
+            h = np.zeros_like(h)
+            h[np.arange(KEPT), np.arange(KEPT)] = values[:KEPT]
+            k = KEPT + 1
+        else:
+            now = now.select("id", "d", F.array_append("q", new).alias("q"))
+            k += 1
+    raise RuntimeError(f"algebraic connectivity did not settle in {rounds} rounds")

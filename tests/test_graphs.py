@@ -111,6 +111,19 @@ def test_fiedler_of_a_path(spark):
     assert centrality.algebraic_connectivity(g, limit=1, rounds=60) == pytest.approx(1.0, abs=1e-4)
 
 
+def test_fiedler_of_hubs(spark, monkeypatch):
+    rng = random.Random(3)
+    pairs = [(f"h{i}", f"h{i + 1}") for i in range(4)] + [(f"h{h}", f"l{i}") for i in range(90) for h in sorted({rng.randrange(5), rng.randrange(5)})]
+    g = build(spark, pairs)
+    want = centrality.algebraic_connectivity(g)
+    assert centrality.algebraic_connectivity(g, limit=1, rounds=60) == pytest.approx(want, rel=1e-5)
+    monkeypatch.setattr(centrality, "VECTORS", 12)
+    monkeypatch.setattr(centrality, "KEPT", 4)
+    assert centrality.algebraic_connectivity(g, limit=1, rounds=60) == pytest.approx(want, rel=1e-5)
+    with pytest.raises(RuntimeError):
+        centrality.algebraic_connectivity(g, limit=1, rounds=3)
+
+
 def test_traversal(spark, hierarchy):
     assert {r["id"] for r in traversal.k_hop(hierarchy, "acc1", 1).collect()} == {"acc1", "dist1"}
     with pytest.raises(ValueError):
