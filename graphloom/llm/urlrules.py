@@ -16,8 +16,7 @@ from graphloom.llm.sparkio import materialise, partitions
 
 BAD = "label=bad"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-MIN_SUPPORT = 0.002
-MIN_COUNT = 25  # labelled URLs that a rule needs at least
+MIN_COUNT = 25  # labelled URLs that a rule needs, at every size of the table
 MIN_CONFIDENCE = 0.6
 LIFT = 1.5
 MAX_DEPTH = 3  # host labels that give suffix tokens
@@ -48,11 +47,11 @@ def tokens_of(url: Column) -> Column:
     return F.when(host == "", F.array().cast("array<string>")).otherwise(F.array_distinct(F.array_compact(parts)))
 
 
-def mine(labelled: DataFrame, url_col: str = "url", bad_col: str = "bad", min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, lift: float = LIFT) -> DataFrame:
+def mine(labelled: DataFrame, url_col: str = "url", bad_col: str = "bad", min_count: int = MIN_COUNT, min_confidence: float = MIN_CONFIDENCE, lift: float = LIFT) -> DataFrame:
     """Rules (rule_id, tokens, confidence, support) from URLs with a boolean label.
 
-    min_support is the share of labelled URLs that hold the tokens and the bad label together, MIN_COUNT of them at least; a rule's confidence must
-    reach min_confidence and lift times the share of bad ones. A rule falls away if one on fewer of its tokens is as
+    At least min_count labelled URLs hold the tokens and the bad label together; a rule's confidence must reach
+    min_confidence and lift times the share of bad ones. A rule falls away if one on fewer of its tokens is as
     confident. Rows with a null label are passed over; without any labelled row there is no rule.
     """
     rows = labelled.where(F.col(bad_col).isNotNull()).select(F.col(bad_col).cast("boolean").alias("bad"), tokens_of(F.col(url_col)).alias("found"))
@@ -62,11 +61,10 @@ def mine(labelled: DataFrame, url_col: str = "url", bad_col: str = "bad", min_su
     total, bad = rows.agg(F.count("*"), F.count_if("bad")).head()
     if not bad:
         return empty
-    min_support = max(min_support, MIN_COUNT / total)
-    if min_support > 1:
+    if bad < min_count:
         return empty
     need = max(min_confidence, lift * bad / total)
-    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min(need, 1.0), numPartitions=partitions(rows.sparkSession)).fit(rows.where(F.size("items") > 0))
+    model = FPGrowth(itemsCol="items", minSupport=(min_count - 0.5) / total, minConfidence=min(need, 1.0), numPartitions=partitions(rows.sparkSession)).fit(rows)
     found = model.associationRules.where((F.size("consequent") == 1) & (F.element_at("consequent", 1) == BAD) & (F.col("confidence") >= need))
     found = materialise(found.select(F.array_sort("antecedent").alias("tokens"), "confidence", "support"), "url-rules")
     smaller = found.select(F.col("tokens").alias("fewer"), F.col("confidence").alias("as_good"))

@@ -161,6 +161,16 @@ def test_url_rules(spark):
     assert urlrules.judge(df.limit(0), rules, catalog.URL_RULES).count() == 0
 
 
+def test_url_mining_needs_the_same_count_at_every_size(spark):
+    bad = [(f"http://spam.example.net/win/{i}", True) for i in range(30)]
+    for n in (200, 40_000):
+        good = spark.range(n).selectExpr("concat('http://good', id % 7, '.example.org/news/', id) as url", "false as bad")
+        rules = urlrules.mine(spark.createDataFrame(bad, "url string, bad boolean").union(good))
+        assert any("path=win" in r["tokens"] for r in rules.collect()), n
+    few = spark.createDataFrame(bad[:24] + [("http://a.org/", False)] * 50, "url string, bad boolean")
+    assert urlrules.mine(few).count() == 0
+
+
 def test_url_mining_and_matching(spark):
     rows = [(f"http://spam{i % 3}.example.net/win/{i}?ref=a", True) for i in range(60)] + [(f"http://good{i % 7}.example.net/news/{i}", i % 20 == 0) for i in range(200)] + [("x://y", None)]
     rules = urlrules.mine(spark.createDataFrame(rows, "url string, bad boolean"))
