@@ -184,6 +184,21 @@ def test_pipeline_stages(spark, tmp_path):
     assert all(r["n_chars"] == len(r["text"]) for r in seen[2].collect())
 
 
+def test_pipeline_keeps_rows_that_repeats_empty(spark):
+    one, two = "the first passage, which is long enough to count as one " * 2, "another passage of the same kind, shared by later documents. "
+    texts = {1: one + two, 2: two, 3: one, 4: "", 5: two + "and a few words of its own", 6: one + two + one}
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in texts.items()], "doc_id long, text string, lang string, source string, n_chars long")
+    want = {}
+    for i, t in texts.items():
+        gone = set()
+        for p in range(len(t) - 49):
+            if any(t[p : p + 50] in other for j, other in texts.items() if j < i):
+                gone.update(range(p, p + 50))
+        want[i] = "".join(c for p, c in enumerate(t) if p not in gone)
+    assert want[2] == want[3] == ""
+    assert {r["doc_id"]: (r["text"], r["n_chars"]) for r in corpus_pipeline.drop_repeats(spark, docs, "").collect()} == {i: (t, len(t)) for i, t in want.items()}
+
+
 def test_pipeline_on_nothing(spark, tmp_path):
     empty(spark).select(*corpus_pipeline.COLUMNS).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
