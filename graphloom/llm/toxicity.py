@@ -191,9 +191,10 @@ def learn(docs: DataFrame, labels: DataFrame, may_learn: Column | None = None, m
     found = F.broadcast(found)  # max_rows rows at most
     sizes = texts.join(found, "id").groupBy("id").agg(F.sum(F.octet_length("text").cast("long")).alias("bytes")).select("id", "bytes", F.xxhash64("id").alias("place")).toArrow().sort_by([("place", "ascending"), ("id", "ascending")])
     before = np.r_[0, np.cumsum(sizes["bytes"].to_numpy())][:-1]
-    ids = sizes["id"].filter(pa.array(before < max_bytes)).to_pylist()
-    taken = docs.sparkSession.createDataFrame([(i,) for i in ids], "id long")
-    got = texts.join(F.broadcast(found.join(taken, "id")), "id").select("id", "text", "label").toArrow()
+    if (before >= max_bytes).any():
+        ids = sizes["id"].filter(pa.array(before < max_bytes)).to_pylist()
+        found = F.broadcast(found.join(docs.sparkSession.createDataFrame([(i,) for i in ids], "id long"), "id"))
+    got = texts.join(found, "id").select("id", "text", "label").toArrow()
     got = got.sort_by([("id", "ascending"), ("text", "ascending")]).slice(0, max_rows).combine_chunks()
     if not got.num_rows:
         return Model()
