@@ -83,9 +83,9 @@ def pack_documents(df: DataFrame, n_parts: int) -> DataFrame:
 
 
 def variants(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
-    """A 16-bit checksum of each text, which tells rows of one id with different texts apart."""
+    """A 64-bit hash of each text, which tells rows of one id with different texts apart."""
     view = memoryview(np.ascontiguousarray(buf))
-    return np.fromiter((xxhash.xxh3_64_intdigest(view[a:b]) & 0xFFFF for a, b in zip(off[:-1].tolist(), off[1:].tolist())), np.uint16, len(off) - 1)
+    return np.fromiter((xxhash.xxh3_64_intdigest(view[a:b]) for a, b in zip(off[:-1].tolist(), off[1:].tolist())), np.uint64, len(off) - 1)
 
 
 @dataclass
@@ -105,7 +105,7 @@ def unpack_documents(rows: pa.Table) -> Documents:
     """The documents of a part's blobs, in the order of id and variant."""
     parts = [expand(n, b) for n, b in zip(rows.column("n_raw").to_pylist(), rows.column("blob").to_pylist())]
     if not parts:
-        return Documents(np.zeros(0, np.int64), np.zeros(0, np.uint16), np.zeros(1, np.int64), np.zeros(0, np.uint8))
+        return Documents(np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(1, np.int64), np.zeros(0, np.uint8))
     ids, kinds, sizes, buf = (np.concatenate(c) for c in zip(*parts))
     first = np.cumsum(sizes) - sizes
     order = np.lexsort((kinds, ids))

@@ -24,64 +24,69 @@ from graphloom.llm.sparkio import materialise, partitions
 
 K = 16
 SLICE_BYTES = 500_000
-TEXT_BYTES = 200_000  # fragments whose suffixes are sorted together, about
+TEXT_BYTES = 400_000  # fragments whose suffixes are sorted together, about
+MANY = 2000  # open fragments of an anchor beyond which their windows are dealt one by one
 
 
 # -- arrays over one text -----------------------------------------------------------------------------------------
 
 
-def suffix_order(text: np.ndarray, depth: int) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Suffixes in the order of their first `depth` or more symbols (ties by position), and ranks by 1, 2, 4 ... symbols.
+def window_order(raw: np.ndarray, at: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Suffixes of raw that start at the positions `at`, in the order of their first depth bytes, and common prefixes.
 
-    text: non-negative numbers. Symbols past the end count as smaller than any.
+    Returns places in `at` and the common prefix of each suffix with the one before it, depth at most. Eight bytes are
+    compared at a time, and after the first eight only suffixes that have not come apart yet. Each position needs depth
+    bytes; depth is 8 at least.
     """
-    n = len(text)
-    rank = np.unique(text, return_inverse=True)[1].astype(np.int64)
-    levels = [rank]
-    width = 1
-    while width < depth:
-        second = np.zeros(n, np.int64)
-        second[: max(n - width, 0)] = rank[width:] + 1
-        key = rank * (n + 1) + second
-        order = np.argsort(key, kind="stable")
-        step = np.r_[0, np.cumsum(key[order][1:] != key[order][:-1])] if n else np.zeros(0, np.int64)
-        rank = np.empty(n, np.int64)
-        rank[order] = step
-        levels.append(rank)
-        width *= 2
-    return np.argsort(rank, kind="stable"), levels
-
-
-def neighbours_common(order: np.ndarray, levels: list[np.ndarray]) -> np.ndarray:
-    """Common prefix of each suffix with the one before it in the order, up to twice the deepest level."""
-    n = len(order)
-    common = np.zeros(n, np.int64)
-    if n < 2:
-        return common
-    a, b = order[1:].copy(), order[:-1].copy()
-    got = np.zeros(n - 1, np.int64)
-    for level in range(len(levels) - 1, -1, -1):
-        width, rank = 1 << level, levels[level]
-        for _ in range(2 if level == len(levels) - 1 else 1):
-            x, y = a + got, b + got
-            inside = (x + width <= n) & (y + width <= n)
-            same = np.zeros(n - 1, bool)
-            i = np.flatnonzero(inside)
-            same[i] = rank[x[i]] == rank[y[i]]
-            got[same] += width
-    common[1:] = got
-    return common
-
-
-def nearest_smaller(owner: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    n = len(at)
+    pad = np.zeros(len(raw) + 8, np.uint8)
+    pad[: len(raw)] = raw
+    lanes = np.ndarray((len(raw) + 1,), ">u8", pad.data, strides=(1,))
+    key = lanes[at].astype(np.uint64)
+    order = np.argsort(key)
+    common = np.full(n, depth, np.int64)
+    common[:1] = 0
+    head = np.zeros(n, bool)  # starts a run of suffixes that are equal so far
+    head[:1] = True
+    key = key[order]
+    done = _apart(key, head, common, np.arange(1, n), 0)
+    offset = 8
+    while offset < depth and not done:
+        offset = min(offset, depth - 8)  # the last eight may overlap those before: they are equal there
+        run = np.cumsum(head) - 1
+        i = np.flatnonzero(np.bincount(run)[run] > 1)
+        key = lanes[at[order[i]] + offset].astype(np.uint64)
+        by = np.lexsort((key, run[i]))
+        order[i], key = order[i][by], key[by]
+        whole = np.zeros(n, np.uint64)
+        whole[i] = key
+        done = _apart(whole, head, common, i[~head[i]], offset)
+        offset += 8
+    return order, common
+
+
+def _apart(key: np.ndarray, head: np.ndarray, common: np.ndarray, i: np.ndarray, offset: int) -> bool:
+    """Notes which of the places i differ from the one before them in eight bytes at offset; whether none is left equal."""
+    differ = key[i] ^ key[i - 1]
+    new = differ != 0
+    at = i[new]
+    head[at] = True
+    common[at] = offset + 7 - np.searchsorted(_BYTE_STEPS, differ[new], "right")
+    return not len(i) or bool(new.all())
+
+
+_BYTE_STEPS = np.array([1 << 8 * k for k in range(1, 8)], np.uint64)
+
+
+def nearest_smaller(owner: np.ndarray, common: np.ndarray, floor: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """For each place in suffix order: the nearest place before it of a smaller owner (-1: none), and the common prefix with it.
 
     Every place points to the one before; places whose pointer is not smaller jump to where that one points, all at once,
-    keeping the least common prefix on the way.
+    keeping the least common prefix on the way. Places whose common prefix falls below floor have none.
     """
     n = len(owner)
-    at = np.arange(n) - 1
     least = common.copy()
+    at = np.where(least < max(floor, 1), -1, np.arange(n) - 1)
     open_ = np.flatnonzero(at >= 0)
     open_ = open_[owner[at[open_]] >= owner[open_]]
     while len(open_):
@@ -94,20 +99,34 @@ def nearest_smaller(owner: np.ndarray, common: np.ndarray) -> tuple[np.ndarray,
     return at, least
 
 
-def longest_previous_factors(text: np.ndarray, owner: np.ndarray, depth: int) -> np.ndarray:
-    """Each position's longest match with a position of a strictly smaller owner (exact up to `depth`, else depth or more)."""
-    if not len(text):
+def previous_factors(raw: np.ndarray, at: np.ndarray, owner: np.ndarray, depth: int, floor: int = 0) -> np.ndarray:
+    """The longest match of each suffix that starts at a position of `at` with one of a strictly smaller owner.
+
+    owner: the owner of each position. Exact up to depth, which every position has as bytes; matches below floor are 0.
+    """
+    if not len(at):
         return np.zeros(0, np.int64)
-    order, levels = suffix_order(text, depth)
-    common = neighbours_common(order, levels)
+    order, common = window_order(raw, at, depth)
     by = owner[order]
-    _, before = nearest_smaller(by, common)
-    _, after = nearest_smaller(by[::-1], np.r_[0, common[:0:-1]])
-    out = np.empty(len(text), np.int64)
+    _, before = nearest_smaller(by, common, floor)
+    _, after = nearest_smaller(by[::-1], np.r_[0, common[:0:-1]], floor)
+    out = np.empty(len(at), np.int64)
     out[order] = np.maximum(before, after[::-1])
     return out
 
 
+def longest_previous_factors(text: np.ndarray, owner: np.ndarray, depth: int) -> np.ndarray:
+    """Each position's longest match with a position of a strictly smaller owner (exact up to `depth`, else depth or more).
+
+    text: numbers, of 255 different ones at most. The end of the text is a symbol of its own, smaller than any.
+    """
+    symbols, raw = np.unique(text, return_inverse=True)
+    if len(symbols) > 255:
+        raise ValueError("more than 255 symbols")
+    depth = max(depth, 8)
+    return previous_factors(np.r_[(raw + 1).astype(np.uint8), np.zeros(depth, np.uint8)], np.arange(len(text)), owner, depth)
+
+
 # -- fragments ----------------------------------------------------------------------------------------------------
 
 
@@ -239,11 +258,12 @@ def _from_six(raw: np.ndarray) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-def _settle(n_parts: int):
+def _settle(n_parts: int, many: int):
     """For each part of anchors: runs to remove of fragments that a smaller document has whole, and the fragments to sort.
 
     A fragment is to be sorted if another of its anchor differs from it and another document has the anchor: rows of
-    the fragment's smallest document, as blobs by the part of that document.
+    the fragment's smallest document, as blobs by the part of that document. Those of anchors with more than `many`
+    different fragments are marked.
     """
 
     def run(rows: pa.Table) -> pa.Table:
@@ -268,8 +288,9 @@ def _settle(n_parts: int):
             names = np.bincount(a[new_f])
             low, high = np.minimum.reduceat(ids, np.flatnonzero(new_a)), np.maximum.reduceat(ids, np.flatnonzero(new_a))
             open_ = ((names > 1) & (low < high))[a] & ~later
+            crowded = (names > many)[a][open_].astype(np.uint8)
             part = P.part_of(ids[open_], n_parts)
-            cols = (ids[open_], kinds[open_], start[open_], length[open_].astype(np.uint8), anchor[open_] * A.U64(n_parts) + A.U64(rows.column("part")[0].as_py()))
+            cols = (ids[open_], kinds[open_], start[open_], length[open_].astype(np.uint8), anchor[open_] * A.U64(n_parts) + A.U64(rows.column("part")[0].as_py()), crowded)
             by = np.argsort(part, kind="stable")
             cut = np.searchsorted(part[by], np.arange(n_parts + 1))
             out += [(int(p), ANCHORS, *P.squeeze(*(c[by[cut[p] : cut[p + 1]]] for c in cols))) for p in np.unique(part)]
@@ -291,36 +312,63 @@ def _locate(documents: P.Documents, ids: np.ndarray, kinds: np.ndarray) -> np.nd
     return np.where(at < hi, at, -1)
 
 
-def _cut_out(n_parts: int):
-    """The bytes of open fragments: (anchor part, anchor, doc_id, variant, start, bytes) from a part's documents."""
+def _cut_out(n_parts: int, width: int):
+    """The bytes of open fragments, by bucket of their anchor, from a part's documents.
+
+    A fragment of a crowded anchor is cut into its windows, which go to buckets by their own bytes, so that no bucket
+    gets all of them; windows that a smaller document of the part has too are removed here.
+    """
 
     def run(docs: pa.Table, found: pa.Table) -> pa.Table:
         parts = [P.expand(n, z) for n, z in zip(found.column("n_raw").to_pylist(), found.column("blob").to_pylist())]
-        empty = pa.table({"bucket": pa.array([], pa.int32()), "n_raw": pa.array([], pa.int64()), "blob": pa.array([], pa.binary())})
         if not parts or not docs.num_rows:
-            return empty
-        ids, kinds, start, length, anchor = (np.concatenate(c) for c in zip(*parts))
+            return pa.Table.from_batches([_batch([])])
+        ids, kinds, start, length, anchor, crowded = (np.concatenate(c) for c in zip(*parts))
         d = P.unpack_documents(docs)
         row = _locate(d, ids, kinds)
-        ids, kinds, start, length, anchor, row = (c[row >= 0] for c in (ids, kinds, start, length.astype(np.int64), anchor, row))
+        there = row >= 0
+        row, start, length, anchor, crowded = row[there], start[there], length[there].astype(np.int64), anchor[there], crowded[there] > 0
+        out = []
+        if crowded.any():
+            each = length[crowded] - width + 1
+            w_row = np.repeat(row[crowded], each)
+            w_start = A.ragged(start[crowded], each)
+            place = d.off[w_row] + w_start
+            name = A.span_hash(d.buf, place, np.full(len(place), width))
+            # Neighbours of one fragment or of two overlapping ones may repeat a window.
+            by = np.lexsort((place, d.ids[w_row], name))
+            w_row, w_start, name = w_row[by], w_start[by], name[by]
+            new = np.ones(len(name), bool)
+            new[1:] = name[1:] != name[:-1]
+            least = d.ids[w_row][new][np.cumsum(new) - 1]
+            later = d.ids[w_row] > least
+            out += _gone(n_parts, d.ids[w_row][later], d.kinds[w_row][later], w_start[later], w_start[later] + width)
+            keep = ~later
+            row = np.r_[row[~crowded], w_row[keep]]
+            start = np.r_[start[~crowded], w_start[keep]]
+            length = np.r_[length[~crowded], np.full(int(keep.sum()), width)]
+            anchor = np.r_[anchor[~crowded], name[keep]]
+        ids, kinds = d.ids[row], d.kinds[row]
         bucket = (A.mix(anchor) % A.U64(n_parts)).astype(np.int32)
         by = np.lexsort((anchor, bucket))
         cut = np.searchsorted(bucket[by], np.arange(n_parts + 1))
-        out = []
         for p in np.unique(bucket):
             at = by[cut[p] : cut[p + 1]]
-            out.append((int(p), *P.squeeze(anchor[at], ids[at], kinds[at], start[at], length[at].astype(np.uint8), d.buf[A.ragged(d.off[row[at]] + start[at], length[at])])))
-        cols = list(zip(*out))
-        return pa.table({"bucket": pa.array(cols[0], pa.int32()), "n_raw": pa.array(cols[1], pa.int64()), "blob": pa.array(cols[2], pa.binary())})
+            out.append((int(p), ANCHORS, *P.squeeze(anchor[at], ids[at], kinds[at], start[at], length[at].astype(np.uint8), d.buf[A.ragged(d.off[row[at]] + start[at], length[at])])))
+        return pa.Table.from_batches([_batch(out)])
 
     return run
 
 
 def _sorted_texts(width: int, n_parts: int):
-    """Runs to remove from the fragments of a bucket of anchors, by longest previous factors."""
+    """Runs to remove from the fragments of a bucket of anchors, by longest previous factors; runs found before pass through."""
 
     def run(found: pa.Table) -> pa.Table:
-        parts = [P.expand(n, z) for n, z in zip(found.column("n_raw").to_pylist(), found.column("blob").to_pylist())]
+        rows = list(zip(*(found.column(c).to_pylist() for c in ("part", "kind", "n_raw", "blob"))))
+        out = [r for r in rows if r[1] == GONE]
+        parts = [P.expand(n, z) for _, k, n, z in rows if k == ANCHORS]
+        if not parts:
+            return pa.Table.from_batches([_batch(out)])
         anchor, ids, kinds, start, length, raw = (np.concatenate(c) for c in zip(*parts))
         length = length.astype(np.int64)
         first = np.cumsum(length) - length
@@ -333,20 +381,16 @@ def _sorted_texts(width: int, n_parts: int):
             hi = int(ends[max(k, np.searchsorted(ends, lo, "right"))])
             at = order[lo:hi]
             n = length[at]
-            text = np.full(int((n + 1).sum()), 0, np.int64)
-            place = np.cumsum(n + 1) - (n + 1)
-            here = A.ragged(place, n)
-            text[here] = raw[A.ragged(first[at], n)].astype(np.int64) + 1 + len(at)
-            text[place + n] = np.arange(len(at))  # a symbol of its own after each fragment
-            owner = np.repeat(ids[at], n + 1)
-            hit = longest_previous_factors(text, owner, 64) >= width
-            pos = np.flatnonzero(hit)
-            f = np.repeat(np.arange(len(at)), n + 1)[pos]
-            s = start[at][f] + pos - place[f]
+            text = raw[A.ragged(first[at], n)]
+            place, windows = np.cumsum(n) - n, n - width + 1
+            begin = A.ragged(place, windows)
+            f = np.repeat(np.arange(len(at)), windows)
+            pos = np.flatnonzero(previous_factors(text, begin, ids[at][f], width, width) >= width)
+            f = f[pos]
+            s = start[at][f] + begin[pos] - place[f]
             gone.append((ids[at][f], kinds[at][f], s, s + width))
             lo = hi
-        cols = tuple(np.concatenate(c) for c in zip(*gone))
-        return pa.Table.from_batches([_batch(_gone(n_parts, *cols))])
+        return pa.Table.from_batches([_batch(out + _gone(n_parts, *(np.concatenate(c) for c in zip(*gone))))])
 
     return run
 
@@ -377,8 +421,9 @@ def repeated_spans(df: DataFrame, width: int = 50, id_col: str = "doc_id", text_
     """(doc_id, raw, starts, ends) of every row: the text's UTF-8 bytes and the maximal runs of bytes to remove.
 
     Documents are compared by id: only a strictly smaller one removes. Rows of one id do not remove from each other and
-    rows of a null id neither remove nor lose anything. A null text is empty. Other columns are ignored; an empty table
-    gives an empty result.
+    rows of a null id neither remove nor lose anything. A null text is empty. A very long text is cut in windows that
+    overlap, so only its bytes themselves are in memory at once. Other columns are ignored; an empty table gives an
+    empty result.
     """
     if not K + 1 <= width <= 128:
         raise ValueError(f"width must be {K + 1} to 128")
@@ -386,11 +431,11 @@ def repeated_spans(df: DataFrame, width: int = 50, id_col: str = "doc_id", text_
     docs = rows.where("doc_id is not null")
     n_parts = P.count_parts(docs)
     n = partitions(df.sparkSession)
-    found = materialise(_anchors(docs, width, n_parts).repartition(n, "part").groupBy("part").applyInArrow(_settle(n_parts), _BLOBS), "suffix-found")
+    found = materialise(_anchors(docs, width, n_parts).repartition(n, "part").groupBy("part").applyInArrow(_settle(n_parts, MANY), _BLOBS), "suffix-found")
     packed = P.pack_documents(docs, n_parts)
     opened = found.where(F.col("kind") == ANCHORS)
-    cut = packed.groupBy("part").cogroup(opened.groupBy("part")).applyInArrow(_cut_out(n_parts), "bucket int, n_raw long, blob binary")
-    more = materialise(cut.groupBy("bucket").applyInArrow(_sorted_texts(width, n_parts), _BLOBS), "suffix-sorted")
+    cut = packed.groupBy("part").cogroup(opened.groupBy("part")).applyInArrow(_cut_out(n_parts, width), _BLOBS)
+    more = materialise(cut.groupBy("part").applyInArrow(_sorted_texts(width, n_parts), _BLOBS), "suffix-sorted")
     gone = found.where(F.col("kind") == GONE).union(more)
     out = packed.groupBy("part").cogroup(gone.groupBy("part")).applyInArrow(_apply, "doc_id long, raw binary, starts array<long>, ends array<long>")
     none = F.array().cast("array<long>")
