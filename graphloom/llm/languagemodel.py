@@ -2,10 +2,11 @@
 
 P(w | v) = l2 * c(vw) / c(v) + l1 * c(w) / N + l0 / (V + 1), maximum-likelihood estimates of both orders and a uniform
 share; the weights l depend on the bucket (power of two) of the context's count and are learned by expectation-
-maximisation on counts held out from the estimates: the n-grams of the parts of the corpus chosen by HELD are counted
-apart, taken out of the counts, and explained by what is left. The final estimates use all training counts.
+maximisation on counts held out from the estimates: the n-grams of one in HELD training documents, by a hash of the id,
+are counted apart, taken out of the counts, and explained by what is left. The final estimates use all training counts.
+No number of parts or partitions changes a score.
 
-Documents are dealt to parts. A part asks for the counts of its distinct words and word pairs, each once, from the parts
+Documents are dealt to parts, the held-out ones to parts of their own. A part asks for the counts of its distinct words and word pairs, each once, from the parts
 that own them by hash; those add up what all parts have sent and answer in the same order. So counting and scoring
 shuffle each distinct pair of a part once each way, frequent ones no more often than rare ones, and no vocabulary goes
 to one task or to the driver.
@@ -27,7 +28,7 @@ from graphloom.llm.sparkio import materialise
 
 END = np.uint64(0x2545F4914F6CDD1D)
 START = np.uint64(0x9E6C63D0676A9A99)
-HELD = 10  # every tenth part of the corpus is held out for the weights
+HELD = 10  # one in so many documents is held out for the weights
 ADD = 0.1  # of the base score
 BUCKETS = 32
 STEP = 0.05  # of the natural logarithms in the histogram that the weights are learned from
@@ -43,6 +44,21 @@ def in_training(ids: np.ndarray, folds: int) -> np.ndarray:
     return np.fromiter((i != NO_ID and zlib.crc32(str(i).encode()) % folds != 0 for i in ids.tolist()), bool, len(ids))
 
 
+def held_out(ids: np.ndarray) -> np.ndarray:
+    """Whether a document's counts are for the weights. A null id's are not."""
+    return (A.mix(ids.view(np.uint64) + A.U64(0x7C15F39CC0605CED)) % A.U64(HELD) == 0) & (ids != NO_ID)
+
+
+def _place(n_main: int, n_parts: int):
+    """Parts from n_main on hold the held-out documents. Rows of a null id, which may be many, are dealt by their text."""
+
+    def run(ids: np.ndarray, kinds: np.ndarray) -> np.ndarray:
+        by = np.where(ids == NO_ID, kinds.view(np.int64), ids)
+        return np.where(held_out(ids), n_main + P.part_of(by, n_parts - n_main), P.part_of(by, n_main)).astype(np.int32)
+
+    return run
+
+
 class Tokens:
     """The tokens of a part's documents: words, then an end; and the distinct words and pairs."""
 
@@ -106,8 +122,16 @@ def _table(rows: list[tuple], names: list[str]) -> pa.Table:
     return pa.table([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary()))], [*names, "n_raw", "blob"])
 
 
-def _answer(rows: pa.Table) -> pa.Table:
+def _answer(n_main: int):
     """Totals of an owner's keys for each part that asked: all counts, and for held-out parts also the held-out ones."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        return _totals(rows, n_main)
+
+    return run
+
+
+def _totals(rows: pa.Table, n_main: int) -> pa.Table:
     kind, owner = rows.column("kind")[0].as_py(), rows.column("owner")[0].as_py()
     parts = rows.column("part").to_pylist()
     keys, counts = zip(*(P.expand(n, z) for n, z in zip(rows.column("n_raw").to_pylist(), rows.column("blob").to_pylist())))
@@ -115,13 +139,13 @@ def _answer(rows: pa.Table) -> pa.Table:
     every, at = np.unique(np.concatenate([np.cumsum(k, dtype=np.uint64) for k in keys]), return_inverse=True)
     counts = np.concatenate(counts).astype(np.int64)
     total = np.bincount(at, counts, len(every)).astype(np.int64)
-    apart = np.repeat(np.array(parts) % HELD == 0, size)
+    apart = np.repeat(np.array(parts) >= n_main, size)
     held = np.bincount(at[apart], counts[apart], len(every)).astype(np.int64)
     out, lo = [], 0
     for p, n in zip(parts, size.tolist()):
         mine = at[lo : lo + n]
         lo += n
-        out.append((p, kind, owner, *P.squeeze(_small(total[mine]), *([_small(held[mine])] if p % HELD == 0 else []))))
+        out.append((p, kind, owner, *P.squeeze(_small(total[mine]), *([_small(held[mine])] if p >= n_main else []))))
     if kind == WORDS:
         out.append((-1, TOTALS, owner, *P.squeeze(np.array([total.sum(), held.sum(), (total > 0).sum()]))))
     return _table(out, ["part", "kind", "owner"])
@@ -212,6 +236,7 @@ def learn_weights(cells: np.ndarray) -> np.ndarray:
             w = share / share.sum()
         return w
 
+    cells = cells[np.lexsort(cells.T)]  # one order of summing, whatever the tasks
     out[:] = fit(cells)
     for b in np.unique(cells[:, 0]):
         out[b] = fit(cells[cells[:, 0] == b])
@@ -252,20 +277,25 @@ def score(df: DataFrame, folds: int = 10, id_col: str = "doc_id", text_col: str
     """Scores of every whole text under a model of the texts whose crc32(id as text) mod folds is not 0.
 
     A null or empty text is the end token alone. A null id stays null, is held out and teaches nothing. Repeated rows
-    count and are scored each. With no training text the model is uniform over one unknown word. Other columns are
-    ignored; an empty table gives an empty result.
+    count and are scored each. With no training text the model is uniform over one unknown word; where all training
+    documents are held out from the estimates, or none is, the weights are fixed ones. A very long text is one document
+    of its part and in memory as a whole. Other columns are ignored; an empty table gives an empty result.
     """
     docs = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    n_parts = P.count_parts(docs)
-    packed = P.pack_documents(docs, n_parts)
+    n_main = P.count_parts(docs)
+    n_parts = n_main + -(-n_main // (HELD - 1))
+    packed = P.pack_documents(docs, n_parts, _place(n_main, n_parts))
     asked = packed.groupBy("part").applyInArrow(_ask(n_parts, folds), ASKED)
-    told = materialise(asked.groupBy("owner", "kind").applyInArrow(_answer, TOLD), "lm-counts")
+    told = materialise(asked.groupBy("owner", "kind").applyInArrow(_answer(n_main), TOLD), "lm-counts")
     totals = told.where(F.col("kind") == TOTALS).select("n_raw", "blob").toArrow()  # three numbers from each part
     sums = sum((P.expand(n, z)[0] for n, z in zip(totals["n_raw"].to_pylist(), totals["blob"].to_pylist())), np.zeros(3, np.int64))
     tokens, held, vocabulary = (int(x) for x in sums)
     replies = told.where(F.col("kind") != TOTALS)
-    apart = F.col("part") % HELD == 0
-    cells = packed.where(apart).groupBy("part").cogroup(replies.where(apart).groupBy("part")).applyInArrow(_histogram(n_parts, folds, tokens - held, vocabulary), "bucket long, pair long, word long, n long")
-    grid = cells.groupBy("bucket", "pair", "word").agg(F.sum("n").alias("n")).toArrow()  # as many cells at most as the grid of logarithms has
-    weights = Weights(learn_weights(np.stack([grid[c].to_numpy() for c in ("bucket", "pair", "word", "n")], 1)), tokens, vocabulary)
+    cells = np.zeros((0, 4), np.int64)
+    if held < tokens:
+        apart = F.col("part") >= n_main
+        found = packed.where(apart).groupBy("part").cogroup(replies.where(apart).groupBy("part")).applyInArrow(_histogram(n_parts, folds, tokens - held, vocabulary), "bucket long, pair long, word long, n long")
+        grid = found.groupBy("bucket", "pair", "word").agg(F.sum("n").alias("n")).toArrow()  # as many cells at most as the grid of logarithms has
+        cells = np.stack([grid[c].to_numpy() for c in ("bucket", "pair", "word", "n")], 1)
+    weights = Weights(learn_weights(cells), tokens, vocabulary)
     return packed.groupBy("part").cogroup(replies.groupBy("part")).applyInArrow(_score(n_parts, folds, weights), SCORED)

@@ -60,17 +60,20 @@ def grouped(batches, column: str, max_bytes: int = CHUNK_BYTES):
         yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
-def pack_documents(df: DataFrame, n_parts: int) -> DataFrame:
-    """Rows (doc_id, text) without null ids as blobs of ids, variants, sizes and bytes."""
+def pack_documents(df: DataFrame, n_parts: int, place=None) -> DataFrame:
+    """Rows (doc_id, text) without null ids as blobs of ids, variants, sizes and bytes.
+
+    place: the parts of ids and variants, where they are not those of part_of().
+    """
 
     def run(batches):
         for b in grouped(batches, "text"):
             buf, off = A.utf8(b.column("text"))
             ids = b.column("doc_id").to_numpy().astype(np.int64)
-            part = part_of(ids, n_parts)
+            kinds = variants(buf, off)
+            part = place(ids, kinds) if place else part_of(ids, n_parts)
             order = np.argsort(part, kind="stable")
             sizes = np.diff(off)
-            kinds = variants(buf, off)
             cut = np.searchsorted(part[order], np.arange(n_parts + 1))
             rows = []
             for p in np.unique(part):
