@@ -33,6 +33,7 @@ MIN_SHARE = 0.9  # of the host's pages hold a template token
 ALL = ""  # stands for all hosts
 LINKS = 1 << 61  # flips a bit of an element's token: a slot of links
 SENTENCE = 5  # words
+LONG_PATH = 2000  # characters
 NEUTRAL, START, END, TEXT = 0, 1, 2, 3
 
 # What elements and names mean.
@@ -87,6 +88,8 @@ class Page:
         top = none = ("", "", 0, False)
         pos, in_link = 0, False
         add, find = self.events.append, _TOKEN.search
+        opened: dict[str, int] = {}  # how many elements of each name are in the stack
+        last = html.rfind(">") + 1  # no token but a comment that nothing ends goes on beyond
 
         def text(part: str) -> None:
             add(("#", part, top[2]))
@@ -95,11 +98,18 @@ class Page:
                 self.length[top[2]] += n
                 self.linked[top[2]] += n * in_link
 
-        while m := find(html, pos):
+        def close(i: int) -> None:
+            for name, *_ in stack[i:]:
+                opened[name] -= 1
+            del stack[i:]
+
+        while m := find(html, pos, last):
             start, stop = m.span()
             if start > pos:
                 text(html[pos:start])
             pos = stop
+            if stop == last and html.startswith("<!--", start) and not html.startswith("-->", stop - 3):
+                pos = len(html)
             closing, name, attributes = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
             if name is None:  # comment or declaration
                 continue
@@ -108,11 +118,11 @@ class Page:
                 in_link = not closing
             if closing:
                 ended = None
-                if name not in VOID:
+                if name not in VOID and opened.get(name):
                     for i in range(len(stack) - 1, -1, -1) if name not in INLINE else range(len(stack) - 1, max(len(stack) - 2, -1), -1):
                         if stack[i][0] == name:
                             ended = stack[i][1]
-                            del stack[i:]
+                            close(i)
                             break
                 path = top[1] if ended is None else ended
                 add(("/" + name, f"{path} /{name}", top[2], NEUTRAL if name in INLINE or name in VOID else END, f"{path} /" if ended is None else path))
@@ -121,11 +131,11 @@ class Page:
             if name in ENDS_P:
                 for i in range(len(stack) - 1, max(len(stack) - 4, -1), -1):
                     if stack[i][0] == "p":
-                        del stack[i:]
+                        close(i)
                         break
             peers = CLOSED_BY_PEER.get(name)
             if peers and stack and stack[-1][0] in peers:
-                stack.pop()
+                close(len(stack) - 1)
             top = stack[-1] if stack else none
             label, classes, ids, role, hidden = _names(attributes)
             key = f"{top[1]} {name} {label}" if label else f"{top[1]} {name}"
@@ -139,10 +149,11 @@ class Page:
                 add((name, key, top[2], NEUTRAL, ""))
                 continue
             self.parent.append(top[2]), self.names.append(name), self.marks.append((classes, ids, role, hidden)), self.length.append(0), self.linked.append(0)
-            path = top[1] if name in INLINE else f"{top[1]}/{name}.{label}" if label else f"{top[1]}/{name}"
+            path = top[1] if name in INLINE else _short(f"{top[1]}/{name}.{label}" if label else f"{top[1]}/{name}")
             top = (name, path, len(self.parent) - 1, top[3] or hidden)
-            self.keys.append(key), self.tags.append(self.tags[self.parent[-1]] + ("" if name in INLINE else "/" + name))
+            self.keys.append(key), self.tags.append(_short(self.tags[self.parent[-1]] + ("" if name in INLINE else "/" + name)))
             stack.append(top)
+            opened[name] = opened.get(name, 0) + 1
             add((name, key, top[2], NEUTRAL if name in INLINE else START, path))
         tail = _CUT.sub("", html[pos:])
         if tail:
@@ -235,6 +246,11 @@ class Page:
         return "\n".join(out)
 
 
+def _short(path: str) -> str:
+    """A path, or its hash if it is long, so that deep pages take no more than their length."""
+    return path if len(path) <= LONG_PATH else f"#{_hash(path):x}"
+
+
 def _plain(text: str) -> str:
     return " ".join(unescape(text).split())
 
@@ -303,7 +319,8 @@ def deduce(pages: DataFrame) -> DataFrame:
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, url, text and n_chars (code points of text) of every whole page.
 
-    A null html is empty and gives an empty text. Pages of a null URL or one without a host use the template of all
+    A null html is empty and gives an empty text. A page takes time and memory in proportion to its length, however long
+    it is and however deep its elements nest. Pages of a null URL or one without a host use the template of all
     pages. Repeated rows give equal rows; null ids stay; other columns are ignored; an empty table gives an empty result.
     """
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
