@@ -98,6 +98,59 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 """
 
 
+SQL8 = """
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS words
+  FROM documents WHERE doc_id IS NOT NULL
+), s AS (
+  SELECT doc_id, list_sort(list_distinct(CASE WHEN len(words) >= 5 THEN list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' ')) WHEN len(words) > 0 THEN [array_to_string(words, ' ')] ELSE [] END)) AS shingles
+  FROM w
+), class AS (
+  SELECT shingles, min(doc_id) AS class_id, len(shingles) AS n FROM s WHERE len(shingles) > 0 GROUP BY shingles
+), t AS (
+  SELECT class_id, n, unnest(shingles) AS shingle FROM class
+), links AS (
+  SELECT a.class_id AS a, b.class_id AS b FROM t a JOIN t b ON a.shingle = b.shingle AND a.class_id <> b.class_id
+  GROUP BY a.class_id, b.class_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))
+), reach AS (
+  SELECT class_id AS a, class_id AS b FROM class
+  UNION
+  SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a
+), component AS (
+  SELECT a AS class_id, min(b) AS component_id FROM reach GROUP BY a
+)
+SELECT s.doc_id, CAST(len(s.shingles) AS BIGINT) AS n_shingles, coalesce(class.class_id, s.doc_id) AS class_id, coalesce(component.component_id, s.doc_id) AS component_id
+FROM s LEFT JOIN class ON s.shingles = class.shingles LEFT JOIN component ON class.class_id = component.class_id
+"""
+SQL10 = """
+WITH d AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), w AS (
+  SELECT doc_id, unnest(range(0, len(h) // 2 - 49)) AS pos, h FROM d
+), v AS (
+  SELECT doc_id, pos, substr(h, 2 * pos + 1, 100) AS bytes FROM w
+), least AS (
+  SELECT bytes, min(doc_id) AS first_id FROM v GROUP BY bytes
+), hit AS (
+  SELECT DISTINCT v.doc_id, v.pos FROM v JOIN least ON v.bytes = least.bytes WHERE v.doc_id > least.first_id
+), step AS (
+  SELECT doc_id, pos, pos - lag(pos) OVER (PARTITION BY doc_id ORDER BY pos) AS gap FROM hit
+), run AS (
+  SELECT doc_id, pos, sum(CASE WHEN gap <= 50 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM step
+), span AS (
+  SELECT doc_id, min(pos) AS lo, max(pos) + 50 AS hi FROM run GROUP BY doc_id, run
+), spans AS (
+  SELECT doc_id, sum(hi - lo) AS n_removed, count(*) AS n_spans, list(lo ORDER BY lo) AS lows, list(hi ORDER BY lo) AS highs FROM span GROUP BY doc_id
+), kept AS (
+  SELECT d.doc_id, len(h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+         CASE WHEN lows IS NULL THEN h ELSE array_to_string(list_transform(range(1, len(lows) + 2), lambda i:
+           substr(h, 2 * CASE WHEN i = 1 THEN 0 ELSE highs[i - 1] END + 1, 2 * (CASE WHEN i > len(lows) THEN len(h) // 2 ELSE lows[i] END - CASE WHEN i = 1 THEN 0 ELSE highs[i - 1] END))), '') END AS rest
+  FROM d LEFT JOIN spans ON d.doc_id = spans.doc_id
+)
+SELECT doc_id, CAST(n_bytes AS BIGINT) AS n_bytes, CAST(n_removed AS BIGINT) AS n_removed, CAST(n_spans AS BIGINT) AS n_spans, sha256(unhex(rest)) AS kept_sha256 FROM kept
+"""
+
+
 def sql() -> dict[str, str]:
     """DuckDB SQL for the queries that SQL can express."""
-    return {"op9_topk": SQL9}
+    return {"op8_jaccard": SQL8, "op9_topk": SQL9, "op10_suffix": SQL10}
