@@ -3,6 +3,7 @@
 import collections
 import math
 import re
+import time
 import zlib
 
 import numpy as np
@@ -29,6 +30,73 @@ def test_lm_base_and_score(spark):
     assert languagemodel.score(empty(spark)).count() == 0
 
 
+def _lm_rows():
+    rng = np.random.RandomState(5)
+    words = [f"w{i}" for i in range(40)]
+    rows = [(i, " ".join(words[int(min(39, rng.exponential(6)))] for _ in range(rng.randint(0, 30)))) for i in range(150)]
+    return [*rows, *[(None, "w1 w2 " * k) for k in range(20)], (3, "a second text of one id"), (7, None)]
+
+
+def test_lm_score_by_brute_force(spark):
+    """The same model from dictionaries: counts, held-out counts, expectation-maximisation by bucket, probabilities."""
+    docs = [(i, [None, *re.findall(r"[^\x20\x09-\x0D]+", t or ""), None]) for i, t in _lm_rows()]  # None starts and ends a text
+    train = [(i, w) for i, w in docs if i is not None and zlib.crc32(str(i).encode()) % 10]
+    apart = [bool(languagemodel.held_out(np.array([i]))[0]) for i, _ in train]
+    assert any(apart) and not all(apart)
+
+    def count(which):
+        word, pair = collections.Counter(), collections.Counter()
+        for _, w in which:
+            word.update(w[1:])
+            pair.update(zip(w, w[1:]))
+        return word, pair, sum(word.values())
+
+    word, pair, n = count(train)
+    part, part_pair, m = count([d for d, h in zip(train, apart) if not h])
+    bucket = lambda c: 1 + int(math.log2(c)) if c else 0
+    step, size = languagemodel.STEP, len(word) + 1
+    told = collections.Counter()
+    for (_, w), h in zip(train, apart):
+        for v, x in zip(w, w[1:]) if h else ():
+            log = lambda c, of: round((math.log(c) - math.log(of) + math.log(size)) / step) if c else None
+            told[bucket(part[v]), log(part_pair[v, x], part[v]) if part[v] else None, log(part[x], m)] += 1
+
+    def learn(cells):
+        w = [0.4, 0.4, 0.2]
+        for _ in range(languagemodel.ROUNDS):
+            total = [0.1] * 3
+            for (_, a, b), k in cells.items():
+                p = [w[0] * (math.exp(a * step) if a is not None else 0), w[1] * (math.exp(b * step) if b is not None else 0), w[2]]
+                total = [t + k * q / sum(p) for t, q in zip(total, p)]
+            w = [t / sum(total) for t in total]
+        return w
+
+    weights = {b: learn({c: k for c, k in told.items() if c[0] == b}) for b in {c[0] for c in told}}
+    every = learn(told)
+    want = []
+    for i, w in docs:
+        total = 0
+        for v, x in zip(w, w[1:]):
+            b = bucket(word[v])
+            a2, a1, a0 = weights.get(b, every)
+            if b == 0:
+                a2, a1, a0 = 0, a1 / (a1 + a0), a0 / (a1 + a0)
+            total += math.log10((a2 * pair[v, x] / word[v] if word[v] else 0) + a1 * word[x] / n + a0 / size)
+        want.append((i is None, i or 0, round(total, 6)))
+    got = languagemodel.score(spark.createDataFrame(_lm_rows(), "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0, round(r["score"], 6)) for r in got) == sorted(want)
+
+
+def test_lm_scores_do_not_depend_on_settings(spark, monkeypatch):
+    df, found, before = spark.createDataFrame(_lm_rows(), "doc_id long, text string"), set(), spark.conf.get("spark.sql.shuffle.partitions")
+    for n, size in ((1, 8_000_000), (4, 8_000_000), (11, 8_000_000), (2, 500)):
+        monkeypatch.setattr(languagemodel.P, "PART_BYTES", size)
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        found.add(tuple(sorted((str(r["doc_id"]), r["n_tokens"], r["base_score"], r["score"]) for r in languagemodel.score(df).collect())))
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert len(found) == 1
+
+
 def test_lm_weights_explain_held_out_counts():
     w = languagemodel.learn_weights(np.array([[3, 120, 40, 90], [3, -1000000, 40, 10], [0, -1000000, 20, 5]]))
     assert np.allclose(w.sum(1), 1) and w[3, 0] > 0.5 and w[0, 0] == 0
@@ -113,6 +181,19 @@ def test_html(spark):
     assert htmltemplates.extract(df).count() == len(rows) and htmltemplates.extract(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("piece", ["<a ", "<div>", "<!", "<p><b>", "</x>", "<div></p>", "<a '\">", "<td><b></i>", "<?", "<script", "&amp;<", "<li class='a b c'>x"])
+def test_html_takes_time_in_proportion_to_length(piece):
+    began = time.perf_counter()
+    p = htmltemplates.Page("<p>start</p>" + piece * (500_000 // len(piece)))
+    assert p.text(set()).startswith("start") and p.tokens()
+    assert time.perf_counter() - began < 20  # a quadratic scan of half a megabyte takes hours
+
+
+def test_html_comment_without_end():
+    assert htmltemplates.Page("<p>a</p><!-- b <i>c</i> d").text(None) == "a" == htmltemplates.Page("<p>a</p><!-- b").text(None)
+    assert htmltemplates.Page("<p>a</p><!-- b --> c <d").text(None) == "a\nc"
+
+
 def test_html_names_do_not_cut_the_article():
     def text(body):
         return htmltemplates.Page(page(body)).text(None)

@@ -1,6 +1,7 @@
 """Jaccard join, top-k search, suffix dedup and the pipeline against brute force."""
 
 import hashlib
+import math
 import random
 import re
 
@@ -66,6 +67,41 @@ def test_jaccard(spark):
     assert all(r["n_shingles"] == sizes[r["doc_id"]] for r in got if r["doc_id"] is not None)
 
 
+@pytest.mark.parametrize("seeds", [6, 0])
+def test_jaccard_of_families(spark, monkeypatch, seeds):
+    """Copies edited, cut short or put together, of many sizes, and texts around one passage; almost without seeds, too."""
+    monkeypatch.setattr(jaccard, "SEEDS", seeds)
+    monkeypatch.setattr(jaccard, "FEW", 10**9 if seeds == 0 else 0)
+    rng = random.Random(11)
+    texts, word = [], lambda: f"w{rng.randrange(10**9)}"
+    for size in (6, 12, 30, 75, 140):
+        base = [word() for _ in range(size)]
+        lines = [base]
+        for _ in range(60):
+            w = list(rng.choice(lines))
+            for _ in range(rng.choice([0, 1, 1, 2, 4])):
+                kind, at = rng.randrange(4), rng.randrange(len(w))
+                if kind == 0:
+                    w[at] = rng.choice([word(), "common", base[0]])
+                elif kind == 1:
+                    w.insert(at, word())
+                elif kind == 2 and len(w) > 5:
+                    del w[at]
+                else:
+                    w = w[: max(5, len(w) - rng.randrange(1, 2 + len(w) // 6))]
+            lines.append(w)
+        texts += [" ".join(w) for w in lines]
+    passage = " ".join(word() for _ in range(60))
+    for _ in range(60):
+        texts.append(" ".join([word() for _ in range(rng.randrange(12))]) + " " + passage + " " + " ".join([word() for _ in range(rng.randrange(12))]))
+    rows = list(enumerate(texts))
+    rng.shuffle(rows)
+    want = components(rows)
+    assert 20 < len(set(want.values())) < len(rows) // 2 + 60
+    got = jaccard.components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == want
+
+
 def test_jaccard_empty(spark):
     assert jaccard.components(empty(spark)).count() == 0
 
@@ -104,6 +140,24 @@ def test_top_k(spark):
     assert pivots.top_k(df.where("vec_id in (100, 101, 102)")).count() == 2
 
 
+def test_top_k_is_exact(spark):
+    """Components beyond 32 bits, products beyond 2**53 and below 0, lengths apart, and what does not fit in a long."""
+    rng = random.Random(4)
+    big = [2.5e6, -2.5e6, 3e9 / 1024, -3e9 / 1024, 1.0, 0.25, -7e5, 1e-9]
+    other = {300: [3e9, 1.0, 0.0, 2.0], 301: [1.0, 1.0, 1.0, 1.0], 302: [-2.0, 1e3, 0.0, 0.5], 303: [0.5, -9.0, 7.0, 1.0]}
+    vecs = {i: [rng.choice(big) + rng.random(), rng.random(), rng.choice([-7e4, 0.5])] for i in range(60)} | {100: [2.5e6, 1.0, 0.0], 101: [-2.5e6, 0.0, 0.0], 200: [1.0, 2.0], 201: [5.0, -1.0], 203: [2.0**-20, 9.0]} | other
+    got = {}
+    for r in pivots.top_k(spark.createDataFrame(list(vecs.items()), "vec_id long, embedding array<double>"), 10, "id % 20 = 0", pivots=4, block=8).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    whole = {i: [math.floor(1024 * x) for x in v] for i, v in vecs.items()}
+    for i in (j for j in vecs if j % 20 == 0):
+        best = sorted((-sum(a * b for a, b in zip(whole[i], whole[j])), j) for j in vecs if j != i and len(whole[j]) == len(whole[i]))[:10]
+        assert sorted(got[i]) == [(k + 1, j, -s) for k, (s, j) in enumerate(best)]
+    assert any(abs(s) > 2**53 for found in got.values() for _, _, s in found)
+    with pytest.raises(OverflowError):
+        pivots.top_k(spark.createDataFrame([(1, [1e300]), (2, [1.0])], "vec_id long, embedding array<double>"))
+
+
 def test_longest_previous_factors():
     rng = np.random.RandomState(0)
     for _ in range(15):
@@ -163,6 +217,32 @@ def test_suffix_dedup_in_small_slices(spark, monkeypatch):
         suffixdedup.repeated_spans(df, width=5)
 
 
+def test_suffix_dedup_of_a_crowded_anchor(spark, monkeypatch):
+    """Many texts that go on differently after one passage, their windows dealt one by one."""
+    monkeypatch.setattr(suffixdedup, "MANY", 3)
+    rng = random.Random(2)
+    passage = "".join(rng.choice("abcdefgh ") for _ in range(120))
+    rows = [(i, "".join(rng.choice("xyz") for _ in range(rng.randint(0, 60))) + passage + "".join(rng.choice("uv") for _ in range(60))) for i in range(80)]
+    want = removed([(i, t.encode()) for i, t in rows])
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for r in suffixdedup.digests(suffixdedup.repeated_spans(df)).collect():
+        assert (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) == want[r["doc_id"]]
+
+
+def test_suffix_dedup_of_one_id_with_two_texts(spark):
+    passage = "a passage that the least document has and both texts of another, too, "
+    rows = [(1, passage), (5, passage + "one end"), (5, passage + "another end"), (5, passage + "one end")]
+    got = suffixdedup.digests(suffixdedup.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string"))).collect()
+    assert sorted((r["doc_id"], r["n_bytes"], r["n_removed"]) for r in got) == sorted((i, len(t), 0 if i == 1 else len(passage)) for i, t in rows)
+
+
+def test_suffix_dedup_of_long_plain_texts(spark):
+    """Texts of one letter, where each window is a fragment of its own."""
+    rows = [(1, "a" * 400_000), (2, "a" * 300_000 + "b"), (3, "ab" * 100_000 + "a" * 60), (4, "ab" * 40)]
+    got = suffixdedup.digests(suffixdedup.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string"))).collect()
+    assert {r["doc_id"]: (r["n_removed"], r["n_spans"]) for r in got} == {1: (0, 0), 2: (300_000, 1), 3: (60, 1), 4: (80, 1)}
+
+
 def test_pipeline_stages(spark, tmp_path):
     docs = documents(spark).select(*corpus_pipeline.COLUMNS)
     docs.write.parquet(str(tmp_path / "documents.parquet"))
