@@ -18,6 +18,9 @@ BYTES = "byte_bpe_50k.json"
 #: Verdict, host and path of the rules that come before mined ones.
 URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
 
+#: A mined rule needs as many bad URLs, and bad ones must be as many of the URLs that it holds for: more than good ones.
+URL_COUNT, URL_CONFIDENCE = 10, 0.5
+
 
 def op1_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return languagemodel.score(table(spark, sf_dir, "documents", "doc_id", "text"), folds=10)
@@ -36,7 +39,7 @@ def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages, labels = table(spark, sf_dir, "pages", "page_id", "url"), table(spark, sf_dir, "labels", "doc_id", "quality", "toxic")
     bad = labels.select(F.col("doc_id").alias("page_id"), ((F.coalesce("quality", F.lit(1)) == 0) | (F.coalesce("toxic", F.lit(0)) == 1)).alias("bad"))
-    rules = urlrules.mine(pages.join(bad, "page_id"))
+    rules = urlrules.mine(pages.join(bad, "page_id"), min_count=URL_COUNT, min_confidence=URL_CONFIDENCE)
     return urlrules.judge(pages, rules, URL_RULES)
 
 

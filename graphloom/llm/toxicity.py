@@ -31,7 +31,7 @@ MAX_FEATURES = 50_000
 MIN_DOCS = 3
 MIN_Z = 3.0
 MARGIN = 2.0  # times the mean mass of clean sentences that a document's sum leaves out
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 1_000_000
 EPOCHS, RATE, DECAY = 300, 0.1, 1e-4
 
 _WORD = np.zeros(256, bool)
@@ -180,7 +180,9 @@ def fit(texts: pa.Array, labels: np.ndarray) -> Model:
 def learn(docs: DataFrame, labels: DataFrame, may_learn: Column | None = None, max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """Fits on at most max_rows labelled documents, taken in the order of a hash of their id up to max_bytes of text.
 
-    may_learn: a condition on the id column of labels. Rows without a label or an id teach nothing; a null text is empty.
+    may_learn: a condition on the id column of labels. Rows without a label or an id teach nothing, nor do ids whose rows
+    have more than max_bytes of text together, where all do not fit; a null text is empty. An empty table gives a model
+    that scores 0.
     """
     found = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label"))
     if may_learn is not None:
@@ -190,9 +192,11 @@ def learn(docs: DataFrame, labels: DataFrame, may_learn: Column | None = None, m
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     found = F.broadcast(found)  # max_rows rows at most
     sizes = texts.join(found, "id").groupBy("id").agg(F.sum(F.octet_length("text").cast("long")).alias("bytes")).select("id", "bytes", F.xxhash64("id").alias("place")).toArrow().sort_by([("place", "ascending"), ("id", "ascending")])
-    before = np.r_[0, np.cumsum(sizes["bytes"].to_numpy())][:-1]
-    if (before >= max_bytes).any():
-        ids = sizes["id"].filter(pa.array(before < max_bytes)).to_pylist()
+    upto = np.cumsum(sizes["bytes"].to_numpy())
+    if (upto > max_bytes).any():
+        sizes = sizes.filter(pa.array(sizes["bytes"].to_numpy() <= max_bytes))  # an id with more text than that would be all there is
+        upto = np.cumsum(sizes["bytes"].to_numpy())
+        ids = sizes["id"].filter(pa.array(upto <= max_bytes)).to_pylist()
         found = F.broadcast(found.join(docs.sparkSession.createDataFrame([(i,) for i in ids], "id long"), "id"))
     got = texts.join(found, "id").select("id", "text", "label").toArrow()
     got = got.sort_by([("id", "ascending"), ("text", "ascending")]).slice(0, max_rows).combine_chunks()
@@ -218,7 +222,11 @@ def score(df: DataFrame, model: Model, threshold: float = 0.7, id_col: str = "do
 
 
 def offending_sentences(df: DataFrame, model: Model, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The sentences that score threshold or above: doc_id, byte start and end in the text's UTF-8, score and text."""
+    """The sentences that score threshold or above: doc_id, byte start and end in the text's UTF-8, score and text.
+
+    A null or empty text has none, equal sentences of a text are a row each, repeated rows give equal rows, a null id
+    stays null, other columns are ignored, and an empty table gives an empty result.
+    """
 
     def run(batches):
         for b in A.slices(batches, "text", SLICE_BYTES):
@@ -238,12 +246,15 @@ def offending_sentences(df: DataFrame, model: Model, threshold: float = 0.5, id_
 
 
 def keep(df: DataFrame, model: Model, threshold: float = 0.7, text_col: str = "text") -> DataFrame:
-    """The rows of df, with all their columns, whose score is below threshold; null and empty texts stay."""
+    """The rows of df, with all their columns, whose score is below threshold; null and empty texts stay.
 
-    def run(batches):
-        for b in A.slices(batches, text_col, SLICE_BYTES):
-            s = Sentences(b.column(text_col))
-            p = model.scores(s)
-            yield b.filter(pa.array(p < threshold))
+    Only the texts go to the Python workers and only scores come back. Rows of a null id and repeated rows are judged
+    like others; an empty table gives an empty result; a very long text is scored as a whole.
+    """
+
+    @F.arrow_udf("double")
+    def scores(texts: pa.Array) -> pa.Array:
+        rows = pa.RecordBatch.from_arrays([texts], ["text"])
+        return pa.array(np.concatenate([np.zeros(0), *(model.scores(Sentences(b.column("text"))) for b in A.slices([rows], "text", SLICE_BYTES))]))
 
-    return df.mapInArrow(run, df.schema)
+    return df.where(scores(F.col(text_col).cast("string")) < threshold)

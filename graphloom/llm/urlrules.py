@@ -2,8 +2,10 @@
 
 A URL becomes a set of tokens (host labels and suffixes, path words, file ending, query names, fragment). FP-growth over
 the URLs that have labels finds token combinations that go with a bad label; rules of enough confidence and support
-stay, unless a smaller rule does as well. Rules match through an inverted index: a URL's tokens join the rules' tokens,
-and a rule holds when as many tokens met as it has. Allow and block rules given by the caller come first.
+stay, unless a smaller rule does as well. Rules match through an inverted index: each rule is listed under its rarest
+token, a URL's tokens join those, and a rule holds when the URL has all its tokens. The index is broadcast while it has
+few rows; a longer one is joined with salt, so that tokens of very many URLs spread. Allow and block rules given by the
+caller come first.
 """
 
 from __future__ import annotations
@@ -20,6 +22,8 @@ MIN_COUNT = 25  # labelled URLs that a rule needs, at every size of the table
 MIN_CONFIDENCE = 0.6
 LIFT = 1.5
 MAX_DEPTH = 3  # host labels that give suffix tokens
+SMALL_INDEX = 50_000  # rules; an index of at most as many rows is broadcast
+SALTS = 32
 
 
 def host_of(url: Column) -> Column:
@@ -76,12 +80,21 @@ def mine(labelled: DataFrame, url_col: str = "url", bad_col: str = "bad", min_co
     return materialise(kept.select(F.xxhash64("tokens").alias("rule_id"), "tokens", "confidence", "support"), "url-rules")
 
 
-def match(urls: DataFrame, rules: DataFrame, url_col: str = "url") -> DataFrame:
+def match(urls: DataFrame, rules: DataFrame, url_col: str = "url", small: int = SMALL_INDEX) -> DataFrame:
     """Each distinct URL that some rule holds for, with the most confident rule's tokens (ties: the first in order)."""
-    index = rules.select("rule_id", "confidence", "tokens", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
-    found = urls.select(F.col(url_col).alias("url")).distinct().select("url", F.explode(tokens_of(F.col("url"))).alias("token"))
-    met = found.join(index, "token").groupBy("url", "rule_id").agg(F.count("*").alias("met"), F.first("n").alias("n"), F.first("confidence").alias("confidence"), F.first("tokens").alias("tokens"))
-    return met.where("met = n").groupBy("url").agg(F.min_by("tokens", F.struct(-F.col("confidence"), "rule_id")).alias("mined"), F.max("confidence").alias("confidence"))
+    found = urls.select(F.col(url_col).alias("url")).distinct().select("url", tokens_of(F.col("url")).alias("found"))
+    # A rule's rarest token among the rules stands for it; tokens that few rules have tend to be rare in URLs, too.
+    often = rules.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    each = rules.select("rule_id", "confidence", "tokens", F.explode("tokens").alias("token")).join(often, "token")
+    index = materialise(each.groupBy("rule_id").agg(F.min_by("token", F.struct("n", "token")).alias("token"), F.first("confidence").alias("confidence"), F.first("tokens").alias("tokens")), "url-index")
+    rows = found.select("url", "found", F.explode("found").alias("token"))
+    if index.count() <= small:
+        met = rows.join(F.broadcast(index), "token")
+    else:
+        salted = index.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        met = rows.withColumn("salt", F.pmod(F.xxhash64("url"), F.lit(SALTS)).cast("int")).join(salted, ["token", "salt"])
+    held = met.where(F.size(F.array_except("tokens", "found")) == 0)
+    return held.groupBy("url").agg(F.min_by("tokens", F.struct(-F.col("confidence"), "rule_id")).alias("mined"), F.max("confidence").alias("confidence"))
 
 
 def judge(pages: DataFrame, rules: DataFrame, given: list[tuple[str, str, str]], id_col: str = "page_id", url_col: str = "url") -> DataFrame:

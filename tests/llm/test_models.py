@@ -1,6 +1,7 @@
 """Language model, toxicity, URL rules and HTML extraction."""
 
 import collections
+import itertools
 import math
 import re
 import time
@@ -252,6 +253,32 @@ def test_url_mining_needs_the_same_count_at_every_size(spark):
     assert urlrules.mine(few).count() == 0
 
 
+def test_url_mining_by_brute_force(spark):
+    """All token combinations counted one by one, then the rules matched with all urls, by either form of the index."""
+    rng = np.random.RandomState(7)
+    rows = []
+    for i in range(300):
+        host, word, name = rng.choice(["a.x.org", "b.x.org", "c.net"]), rng.choice(["win", "news", "free", str(i)]), rng.choice(["", "?ref=1", "?id=2#t"])
+        rows.append((f"http://{host}/{word}{name}", bool(rng.rand() < 0.15 + 0.5 * (word == "win") + 0.3 * (host == "c.net" and name == "?ref=1"))))
+    df = spark.createDataFrame(rows, "url string, bad boolean")
+    tokens = {r["url"]: frozenset(r["t"]) for r in df.select("url", urlrules.tokens_of(df["url"]).alias("t")).distinct().collect()}
+    held, wrong = collections.Counter(), collections.Counter()
+    for url, bad in rows:
+        for n in range(1, len(tokens[url]) + 1):
+            for some in itertools.combinations(sorted(tokens[url]), n):
+                held[some] += 1
+                wrong[some] += bad
+    need = max(0.5, 1.5 * sum(b for _, b in rows) / len(rows))
+    good = {t: wrong[t] / held[t] for t in held if wrong[t] >= 10 and wrong[t] / held[t] >= need}
+    want = {t: c for t, c in good.items() if not any(set(f) < set(t) and good[f] >= c for f in good)}
+    rules = urlrules.mine(df, min_count=10, min_confidence=0.5)
+    assert len(want) > 3 and {tuple(r["tokens"]): pytest.approx(r["confidence"]) for r in rules.collect()} == want
+    for small in (100, 0):
+        got = {r["url"]: (tuple(r["mined"]), r["confidence"]) for r in urlrules.match(df, rules, small=small).collect()}
+        assert set(got) == {u for u, t in tokens.items() if any(set(w) <= t for w in want)}
+        assert all(set(m) <= tokens[u] and c == pytest.approx(max(want[w] for w in want if set(w) <= tokens[u])) for u, (m, c) in got.items())
+
+
 def test_url_mining_and_matching(spark):
     rows = [(f"http://spam{i % 3}.example.net/win/{i}?ref=a", True) for i in range(60)] + [(f"http://good{i % 7}.example.net/news/{i}", i % 20 == 0) for i in range(200)] + [("x://y", None)]
     rules = urlrules.mine(spark.createDataFrame(rows, "url string, bad boolean"))
