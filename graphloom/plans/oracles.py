@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from graphloom.plans.devices import LINES
+
 SITE = """
 sold AS (
   SELECT l_suppkey, c_nationkey, count(*) AS lines, CAST(sum(CAST(round(l_discount * 100) AS BIGINT)) AS BIGINT) AS discount,
@@ -120,6 +122,13 @@ def _pr(rounds: int) -> str:
     return sql + f" SELECT id, round(r, 8) AS pagerank FROM p{rounds}"
 
 
+IOS = """,
+c AS (SELECT *, CAST(part % 8 AS INTEGER) AS c, CASE WHEN r THEN NULL ELSE supp % 8 + 17 END AS own FROM x),
+m AS (SELECT *, coalesce(own, last_value(own IGNORE NULLS) OVER (PARTITION BY device ORDER BY k ROWS UNBOUNDED PRECEDING), 24) AS mask FROM c),
+routes AS (SELECT device AS source_router, k, net || '.0/' || mask AS network, ['connected', 'static', 'ospf', 'ospf-inter-area', 'ospf-external-type2', 'bgp', 'eigrp-external', 'isis-level1'][c + 1] AS protocol,
+  CASE WHEN c = 0 THEN '' ELSE '10.0.' || (supp % 250) || '.1' END AS next_hop, CASE WHEN c = 0 THEN '' ELSE 'Te1/' || k END AS next_hop_interface, CAST(CASE WHEN c = 0 THEN 0 ELSE part END AS INTEGER) AS metric, CASE WHEN c = 0 THEN 0 ELSE qty + 10 END AS admin_distance FROM m)"""
+
+
 SQL = {
     "degree_outliers": f"WITH {TRADE}, z AS (SELECT id, degree, (degree - (SELECT avg(degree) FROM deg)) / (SELECT stddev_pop(degree) FROM deg) AS z FROM deg) SELECT id, degree, round(z, 6) AS z, round(0.1::DOUBLE * abs(z), 6) AS score FROM z WHERE abs(z) > 2",
     "top_k_degree_subgraph": f"WITH {TRADE}, t AS (SELECT id, degree FROM deg ORDER BY degree DESC, id LIMIT 10) SELECT t.id, t.degree AS whole_degree, count(x.id) AS degree_inside FROM t LEFT JOIN arcs ON a = t.id LEFT JOIN t x ON x.id = b GROUP BY 1, 2",
@@ -195,14 +204,28 @@ SELECT count(*) AS snapshots, arg_min(n, seq) AS first_nodes, arg_max(n, seq) AS
     "d3_links": f"WITH {SITE}, ix AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS i FROM nodes) SELECT x.i AS source, y.i AS target, protocol, speed_mbps FROM edges JOIN ix x ON x.id = src JOIN ix y ON y.id = dst",
     "mermaid_lines": f"WITH {SITE} SELECT 0 AS part, row_number() OVER (ORDER BY id) - 1 AS place, '    ' || id || CASE type WHEN 'router' THEN '{{' || id || '}}' WHEN 'switch' THEN '[' || id || ']' ELSE '(' || id || ')' END AS line FROM nodes UNION ALL SELECT 1, row_number() OVER (ORDER BY src, dst) - 1, '    ' || src || ' -- \"' || protocol || '\" --- ' || dst FROM edges",
     "device_group": f"WITH {SITE} SELECT CASE WHEN type = 'router' THEN 'router' WHEN type = 'switch' THEN 'switch' ELSE 'other' END AS device_group, count(*) AS devices FROM nodes GROUP BY 1",
-    "parse_junos": "SELECT * FROM (VALUES ('0.0.0.0/0', 'static', '10.1.0.1', 'ge-0/0/0.0', 5), ('10.5.0.0/16', 'ospf', '10.1.0.2', 'ge-0/0/1.0', 10), ('10.6.0.0/24', 'bgp', '10.1.0.3', 'ge-0/0/2.0', 170)) AS t(network, protocol, next_hop, next_hop_interface, metric)",
-    "parse_ios_routes": "SELECT * FROM (VALUES ('0.0.0.0/0', 'static', '10.0.0.1', '', 0, 1), ('10.0.0.0/24', 'connected', '', '', 0, 0), ('10.2.0.0/16', 'ospf', '10.0.0.2', 'Gi0/1', 20, 110), ('10.3.0.0/16', 'ospf-inter-area', '10.0.0.2', 'Gi0/1', 30, 110), ('10.4.0.0/16', 'ospf-external-type2', '10.0.0.3', 'Te1/1', 40, 110), ('172.16.1.0/24', 'bgp', '10.0.0.4', '', 0, 20)) AS t(network, protocol, next_hop, next_hop_interface, metric, admin_distance)",
-    "protocol_summary": "SELECT * FROM (VALUES ('static', 1::BIGINT), ('connected', 1), ('ospf', 1), ('ospf-inter-area', 1), ('ospf-external-type2', 1), ('bgp', 1)) AS t(protocol, routes)",
-    "parse_cdp": "SELECT * FROM (VALUES ('Gi0/1', 'edge-1', 'Gi0/48', 'model 9300', '10.9.1.1', 120, 'cdp'), ('Gi0/2', 'edge-2', 'Gi0/1', 'model 2960', '10.9.1.2', 120, 'cdp')) AS t(local_port, remote_device, remote_port, platform, remote_mgmt_address, ttl, protocol)",
-    "parse_lldp": "SELECT local_device, local_port, remote_device, remote_port, remote_mgmt_address, capabilities, ttl, substr(sha256(least(local_device || ':' || local_port, remote_device || ':' || remote_port) || ':' || greatest(local_device || ':' || local_port, remote_device || ':' || remote_port)), 1, 16) AS edge_id FROM (VALUES ('core-1', 'Gi1/0/1', 'dist-a.example.net', 'Gi0/24', '10.9.0.2', 'Bridge,Router', 110), ('core-1', 'Gi1/0/2', 'phone-7', 'eth0', '', 'Telephone', 180)) AS t(local_device, local_port, remote_device, remote_port, remote_mgmt_address, capabilities, ttl)",
-    "parse_snmp": "SELECT * FROM (VALUES (1, 'Te1/1', 'up', 'up', 10000000000, 1200000::BIGINT, 800000::BIGINT, 0.0016::DOUBLE), (2, 'spare', 'down', 'testing', 100000000, 0, 0, 0.0)) AS t(if_index, name, admin_status, oper_status, speed, in_octets, out_octets, utilization)",
-    "parse_snmp_neighbors": "SELECT 'dist-a' AS system_name, 'Gi0/24' AS port_id, 'to core' AS port_desc",
-    "parse_interfaces": "SELECT * FROM (VALUES ('GigabitEthernet0/0', 'up', 'up', 1000, 1500, '10.0.0.2', '24', '0011.2233.4455', 1000000::BIGINT, 800000::BIGINT, 5::BIGINT, 2::BIGINT, 2000000.0::DOUBLE), ('FastEthernet0/1', 'down', 'down', 100, 1400, '', '', '', 0, 0, 0, 0, 0.0)) AS t(name, admin_status, oper_status, speed_mbps, mtu, ip_address, subnet_mask, mac_address, in_packets, out_packets, in_errors, out_errors, input_rate_bps)",
-    "parse_json_records": "SELECT * FROM (VALUES ('neighbor', 'a', 'e2'), ('neighbor', 'b', 'e4'), ('route', '10.7.0.0/16', '10.0.0.9'), ('route', '10.8.0.0/20', '10.0.0.8'), ('interface', 'e1', '1000'), ('interface', 'e2', '100')) AS t(kind, name, detail)",
-    "routing_graph": "SELECT * FROM (VALUES ('core-1', '10.0.0.1', '0.0.0.0/0', 'static'), ('core-1', '10.0.0.2', '10.3.0.0/16', 'ospf-inter-area'), ('core-1', '10.0.0.3', '10.4.0.0/16', 'ospf-external-type2'), ('core-1', '10.0.0.4', '172.16.1.0/24', 'bgp')) AS t(src, dst, prefix, protocol)",
+    "parse_lldp": f"WITH {LINES}, y AS (SELECT *, device || ':xe-' || k AS p, 's' || supp || '.example.org:p' || part AS q FROM x WHERE qty <> 50) SELECT device AS local_device, 'xe-' || k AS local_port, 's' || supp || '.example.org' AS remote_device, 'p' || part AS remote_port, 'rack ' || qty AS remote_system_description, CASE WHEN f THEN net || '.' || k ELSE '' END AS remote_mgmt_address, CASE WHEN r THEN 'Bridge,Router' WHEN a THEN 'Telephone' ELSE '' END AS capabilities, qty + 60 AS ttl, substr(sha256(least(p, q) || ':' || greatest(p, q)), 1, 16) AS edge_id FROM y",
+    "parse_cdp": f"WITH {LINES} SELECT device AS local_device, 'Te1/' || k AS local_port, 's' || supp AS remote_device, 'Te2/' || qty AS remote_port, 'box ' || part AS platform, net || '.' || k AS remote_mgmt_address, 'Router' AS capabilities, 120 AS ttl, 'cdp' AS protocol FROM x",
+    "parse_snmp": f"WITH {LINES}, y AS (SELECT *, CASE WHEN r THEN supp ELSE qty END * CAST(1000000 AS BIGINT) AS speed FROM x) SELECT device, k AS if_index, CASE WHEN f THEN 'xe-' || k ELSE 'port ' || k END AS name, 'port ' || k AS description, CASE WHEN a THEN 'down' ELSE 'up' END AS admin_status, CASE WHEN f THEN 'up' ELSE 'testing' END AS oper_status, speed, part * 100 AS in_octets, part * 50 AS out_octets, round(CASE WHEN speed <= 0 THEN 0 ELSE least(part * 150 * 8 / CAST(speed AS DOUBLE), 1) END, 9) AS utilization FROM y",
+    "parse_snmp_system": f"WITH {LINES} SELECT device, device || '.example' AS hostname, 'software of ' || device AS sys_descr, '' AS sys_object_id, count(*) * 100 AS sys_uptime, '' AS sys_contact, '' AS sys_location FROM x GROUP BY 1",
+    "parse_snmp_neighbors": f"WITH {LINES} SELECT device, 's' || supp AS system_name, 'p' || part AS port_id, '' AS port_desc FROM x",
+    "parse_ios_routes": f"WITH {LINES}{IOS} SELECT source_router, network, protocol, next_hop, next_hop_interface, metric, admin_distance FROM routes",
+    "parse_ios_routes_compat": f"""WITH {LINES}, c AS (SELECT *, CAST(part % 8 AS INTEGER) AS c, CASE WHEN r THEN NULL ELSE supp % 8 + 17 END AS own FROM x WHERE part % 8 NOT IN (4, 7)),
+m AS (SELECT *, coalesce(own, last_value(own IGNORE NULLS) OVER (PARTITION BY device ORDER BY k ROWS UNBOUNDED PRECEDING), 8) AS mask FROM c)
+SELECT device AS source_router, net || '.0/' || mask AS network, ['connected', 'S*', 'ospf', 'O IA', '', 'bgp', 'D EX'][c + 1] AS protocol, CASE WHEN c = 0 THEN '' ELSE '10.0.' || (supp % 250) || '.1' END AS next_hop, CASE WHEN c = 0 THEN '' ELSE 'Te1/' || k END AS next_hop_interface, CAST(CASE WHEN c = 0 THEN 0 ELSE part END AS INTEGER) AS metric, CASE WHEN c = 0 THEN 0 ELSE qty + 10 END AS admin_distance FROM m
+UNION ALL SELECT DISTINCT device, '10.0.0.0/8', '', '', '', 0, 0 FROM x""",
+    "parse_junos": f"WITH {LINES} SELECT device AS source_router, net || '.0/' || (supp % 8 + 17) AS network, ['ospf', 'bgp', 'static'][CAST(part % 3 AS INTEGER) + 1] AS protocol, CASE WHEN f THEN '' ELSE '10.1.' || (supp % 250) || '.1' END AS next_hop, 'ge-0/0/' || k || '.0' AS next_hop_interface, qty AS metric FROM x",
+    "protocol_summary": f"WITH {LINES}{IOS} SELECT protocol, count(*) AS routes FROM routes GROUP BY 1",
+    "parse_interfaces": f"""WITH {LINES}, h AS (SELECT *, '00a0.' || lpad(lower(to_hex(part % 65536)), 4, '0') || '.' || lpad(lower(to_hex(supp % 65536)), 4, '0') AS mac FROM x)
+SELECT device, 'Ethernet1/' || k AS name, CASE WHEN r THEN 'down' ELSE 'up' END AS admin_status, CASE WHEN f THEN 'up' ELSE 'down' END AS oper_status, CAST(supp * 1700 // 1000 AS INTEGER) AS speed_mbps, qty + 1400 AS mtu, net || '.' || k AS ip_address, '24' AS subnet_mask, mac AS mac_address, 'rack of s' || supp || ', row ' || k AS description, part * 7 AS in_packets, part * 5 AS out_packets, CAST(qty AS BIGINT) AS in_errors, supp AS out_errors, CAST(k AS BIGINT) AS crc_errors, CAST(qty % 3 AS BIGINT) AS collisions, CAST(part * 1000 AS DOUBLE) AS input_rate_bps, CAST(part * 300 AS DOUBLE) AS output_rate_bps FROM h""",
+    "parse_json_records": f"""WITH {LINES} SELECT 'neighbor' AS kind, device AS local_device, 'e' || k AS port, 's' || supp AS name, 'p' || part AS detail, CAST(CASE WHEN r THEN 120 ELSE qty + 60 END AS BIGINT) AS number FROM x
+UNION ALL SELECT 'route', device, '10.1.1.' || k, net || CASE WHEN r THEN '.0/21' ELSE '.0/20' END, CASE WHEN r THEN 'static' ELSE 'ospf' END, CAST(CASE WHEN r THEN qty ELSE qty * 100 END AS BIGINT) FROM x
+UNION ALL SELECT 'interface', device, 'e' || k, CASE WHEN r THEN 'up' ELSE 'down' END, CAST(supp AS VARCHAR), CAST(CASE WHEN r THEN qty ELSE part * 100 END AS BIGINT) FROM x""",
+    "routing_graph": f"WITH {LINES}{IOS} SELECT source_router AS src, next_hop AS dst, network AS prefix, protocol, metric, next_hop_interface AS interface FROM routes WHERE next_hop <> '' QUALIFY row_number() OVER (PARTITION BY source_router, next_hop ORDER BY k DESC) = 1",
+    "routing_graph_nodes": f"WITH {LINES}{IOS} SELECT DISTINCT source_router AS id, 'router' AS type FROM routes UNION SELECT DISTINCT next_hop, 'next_hop' FROM routes WHERE next_hop <> ''",
+    "neighbor_graph": f"WITH {LINES} SELECT device AS src, 's' || supp || '.example.org' AS dst, 'xe-' || k AS local_port, 'p' || part AS remote_port, 'lldp' AS protocol, qty + 60 AS ttl FROM x WHERE qty <> 50 QUALIFY row_number() OVER (PARTITION BY device, supp ORDER BY k DESC) = 1",
+    "neighbor_graph_nodes": f"WITH {LINES}, e AS (SELECT DISTINCT device, 's' || supp || '.example.org' AS s FROM x WHERE qty <> 50) SELECT device AS id, count(*) AS degree FROM e GROUP BY 1 UNION ALL SELECT s, count(*) FROM e GROUP BY 1",
+    "snmp_graph": f"WITH {LINES} SELECT device || '.example' AS src, 's' || supp AS dst, 'p' || part AS remote_port, 'lldp-mib' AS protocol FROM x QUALIFY row_number() OVER (PARTITION BY device, supp ORDER BY '0.' || k || '.1' DESC) = 1",
+    "snmp_graph_nodes": f"WITH {LINES} SELECT device || '.example' AS id, 'network_device' AS type, count(*) * 100 AS uptime, count(*) AS interface_count FROM x GROUP BY 1 UNION ALL SELECT DISTINCT 's' || supp, 'network_device', -1, -1 FROM x",
+    "node_link_round_trip": f"WITH {SITE} SELECT src, dst, type, protocol, speed_mbps, round(utilization_in, 6) AS utilization_in, round(error_rate, 6) AS error_rate FROM edges JOIN nodes ON id = dst",
 }

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 import numpy as np
@@ -13,7 +14,7 @@ from graphloom.functions import columns as C
 from graphloom.gnn import passing
 from graphloom.operators import centrality, cuts, detect, features, impact, interfaces, predict, temporal, traversal
 from graphloom.plans import inputs as I
-from graphloom.plans import samples
+from graphloom.plans import devices
 from graphloom.sinks import exports
 from graphloom.sources import graphs, texts
 
@@ -422,66 +423,107 @@ def snapshot_window(spark, d):
 # -- texts --------------------------------------------------------------------------------------------------------
 
 
-def _text(spark, name: str) -> DataFrame:
-    return texts.from_literal(spark, "core-1", samples.TEXTS[name])
-
-
 @query
 def parse_lldp(spark, d):
-    return texts.lldp_neighbors(_text(spark, "lldp")).select("local_device", "local_port", "remote_device", "remote_port", "remote_mgmt_address", F.array_join("remote_capabilities", ",").alias("capabilities"), "ttl", "edge_id")
+    return texts.lldp_neighbors(devices.lldp(spark, d)).select("local_device", "local_port", "remote_device", "remote_port", "remote_system_description", "remote_mgmt_address", F.array_join("remote_capabilities", ",").alias("capabilities"), "ttl", "edge_id")
 
 
 @query
 def parse_cdp(spark, d):
-    return texts.cdp_neighbors(_text(spark, "cdp")).select("local_port", "remote_device", "remote_port", F.col("remote_system_description").alias("platform"), "remote_mgmt_address", "ttl", "protocol")
+    return texts.cdp_neighbors(devices.cdp(spark, d)).select("local_device", "local_port", "remote_device", "remote_port", F.col("remote_system_description").alias("platform"), "remote_mgmt_address", F.array_join("remote_capabilities", ",").alias("capabilities"), "ttl", "protocol")
 
 
 @query
 def parse_snmp(spark, d):
-    return texts.snmp_interfaces(_text(spark, "snmp")).select("if_index", "name", "admin_status", "oper_status", "speed", "in_octets", "out_octets", r("utilization_fraction", 9).alias("utilization"))
+    return texts.snmp_interfaces(devices.snmp(spark, d)).select("device", "if_index", "name", "description", "admin_status", "oper_status", "speed", "in_octets", "out_octets", r("utilization_fraction", 9).alias("utilization"))
 
 
 @query
 def parse_snmp_system(spark, d):
-    return texts.snmp_device(_text(spark, "snmp"))
+    return texts.snmp_device(devices.snmp(spark, d))
 
 
 @query
 def parse_snmp_neighbors(spark, d):
-    return texts.snmp_neighbors(_text(spark, "snmp")).select("system_name", "port_id", "port_desc")
+    return texts.snmp_neighbors(devices.snmp(spark, d)).select("device", "system_name", "port_id", "port_desc")
+
+
+_ROUTE = ("source_router", "network", "protocol", "next_hop", "next_hop_interface", "metric", "admin_distance")
 
 
 @query
 def parse_ios_routes(spark, d):
-    return texts.ios_routes(_text(spark, "ios")).select("network", "protocol", "next_hop", "next_hop_interface", "metric", "admin_distance")
+    return texts.ios_routes(devices.ios(spark, d)).select(*_ROUTE)
+
+
+@query
+def parse_ios_routes_compat(spark, d):
+    return texts.ios_routes(devices.ios(spark, d), compat=True).select(*_ROUTE)
 
 
 @query
 def parse_junos(spark, d):
-    return texts.junos_routes(_text(spark, "junos")).select("network", "protocol", "next_hop", "next_hop_interface", "metric")
+    return texts.routes(devices.junos(spark, d), "junos").select(*_ROUTE[:-1])
 
 
 @query
 def parse_interfaces(spark, d):
-    return texts.ios_interfaces(_text(spark, "interfaces"), ts=0.0).select("name", "admin_status", "oper_status", "speed_mbps", "mtu", "ip_address", "subnet_mask", "mac_address", "in_packets", "out_packets", "in_errors", "out_errors", "input_rate_bps")
+    return texts.ios_interfaces(devices.interfaces(spark, d), ts=0.0).drop("ts", "collection_method")
 
 
 @query
 def protocol_summary(spark, d):
-    return graphs.protocol_summary(texts.ios_routes(_text(spark, "ios")))
+    return graphs.protocol_summary(texts.ios_routes(devices.ios(spark, d)))
 
 
 @query
 def parse_json_records(spark, d):
-    n = texts.json_neighbors(_text(spark, "json_neighbors")).select(F.lit("neighbor").alias("kind"), F.col("remote_device").alias("name"), F.col("remote_port").alias("detail"))
-    x = texts.json_routes(_text(spark, "json_routes")).select(F.lit("route").alias("kind"), F.col("network").alias("name"), F.col("next_hop").alias("detail"))
-    i = texts.json_interfaces(_text(spark, "json_interfaces"), ts=0.0).select(F.lit("interface").alias("kind"), "name", F.col("speed_mbps").cast("string").alias("detail"))
+    n = texts.json_neighbors(devices.json_neighbors(spark, d)).select(F.lit("neighbor").alias("kind"), "local_device", F.col("local_port").alias("port"), F.col("remote_device").alias("name"), F.col("remote_port").alias("detail"), F.col("ttl").cast("bigint").alias("number"))
+    x = texts.routes(devices.json_routes(spark, d), "json").select(F.lit("route").alias("kind"), "source_router", "next_hop", "network", "protocol", F.col("metric").cast("bigint") * 100 + F.col("admin_distance"))
+    i = texts.json_interfaces(devices.json_interfaces(spark, d), ts=0.0).select(F.lit("interface").alias("kind"), "device", "name", "oper_status", F.col("speed_mbps").cast("string"), F.col("in_bytes") * 100 + F.col("in_errors"))
     return n.union(x).union(i)
 
 
 @query
 def routing_graph(spark, d):
-    return graphs.from_routes(texts.ios_routes(_text(spark, "ios"))).edges.select("src", "dst", "prefix", "protocol")
+    return graphs.from_routes(texts.ios_routes(devices.ios(spark, d))).edges.select("src", "dst", "prefix", "protocol", "metric", "interface")
+
+
+@query
+def routing_graph_nodes(spark, d):
+    return graphs.from_routes(texts.routes(devices.ios(spark, d))).nodes.select("id", "type")
+
+
+@query
+def neighbor_graph(spark, d):
+    """The graph of LLDP neighbours: the last record of a pair gives a link its ports."""
+    return graphs.from_neighbors(texts.lldp_neighbors(devices.lldp(spark, d))).edges.select("src", "dst", "local_port", "remote_port", "protocol", "ttl")
+
+
+@query
+def neighbor_graph_nodes(spark, d):
+    return graphs.from_neighbors(texts.lldp_neighbors(devices.lldp(spark, d))).degree()
+
+
+@query
+def snmp_graph(spark, d):
+    t = devices.snmp(spark, d)
+    return graphs.from_snmp(texts.snmp_device(t), texts.snmp_interfaces(t), texts.snmp_neighbors(t)).edges.select("src", "dst", "remote_port", "protocol")
+
+
+@query
+def snmp_graph_nodes(spark, d):
+    t = devices.snmp(spark, d)
+    return graphs.from_snmp(texts.snmp_device(t), texts.snmp_interfaces(t), texts.snmp_neighbors(t)).nodes.select("id", "type", F.coalesce("uptime", F.lit(-1)).alias("uptime"), F.coalesce(F.col("interface_count").cast("bigint"), F.lit(-1)).alias("interface_count"))
+
+
+@query
+def node_link_round_trip(spark, d):
+    """Interchange JSON of a graph, written and read again."""
+    text = json.dumps(exports.to_node_link(I.site(spark, d)))
+    g = graphs.from_node_link(spark.createDataFrame([(text,)], "value string"))
+    e = g.edges.join(g.nodes.select(F.col("id").alias("dst"), "type"), "dst")
+    return e.select("src", "dst", "type", "protocol", "speed_mbps", r("utilization_in").alias("utilization_in"), r("error_rate").alias("error_rate"))
 
 
 # -- exports ------------------------------------------------------------------------------------------------------

@@ -6,10 +6,10 @@ import pytest
 
 from graphloom.functions import columns as C
 from graphloom.operators import interfaces
-from graphloom.plans import samples
 from graphloom.service import Service
 from graphloom.sinks import exports
 from graphloom.sources import graphs, texts
+from tests import samples
 
 
 def text(spark, name):
@@ -18,8 +18,9 @@ def text(spark, name):
 
 def test_lldp(spark):
     got = {r["remote_device"]: r for r in texts.lldp_neighbors(text(spark, "lldp")).collect()}
-    assert got["dist-a.example.net"]["remote_port"] == "Gi0/24" and got["phone-7"]["remote_capabilities"] == ["Telephone"]
-    assert texts.lldp_neighbors(text(spark, "lldp"), compat=True).head()["remote_port"] == "Gi1/0/1"
+    assert got["hall-7.example.net"]["remote_port"] == "et-5" and got["desk-31"]["remote_capabilities"] == ["Telephone"] and got["desk-31"]["remote_port"] == "lan"
+    assert got["hall-7.example.net"]["remote_system_description"] == "hall switch"
+    assert texts.lldp_neighbors(text(spark, "lldp"), compat=True).head()["remote_port"] == "xe-0/2"
     assert graphs.from_neighbors(texts.lldp_neighbors(text(spark, "lldp"))).nodes.count() == 3
 
 
@@ -30,23 +31,23 @@ def test_edge_id_from_either_end(spark):
 
 def test_routes(spark):
     got = {r["network"]: r["protocol"] for r in texts.ios_routes(text(spark, "ios")).collect()}
-    assert got["10.4.0.0/16"] == "ospf-external-type2" and "172.16.0.0/16" not in got
+    assert got == {"10.61.0.0/18": "ospf-external-type2", "10.62.1.0/26": "ospf-inter-area", "10.63.0.0/30": "static"}
     old = {r["network"]: r["protocol"] for r in texts.ios_routes(text(spark, "ios"), compat=True).collect()}
-    assert "10.4.0.0/16" not in old and old["172.16.0.0/16"] == "" and old["10.3.0.0/16"] == "O IA"
+    assert "10.61.0.0/18" not in old and old["10.62.0.0/20"] == "" and old["10.62.1.0/26"] == "O IA"
     with pytest.raises(ValueError):
         texts.routes(text(spark, "ios"), "other")
 
 
 def test_snmp(spark):
     t = text(spark, "snmp")
-    assert texts.snmp_device(t).head()["hostname"] == "core-1.example"
+    assert texts.snmp_device(t).head()["hostname"] == "mast-2.example"
     g = graphs.from_snmp(texts.snmp_device(t), texts.snmp_interfaces(t), texts.snmp_neighbors(t))
     assert (g.nodes.count(), g.edges.count()) == (2, 1)
 
 
 def test_interfaces_and_deltas(spark):
     s = interfaces.derived(texts.ios_interfaces(text(spark, "interfaces"), ts=1.0)).orderBy("name").collect()
-    assert [r["is_up"] for r in s] == [False, True] and s[1]["error_rate"] == pytest.approx(7 / 1_800_000)
+    assert [r["is_up"] for r in s] == [True, False] and s[0]["error_rate"] == pytest.approx(6 / 4000)
     polls = spark.createDataFrame([("d", "e", 0.0, 100, 5, 0, 0), ("d", "e", 300.0, 1100, 0, 2, 0)], "device string, name string, ts double, in_bytes long, out_bytes long, in_errors long, out_errors long")
     d = interfaces.counter_deltas(polls, ["device", "name"], "ts").head()
     assert (d["in_bytes_delta"], d["out_bytes_delta"], d["in_errors_delta"]) == (1000, 0, 2)
