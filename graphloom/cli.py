@@ -6,7 +6,7 @@ import argparse
 import json
 import sys
 
-from graphloom.session import local_session
+from graphloom.session import forget, session
 
 
 def _load(spark, path: str):
@@ -111,7 +111,7 @@ def main(argv: list[str] | None = None) -> int:
             c.add_argument("--port", type=int, default=5000)
     sub.add_parser("demo").add_argument("--output", "-o")
     a = p.parse_args(argv)
-    spark = local_session()
+    spark = session()
     from graphloom.sinks import exports
     from graphloom.sources import graphs
 
@@ -139,6 +139,7 @@ def main(argv: list[str] | None = None) -> int:
     else:
         sys.stdout.write(out if isinstance(out, str) else json.dumps(out, indent=2, default=str))
         sys.stdout.write("\n")
+    forget(spark)
     return 0
 
 

@@ -50,9 +50,9 @@ def _raw(graph: Topology) -> tuple[DataFrame, DataFrame]:
     g = graph
     arcs = g.arcs().where("a <> b").distinct()
     size = arcs.count()
-    if size > 2 * LIMIT:
+    if size > 2 * LIMIT or g.nodes.count() > LIMIT:
         return _raw_by_joins(g, materialise(arcs, "arcs"))
-    t = arcs.toArrow()  # 2 * LIMIT arcs at most
+    t = arcs.toArrow()  # 2 * LIMIT arcs and LIMIT nodes at most
     ids = np.array(sorted(r["id"] for r in g.nodes.select("id").toArrow().to_pylist()), object)
     where = {v: i for i, v in enumerate(ids)}
     a = np.array([where[x] for x in t["a"].to_pylist()], np.int64)

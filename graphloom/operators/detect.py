@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from graphloom.frame import Topology
 from graphloom.gnn.models import Autoencoder
-from graphloom.operators import cuts, features, temporal
+from graphloom.operators import cuts, features, ranks, temporal
 from graphloom.session import materialise
 
 #: Nodes of a graph whose dense matrices one process takes: 8 * n * n bytes each.
@@ -41,7 +41,8 @@ def above(scores: DataFrame, percentile: float = 95.0, threshold: float | None =
     """Scores strictly above a threshold, or above the interpolated percentile of their own."""
     if threshold is not None:
         return scores.withColumn("threshold", F.lit(threshold)).where("score > threshold")
-    return scores.crossJoin(scores.agg(F.percentile("score", F.lit(percentile / 100)).alias("threshold"))).where("score > threshold")
+    value = ranks.percentile(scores, "score", percentile / 100)
+    return scores.withColumn("threshold", F.lit(value).cast("double")).where("score > threshold")
 
 
 class Detector:

@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from graphloom.frame import Topology
 from graphloom.functions.columns import EIGRP, OSPF
 from graphloom.operators import centrality, traversal
+from graphloom.operators.ranks import numbered
 
 NODE_FEATURES = ("degree", "betweenness", "closeness", "clustering", "pagerank", "is_router", "is_switch", "interface_count", "error_rate", "utilization")
 EDGE_FEATURES = ("speed", "utilization_in", "utilization_out", "error_rate", "is_ospf", "is_bgp", "is_static", "is_eigrp", "weight")
@@ -16,7 +16,7 @@ EDGE_FEATURES = ("speed", "utilization_in", "utilization_out", "error_rate", "is
 
 def node_index(graph: Topology) -> DataFrame:
     """(id, i): places in the order of ids."""
-    return graph.nodes.select("id", (F.row_number().over(W.orderBy("id")) - 1).alias("i"))
+    return numbered(graph.nodes.select("id"), ["id"], "i")
 
 
 def node_features(graph: Topology, names: tuple[str, ...] = NODE_FEATURES, pagerank_rounds: int | None = None) -> DataFrame:

@@ -33,12 +33,15 @@ def counter_deltas(polls: DataFrame, keys: list[str], order: str, counters: tupl
 def annotate(graph: Topology, states: DataFrame, by_device: bool = True) -> Topology:
     """Edges with the state of the interface at their local port; edges without one stay as they are.
 
-    by_device: the interface must be of the edge's own device (orig_src); else the port's name alone decides.
+    by_device: the interface must be of the edge's own device (orig_src); else the port's name alone decides. Of several
+    states of an interface the last by ts counts (ties, or states without ts: the greatest by its other columns).
     """
-    s = derived(states).select(F.col("device").alias("_device"), F.col("name").alias("_port"), *[F.col(c).alias(f"_{c}") for c in ("oper_status", "speed_mbps", "utilization_in", "utilization_out", "error_rate", "input_rate_bps", "output_rate_bps")])
-    s = s.dropDuplicates(["_device", "_port"] if by_device else ["_port"])
+    known = ("oper_status", "speed_mbps", "utilization_in", "utilization_out", "error_rate", "input_rate_bps", "output_rate_bps")
+    keys = ["device", "name"] if by_device else ["name"]
+    ts = [F.col("ts")] if "ts" in states.columns else []
+    last = derived(states).groupBy(*keys).agg(F.max(F.struct(*ts, *known)).alias("last"))
+    s = last.select(*([F.col("device").alias("_device")] if by_device else []), F.col("name").alias("_port"), *[F.col(f"last.{c}").alias(f"_{c}") for c in known])
     on = (F.col("local_port") == F.col("_port")) & (F.col("orig_src") == F.col("_device") if by_device else F.lit(True))
     e = graph.edges.join(s, on, "left")
-    new = ("oper_status", "speed_mbps", "utilization_in", "utilization_out", "error_rate", "input_rate_bps", "output_rate_bps")
-    keep = [c for c in graph.edges.columns if c not in new]
-    return Topology(graph.nodes, e.select(*keep, *[(F.coalesce(f"_{c}", c) if c in graph.edges.columns else F.col(f"_{c}")).alias(c) for c in new]), graph.directed)
+    keep = [c for c in graph.edges.columns if c not in known]
+    return Topology(graph.nodes, e.select(*keep, *[(F.coalesce(f"_{c}", c) if c in graph.edges.columns else F.col(f"_{c}")).alias(c) for c in known]), graph.directed)

@@ -6,22 +6,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from graphloom.operators.ranks import numbered
+
 
 def changes(rows: DataFrame, keys: list[str], seqs: DataFrame | None = None, attributes: list[str] | None = None) -> DataFrame:
     """(seq, keys, kind) of what differs from the snapshot before: added, removed or modified.
 
     Each key's presence is compared along the snapshots' own order, so every pair of neighbours costs one shuffle by
-    key, not a join each. seqs: the snapshots there are (by default those with rows).
+    key, not a join each. seqs: the snapshots there are (by default those with rows). A modified row differs in one of the
+    attributes; a null differs from any value.
     """
     seqs = (seqs if seqs is not None else rows.select("seq")).select("seq").distinct()
     ranked = seqs.select("seq", F.row_number().over(W.orderBy("seq")).alias("place"), F.lead("seq").over(W.orderBy("seq")).alias("next_seq"))
-    print_ = F.hash(*attributes) if attributes else F.lit(0)
+    print_ = F.struct(*attributes) if attributes else F.lit(0)
     have = rows.join(ranked, "seq").select(*keys, "seq", "place", "next_seq", print_.alias("print"))
     w = W.partitionBy(*keys).orderBy("place")
     seen = have.select("*", F.lag("place").over(w).alias("before"), F.lag("print").over(w).alias("old"), F.lead("place").over(w).alias("after"))
     added = seen.where("place > 1 and (before is null or before <> place - 1)").select("seq", *keys, F.lit("added").alias("kind"))
     gone = seen.where("next_seq is not null and (after is null or after <> place + 1)").select(F.col("next_seq").alias("seq"), *keys, F.lit("removed").alias("kind"))
-    changed = seen.where("before = place - 1 and old <> print").select("seq", *keys, F.lit("modified").alias("kind"))
+    changed = seen.where("before = place - 1 and not (old <=> print)").select("seq", *keys, F.lit("modified").alias("kind"))
     return added.union(gone).union(changed)
 
 
@@ -64,8 +67,7 @@ def between(rows: DataFrame, start: float, end: float, ts: str = "ts") -> DataFr
 
 def adjacency_cells(edges: DataFrame, nodes: DataFrame, value: str | None = None) -> DataFrame:
     """(t, i, j, v) of the snapshots' adjacency tensor, both directions; indices run over the ids of all snapshots in order."""
-    ids = nodes.select("id").distinct()
-    index = ids.select("id", (F.row_number().over(W.orderBy("id")) - 1).alias("i"))
+    index = numbered(nodes.select("id").distinct(), ["id"], "i")
     times = edges.select("seq").union(nodes.select("seq")).distinct()
     t = times.select("seq", (F.row_number().over(W.orderBy("seq")) - 1).alias("t"))
     one = F.coalesce(F.col(value), F.lit(1.0)).cast("float") if value else F.lit(1.0).cast("float")

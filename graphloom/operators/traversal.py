@@ -9,6 +9,10 @@ from graphloom.frame import Topology
 from graphloom.session import materialise
 
 
+#: Pairs of nodes that closeness holds at once.
+PAIRS = 500_000_000
+
+
 def hops(arcs: DataFrame, starts: DataFrame, limit: int | None = None, every: int = 3) -> DataFrame:
     """(source, id, hop): the least number of arcs from each start to each node it reaches, itself at 0.
 
@@ -58,13 +62,22 @@ def all_pairs(graph: Topology) -> DataFrame:
     return hops(graph.arcs(), graph.nodes.select(F.col("id").alias("source"), "id"))
 
 
-def closeness(graph: Topology) -> DataFrame:
-    """(id, closeness): nodes reached over the sum of their distances, scaled by the share reached; distances run inward."""
-    arcs = graph.arcs().select(F.col("b").alias("a"), F.col("a").alias("b"))
-    d = hops(arcs, graph.nodes.select(F.col("id").alias("source"), "id"))
-    n = graph.nodes.agg(F.count("*").alias("n"))
-    per = d.groupBy("source").agg(F.count("*").alias("r"), F.sum("hop").alias("total")).crossJoin(n)
-    return per.select(F.col("source").alias("id"), F.when((F.col("total") > 0) & (F.col("n") > 1), (F.col("r") - 1) / F.col("total") * ((F.col("r") - 1) / (F.col("n") - 1))).otherwise(0.0).alias("closeness"))
+def closeness(graph: Topology, rows: int = PAIRS) -> DataFrame:
+    """(id, closeness): nodes reached over the sum of their distances, scaled by the share reached; distances run inward.
+
+    Starts are walked from in batches, by a hash of their id, so that about `rows` pairs are held at once.
+    """
+    arcs = materialise(graph.arcs().select(F.col("b").alias("a"), F.col("a").alias("b")), "arcs")
+    nodes = materialise(graph.nodes.select("id"), "nodes")
+    n = nodes.count()
+    batches, per = max(1, -(-n * n // rows)), None
+    for k in range(batches):
+        starts = nodes.where(F.pmod(F.xxhash64("id"), F.lit(batches)) == k).select(F.col("id").alias("source"), "id")
+        got = hops(arcs, starts).groupBy("source").agg(F.count("*").alias("r"), F.sum("hop").alias("total"))
+        got = materialise(got, "closeness") if batches > 1 else got
+        per = got if per is None else per.union(got)
+    share = (F.col("r") - 1) / F.col("total") * ((F.col("r") - 1) / F.lit(max(n - 1, 1)))
+    return per.select(F.col("source").alias("id"), F.when(F.col("total") > 0, share).otherwise(0.0).alias("closeness"))
 
 
 def clustering(graph: Topology) -> DataFrame:
@@ -84,12 +97,28 @@ def clustering(graph: Topology) -> DataFrame:
 
 
 def redundant_edges(graph: Topology) -> DataFrame:
-    """(src, dst, redundant): whether another simple path of at most three edges joins the ends."""
+    """(src, dst, redundant): whether another simple path of at most three edges joins the ends.
+
+    That is so for edges of a triangle or of a cycle of four. Both are found from ranks by degree: a triangle from its
+    lowest node; a cycle of four from its highest node w and the node z across, which meet in two nodes at least, by
+    walks w - a - z where w ranks above both. So there are no more walks than edges times the lesser degree of each, and
+    a hub does not give the square of its degree.
+    """
     g = graph.undirected()
-    e = g.edges.select("src", "dst").where("src <> dst")
-    arcs = e.select(F.col("src").alias("a"), F.col("dst").alias("b")).union(e.select(F.col("dst").alias("a"), F.col("src").alias("b")))
-    two = e.join(arcs.withColumnsRenamed({"a": "src", "b": "x"}), "src").where("x <> dst").join(arcs.withColumnsRenamed({"a": "x", "b": "y"}), "x").where("y <> src")
-    by2 = two.where("y = dst").select("src", "dst")
-    by3 = two.where("y <> dst").join(arcs.withColumnsRenamed({"a": "y", "b": "z"}), "y").where("z = dst").select("src", "dst")
-    found = by2.union(by3).distinct().withColumn("redundant", F.lit(True))
-    return e.join(found, ["src", "dst"], "left").select("src", "dst", F.coalesce("redundant", F.lit(False)).alias("redundant"))
+    e = g.edges.select("src", "dst").where("src <> dst").distinct()
+    ends = e.select(F.col("src").alias("a"), F.col("dst").alias("b")).union(e.select(F.col("dst").alias("a"), F.col("src").alias("b")))
+    rank = ends.groupBy("a").agg(F.count("*").alias("k")).select(F.col("a").alias("id"), F.struct("k", F.col("a").alias("id")).alias("rank"))
+    arcs = ends.join(rank.withColumnsRenamed({"id": "a", "rank": "ra"}), "a").join(rank.withColumnsRenamed({"id": "b", "rank": "rb"}), "b")
+    arcs = materialise(arcs, "arcs")
+    up, every = arcs.where("rb > ra"), arcs.select("a", F.col("b").alias("z"), F.col("rb").alias("rz"))
+    wedge = up.select("a", F.col("b").alias("y"), F.col("rb").alias("ry")).join(up.select("a", F.col("b").alias("z"), F.col("rb").alias("rz")), "a").where("ry < rz").select("a", "y", "z")
+    three = wedge.join(up.select(F.col("a").alias("y"), F.col("b").alias("z")), ["y", "z"])
+    walks = materialise(up.select("a", F.col("b").alias("w"), F.col("rb").alias("rw")).join(every, "a").where("rz < rw and w <> z").select("w", "z", "a"), "walks")
+    met = walks.groupBy("w", "z").agg(F.count("*").alias("n")).where("n > 1").select("w", "z")
+    four = walks.join(met, ["w", "z"])
+    pair = lambda df, *ends: [df.select(F.least(x, y).alias("src"), F.greatest(x, y).alias("dst")) for x, y in ends]
+    parts = pair(three, ("a", "y"), ("a", "z"), ("y", "z")) + pair(four, ("w", "a"), ("a", "z"))
+    found = parts[0]
+    for p in parts[1:]:
+        found = found.union(p)
+    return e.join(found.distinct().withColumn("redundant", F.lit(True)), ["src", "dst"], "left").select("src", "dst", F.coalesce("redundant", F.lit(False)).alias("redundant"))

@@ -90,5 +90,6 @@ def rolling_trend(series: DataFrame, key: str, ts: str, value: str, lookback: in
 
 
 def windowed_errors(events: DataFrame, ts: str = "ts", late: str = "10 minutes", width: str = "1 hour") -> DataFrame:
-    """Events and errors of each event-time window; rows later than `late` are left out."""
-    return events.withWatermark(ts, late).groupBy(F.window(ts, width).alias("w"), "event_type").agg(F.count("*").alias("n"), F.avg("value").alias("mean_value"))
+    """Events, errors (events of type error) and the mean value of each event-time window; rows later than `late` are left out."""
+    rows = events.withWatermark(ts, late).groupBy(F.window(ts, width).alias("w"))
+    return rows.agg(F.count("*").alias("n"), F.count_if(F.col("event_type") == "error").alias("errors"), F.avg("value").alias("mean_value"))
