@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 
+try:
+    _TRIM = ctypes.CDLL(None).malloc_trim
+except (AttributeError, OSError):  # another C library
+    _TRIM = None
+
 U64 = np.uint64
 # ASCII white space: a word is a maximal run of other bytes.
 _SPACE = np.zeros(256, bool)
@@ -18,6 +24,13 @@ _LOWER[65:91] += 32
 LONG_WORD = 512
 
 
+def release() -> None:
+    """Gives memory that is not used any more back to the system: workers live on and would keep their peak."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM:
+        _TRIM(0)
+
+
 def slices(batches, column: str, max_bytes: int) -> Iterator[pa.RecordBatch]:
     """Cuts batches so that each slice holds at most max_bytes of the column, or one row."""
     for batch in batches:
@@ -32,6 +45,8 @@ def slices(batches, column: str, max_bytes: int) -> Iterator[pa.RecordBatch]:
             hi = min(hi, n)
             yield batch.slice(lo, hi - lo)
             lo = hi
+        del batch, col, size
+        release()
 
 
 def utf8(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -65,7 +65,7 @@ def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffixdedup.digests(suffixdedup.repeated_spans(table(spark, sf_dir, "documents", "doc_id", "text"), width=50))
+    return suffixdedup.kept_digests(table(spark, sf_dir, "documents", "doc_id", "text"), width=50)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

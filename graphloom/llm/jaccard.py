@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from graphloom.llm import arrays as A
 from graphloom.llm import parts as P
-from graphloom.llm.sparkio import materialise, partitions
+from graphloom.llm.sparkio import materialise, on_group, on_pair, partitions
 from graphloom.operators.components import connected_components
 
 WIDTH = 5
@@ -329,8 +329,8 @@ def components(df: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", te
     bits = min(64, (n_blobs * P.PART_BYTES).bit_length() + 11)  # short hashes: so long that few shingles share one
     packed = P.pack_documents(docs, n_blobs)
     wanted = _placed(reps, n_blobs)
-    told = packed.groupBy("part").cogroup(wanted.groupBy("part")).applyInArrow(_ask(n_blobs, bits), ASKED).groupBy("owner").applyInArrow(_answer, TOLD)
-    postings = packed.groupBy("part").cogroup(told.groupBy("part")).applyInArrow(_postings(n_blobs, bits, percent), POSTED)
+    told = packed.groupBy("part").cogroup(wanted.groupBy("part")).applyInArrow(on_pair(_ask(n_blobs, bits)), ASKED).groupBy("owner").applyInArrow(on_group(_answer), TOLD)
+    postings = packed.groupBy("part").cogroup(told.groupBy("part")).applyInArrow(on_pair(_postings(n_blobs, bits, percent)), POSTED)
     met = materialise(postings.repartition(n_parts, "key").withColumn("met", F.count("*").over(Window.partitionBy("key"))).where("met > 1").drop("met"), "jaccard-postings")
     n_met = met.count()
     # The texts of classes that share a prefix shingle with another, once.
@@ -400,7 +400,7 @@ def _class_texts(packed: DataFrame, wanted: DataFrame) -> DataFrame:
                 out.append(pa.table({"class": pa.array(_classes(h, first)), "text": b.column("text").cast(pa.string())}))
         return pa.concat_tables(out)
 
-    return packed.groupBy("part").cogroup(wanted.groupBy("part")).applyInArrow(pick, "class long, text string")
+    return packed.groupBy("part").cogroup(wanted.groupBy("part")).applyInArrow(on_pair(pick), "class long, text string")
 
 
 def representatives(df: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from graphloom.llm import arrays as A
 from graphloom.llm import parts as P
-from graphloom.llm.sparkio import materialise
+from graphloom.llm.sparkio import materialise, on_group, on_pair
 
 END = np.uint64(0x2545F4914F6CDD1D)
 START = np.uint64(0x9E6C63D0676A9A99)
@@ -285,8 +285,8 @@ def score(df: DataFrame, folds: int = 10, id_col: str = "doc_id", text_col: str
     n_main = P.count_parts(docs)
     n_parts = n_main + -(-n_main // (HELD - 1))
     packed = P.pack_documents(docs, n_parts, _place(n_main, n_parts))
-    asked = packed.groupBy("part").applyInArrow(_ask(n_parts, folds), ASKED)
-    told = materialise(asked.groupBy("owner", "kind").applyInArrow(_answer(n_main), TOLD), "lm-counts")
+    asked = packed.groupBy("part").applyInArrow(on_group(_ask(n_parts, folds)), ASKED)
+    told = materialise(asked.groupBy("owner", "kind").applyInArrow(on_group(_answer(n_main)), TOLD), "lm-counts")
     totals = told.where(F.col("kind") == TOTALS).select("n_raw", "blob").toArrow()  # three numbers from each part
     sums = sum((P.expand(n, z)[0] for n, z in zip(totals["n_raw"].to_pylist(), totals["blob"].to_pylist())), np.zeros(3, np.int64))
     tokens, held, vocabulary = (int(x) for x in sums)
@@ -294,8 +294,8 @@ def score(df: DataFrame, folds: int = 10, id_col: str = "doc_id", text_col: str
     cells = np.zeros((0, 4), np.int64)
     if held < tokens:
         apart = F.col("part") >= n_main
-        found = packed.where(apart).groupBy("part").cogroup(replies.where(apart).groupBy("part")).applyInArrow(_histogram(n_parts, folds, tokens - held, vocabulary), "bucket long, pair long, word long, n long")
+        found = packed.where(apart).groupBy("part").cogroup(replies.where(apart).groupBy("part")).applyInArrow(on_pair(_histogram(n_parts, folds, tokens - held, vocabulary)), "bucket long, pair long, word long, n long")
         grid = found.groupBy("bucket", "pair", "word").agg(F.sum("n").alias("n")).toArrow()  # as many cells at most as the grid of logarithms has
         cells = np.stack([grid[c].to_numpy() for c in ("bucket", "pair", "word", "n")], 1)
     weights = Weights(learn_weights(cells), tokens, vocabulary)
-    return packed.groupBy("part").cogroup(replies.groupBy("part")).applyInArrow(_score(n_parts, folds, weights), SCORED)
+    return packed.groupBy("part").cogroup(replies.groupBy("part")).applyInArrow(on_pair(_score(n_parts, folds, weights)), SCORED)

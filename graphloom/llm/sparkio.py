@@ -5,9 +5,35 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphloom.llm.arrays import release
 from graphloom.session import materialise
 
-__all__ = ["fold", "materialise", "partitions", "table"]
+__all__ = ["fold", "materialise", "on_group", "on_pair", "partitions", "table"]
+
+
+def on_group(f):
+    """f, a function of a group's table, which gives its memory back at the end."""
+
+    def run(rows):
+        try:
+            return f(rows)
+        finally:
+            release()
+
+    return run
+
+
+def on_pair(f):
+    """f, a function of two tables of a group, which gives its memory back at the end."""
+
+    def run(rows, others):
+        try:
+            return f(rows, others)
+        finally:
+            release()
+
+    return run
+
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from graphloom.llm import arrays as A
 from graphloom.llm import parts as P
-from graphloom.llm.sparkio import materialise, partitions
+from graphloom.llm.sparkio import materialise, on_group, on_pair, partitions
 
 K = 16
 SLICE_BYTES = 500_000
@@ -395,26 +395,60 @@ def _sorted_texts(width: int, n_parts: int):
     return run
 
 
-def _apply(docs: pa.Table, found: pa.Table) -> pa.Table:
-    """Each document of a part with its merged runs: doc_id, variant, text, starts, ends."""
-    d = P.unpack_documents(docs)
-    parts = [P.expand(n, z) for n, z in zip(found.column("n_raw").to_pylist(), found.column("blob").to_pylist())]
-    cols = tuple(np.concatenate(c) for c in zip(*parts)) if parts else (np.zeros(0, np.int64),) * 4
-    ids, kinds, start, end = _merge(*cols)
-    row = _locate(d, ids, kinds) if len(d.ids) else np.full(len(ids), -1)
-    # Rows of the same id and variant are the same text; the first one's runs hold for all.
-    same = np.ones(len(d.ids), bool)
-    same[1:] = (d.ids[1:] != d.ids[:-1]) | (d.kinds[1:] != d.kinds[:-1])
-    leader = np.maximum.accumulate(np.where(same, np.arange(len(same)), 0)) if len(same) else np.zeros(0, np.int64)
-    lo, hi = np.searchsorted(row, leader, "left"), np.searchsorted(row, leader, "right")
-    out = {"doc_id": [], "raw": [], "starts": [], "ends": []}
-    raw = d.buf.tobytes()
-    for i in range(len(d.ids)):
-        out["doc_id"].append(int(d.ids[i]))
-        out["raw"].append(raw[d.off[i] : d.off[i + 1]])
-        out["starts"].append(start[lo[i] : hi[i]])
-        out["ends"].append(end[lo[i] : hi[i]])
-    return pa.table({"doc_id": pa.array(out["doc_id"], pa.int64()), "raw": pa.array(out["raw"], pa.binary()), "starts": pa.array(out["starts"], pa.list_(pa.int64())), "ends": pa.array(out["ends"], pa.list_(pa.int64()))})
+class _Found:
+    """The documents of a part, in order, with the merged runs to remove from each."""
+
+    def __init__(self, docs: pa.Table, found: pa.Table):
+        self.docs = d = P.unpack_documents(docs)
+        parts = [P.expand(n, z) for n, z in zip(found.column("n_raw").to_pylist(), found.column("blob").to_pylist())]
+        cols = tuple(np.concatenate(c) for c in zip(*parts)) if parts else (np.zeros(0, np.int64),) * 4
+        ids, kinds, self.start, self.end = _merge(*cols)
+        row = _locate(d, ids, kinds) if len(d.ids) else np.full(len(ids), -1)
+        # Rows of the same id and variant are the same text; the first one's runs hold for all.
+        same = np.ones(len(d.ids), bool)
+        same[1:] = (d.ids[1:] != d.ids[:-1]) | (d.kinds[1:] != d.kinds[:-1])
+        leader = np.maximum.accumulate(np.where(same, np.arange(len(same)), 0)) if len(same) else np.zeros(0, np.int64)
+        self.lo, self.hi = np.searchsorted(row, leader, "left"), np.searchsorted(row, leader, "right")
+
+    def __iter__(self):
+        """(doc_id, bytes, starts, ends) of each document."""
+        d, raw = self.docs, memoryview(self.docs.buf)
+        for i in range(len(d.ids)):
+            yield int(d.ids[i]), raw[d.off[i] : d.off[i + 1]], self.start[self.lo[i] : self.hi[i]], self.end[self.lo[i] : self.hi[i]]
+
+
+SPANS = "doc_id long, raw binary, starts array<long>, ends array<long>"
+DIGESTS = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+TEXTS = "doc_id long, text string, n_removed long"
+
+
+def _as_spans(rows) -> pa.Table:
+    cols = list(zip(*((i, bytes(raw), s, e) for i, raw, s, e in rows))) or [()] * 4
+    return pa.table([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())))], ["doc_id", "raw", "starts", "ends"])
+
+
+def _pieces_kept(raw, starts, ends):
+    at = 0
+    for s, e in zip(starts, ends):
+        yield raw[at:s]
+        at = e
+    yield raw[at:]
+
+
+def _as_digests(rows) -> pa.Table:
+    out = []
+    for i, raw, s, e in rows:
+        digest = hashlib.sha256()
+        for piece in _pieces_kept(raw, s, e):
+            digest.update(piece)
+        out.append((i, len(raw), int(sum(e) - sum(s)), len(s), digest.hexdigest()))
+    cols = list(zip(*out)) or [()] * 5
+    return pa.table([pa.array(c, t) for c, t in zip(cols, (*[pa.int64()] * 4, pa.string()))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+
+
+def _as_texts(rows) -> pa.Table:
+    cols = list(zip(*((i, b"".join(_pieces_kept(raw, s, e)).decode("utf-8", "ignore"), int(sum(e) - sum(s))) for i, raw, s, e in rows))) or [()] * 3
+    return pa.table([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.int64()))], ["doc_id", "text", "n_removed"])
 
 
 def repeated_spans(df: DataFrame, width: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -425,50 +459,58 @@ def repeated_spans(df: DataFrame, width: int = 50, id_col: str = "doc_id", text_
     overlap, so only its bytes themselves are in memory at once. Other columns are ignored; an empty table gives an
     empty result.
     """
+    return _repeated(df, width, id_col, text_col, _as_spans, SPANS)
+
+
+def kept_digests(df: DataFrame, width: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """digests() of repeated_spans(), made where the spans are found, so that no text comes back."""
+    return _repeated(df, width, id_col, text_col, _as_digests, DIGESTS)
+
+
+def without_repeats(df: DataFrame, width: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """kept_texts() of repeated_spans(), made where the spans are found."""
+    return _repeated(df, width, id_col, text_col, _as_texts, TEXTS)
+
+
+def _repeated(df: DataFrame, width: int, id_col: str, text_col: str, finish, schema: str) -> DataFrame:
     if not K + 1 <= width <= 128:
         raise ValueError(f"width must be {K + 1} to 128")
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     docs = rows.where("doc_id is not null")
     n_parts = P.count_parts(docs)
     n = partitions(df.sparkSession)
-    found = materialise(_anchors(docs, width, n_parts).repartition(n, "part").groupBy("part").applyInArrow(_settle(n_parts, MANY), _BLOBS), "suffix-found")
+    found = materialise(_anchors(docs, width, n_parts).repartition(n, "part").groupBy("part").applyInArrow(on_group(_settle(n_parts, MANY)), _BLOBS), "suffix-found")
     packed = P.pack_documents(docs, n_parts)
     opened = found.where(F.col("kind") == ANCHORS)
-    cut = packed.groupBy("part").cogroup(opened.groupBy("part")).applyInArrow(_cut_out(n_parts, width), _BLOBS)
-    more = materialise(cut.groupBy("part").applyInArrow(_sorted_texts(width, n_parts), _BLOBS), "suffix-sorted")
+    cut = packed.groupBy("part").cogroup(opened.groupBy("part")).applyInArrow(on_pair(_cut_out(n_parts, width)), _BLOBS)
+    more = materialise(cut.groupBy("part").applyInArrow(on_group(_sorted_texts(width, n_parts)), _BLOBS), "suffix-sorted")
     gone = found.where(F.col("kind") == GONE).union(more)
-    out = packed.groupBy("part").cogroup(gone.groupBy("part")).applyInArrow(_apply, "doc_id long, raw binary, starts array<long>, ends array<long>")
-    none = F.array().cast("array<long>")
-    return out.union(rows.where("doc_id is null").select("doc_id", F.encode("text", "UTF-8").alias("raw"), none.alias("starts"), none.alias("ends")))
 
+    def apply(texts: pa.Table, found: pa.Table) -> pa.Table:
+        return finish(_Found(texts, found))
 
-def _kept(batches, finish):
-    for b in A.slices(batches, "raw", SLICE_BYTES):
-        raws = b.column("raw").to_pylist()
-        out = []
-        for raw, starts, ends in zip(raws, b.column("starts").to_pylist(), b.column("ends").to_pylist()):
-            at, kept = 0, []
-            for s, e in zip(starts, ends):
-                kept.append(raw[at:s])
-                at = e
-            kept.append(raw[at:])
-            out.append((len(raw), sum(ends) - sum(starts), len(starts), b"".join(kept)))
-        yield from finish(b, out)
+    out = packed.groupBy("part").cogroup(gone.groupBy("part")).applyInArrow(on_pair(apply), schema)
 
+    def plain(batches):
+        for b in A.slices(batches, "raw", SLICE_BYTES):
+            yield from finish((None, raw, [], []) for raw in b.column("raw").to_pylist()).to_batches()
 
-def digests(spans: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row of repeated_spans()."""
+    return out.union(rows.where("doc_id is null").select(F.encode("text", "UTF-8").alias("raw")).mapInArrow(plain, schema))
 
-    def finish(b, out):
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array([x[i] for x in out], pa.int64()) for i in range(3)), pa.array([hashlib.sha256(x[3]).hexdigest() for x in out], pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return spans.mapInArrow(lambda batches: _kept(batches, finish), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+def _read(spans: DataFrame, finish, schema: str) -> DataFrame:
+    def run(batches):
+        for b in A.slices(batches, "raw", SLICE_BYTES):
+            yield from finish(zip(*(b.column(c).to_pylist() for c in ("doc_id", "raw", "starts", "ends")))).to_batches()
 
+    return spans.mapInArrow(run, schema)
 
-def kept_texts(spans: DataFrame) -> DataFrame:
-    """doc_id, text and n_removed of every row: the bytes that stay; a character cut in two loses its rest."""
 
-    def finish(b, out):
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([x[3].decode("utf-8", "ignore") for x in out], pa.string()), pa.array([x[1] for x in out], pa.int64())], ["doc_id", "text", "n_removed"])
+def digests(spans: DataFrame) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row of repeated_spans()."""
+    return _read(spans, _as_digests, DIGESTS)
+
 
-    return spans.mapInArrow(lambda batches: _kept(batches, finish), "doc_id long, text string, n_removed long")
+def kept_texts(spans: DataFrame) -> DataFrame:
+    """doc_id, text and n_removed of every row of repeated_spans(): the bytes that stay; a character cut in two loses its rest."""
+    return _read(spans, _as_texts, TEXTS)

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from graphloom.llm import arrays as A
 
 #: Bounds of what is learned from: labelled ids, taken in hash order, and the bytes of their texts together. Texts are
-#: taken whole, whatever their length; the first beyond MAX_BYTES is the last.
+#: taken whole, whatever their length, as long as they stay within MAX_BYTES together.
 MAX_ROWS = 10_000
 MAX_BYTES = 64_000_000
 MAX_FEATURES = 50_000
@@ -198,11 +198,17 @@ def learn(docs: DataFrame, labels: DataFrame, may_learn: Column | None = None, m
         upto = np.cumsum(sizes["bytes"].to_numpy())
         ids = sizes["id"].filter(pa.array(upto <= max_bytes)).to_pylist()
         found = F.broadcast(found.join(docs.sparkSession.createDataFrame([(i,) for i in ids], "id long"), "id"))
-    got = texts.join(found, "id").select("id", "text", "label").toArrow()
-    got = got.sort_by([("id", "ascending"), ("text", "ascending")]).slice(0, max_rows).combine_chunks()
+    got = texts.join(found, "id").select("id", "text", "label").distinct().toArrow()
     if not got.num_rows:
         return Model()
-    return fit(got["text"].combine_chunks() if got["text"].num_chunks != 1 else got["text"].chunk(0), got["label"].to_numpy())
+    got = got.sort_by([("id", "ascending"), ("text", "ascending")]).slice(0, max_rows)
+    texts, labels = pa.concat_arrays(got["text"].chunks), got["label"].to_numpy()
+    del got
+    try:
+        return fit(texts, labels)
+    finally:
+        del texts
+        A.release()
 
 
 def score(df: DataFrame, model: Model, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -204,6 +204,9 @@ def test_suffix_dedup(spark):
         else:
             assert (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) == want[r["doc_id"]]
     assert suffixdedup.digests(suffixdedup.repeated_spans(empty(spark))).count() == 0
+    key = lambda rows: sorted(tuple(map(str, r)) for r in rows)
+    assert key(suffixdedup.kept_digests(df).collect()) == key(got) and suffixdedup.kept_digests(empty(spark)).count() == 0
+    assert key(suffixdedup.without_repeats(df).collect()) == key(suffixdedup.kept_texts(suffixdedup.repeated_spans(df)).collect())
 
 
 def test_suffix_dedup_in_small_slices(spark, monkeypatch):
