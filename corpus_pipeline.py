@@ -40,7 +40,7 @@ def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
     lang and source are the id's (the smallest, if rows of one id differ); n_chars is counted anew.
     """
-    left = suffixdedup.kept_texts(suffixdedup.repeated_spans(docs, width=50))
+    left = suffixdedup.without_repeats(docs, width=50)
     about = docs.groupBy("doc_id").agg(F.min(F.struct("lang", "source")).alias("about"))
     both = left.join(about, left["doc_id"].eqNullSafe(about["doc_id"]), "left").select(left["doc_id"], "text", "about.lang", "about.source")
     return both.select("doc_id", "text", "lang", "source", F.char_length("text").cast("long").alias("n_chars"))
