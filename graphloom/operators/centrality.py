@@ -165,7 +165,7 @@ MEASURES = {"betweenness": betweenness, "degree": degree_centrality, "pagerank":
 
 
 def high_centrality(graph: Topology, k: int = 10, metric: str = "betweenness") -> DataFrame:
-    """The k nodes of the highest measure (ties: the smaller id); ValueError for an unknown one."""
+    """The k nodes of the highest measure (to 12 places; ties: the smaller id); ValueError for an unknown one."""
     from graphloom.operators.traversal import closeness
 
     found = {**MEASURES, "closeness": closeness}.get(metric)
@@ -173,7 +173,12 @@ def high_centrality(graph: Topology, k: int = 10, metric: str = "betweenness") -
         raise ValueError(f"unknown metric: {metric}")
     got = found(graph)
     value = next(c for c in got.columns if c != "id")
-    return got.select("id", F.col(value).alias("value")).orderBy(F.desc("value"), "id").limit(k)
+    return got.select("id", F.col(value).alias("value")).orderBy(F.desc(F.round("value", 12)), "id").limit(k)
+
+
+def high_centrality_graph(graph: Topology, k: int = 10, metric: str = "betweenness") -> Topology:
+    """The subgraph of the k nodes of the highest measure."""
+    return graph.induced(high_centrality(graph, k, metric))
 
 
 def algebraic_connectivity(graph: Topology, limit: int = 3000, rounds: int = 300) -> float:

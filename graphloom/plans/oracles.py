@@ -129,6 +129,31 @@ routes AS (SELECT device AS source_router, k, net || '.0/' || mask AS network, [
   CASE WHEN c = 0 THEN '' ELSE '10.0.' || (supp % 250) || '.1' END AS next_hop, CASE WHEN c = 0 THEN '' ELSE 'Te1/' || k END AS next_hop_interface, CAST(CASE WHEN c = 0 THEN 0 ELSE part END AS INTEGER) AS metric, CASE WHEN c = 0 THEN 0 ELSE qty + 10 END AS admin_distance FROM m)"""
 
 
+def _settled(of: str, rounds: int) -> str:
+    """CTEs of rank rounds over unweighted arcs, one after another, and settled: the ranks once they move by less than nodes / 1e6."""
+    sql = ", pk AS (SELECT a, CAST(count(*) AS DOUBLE) AS k FROM arcs GROUP BY 1), pn AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM deg), p0 AS MATERIALIZED (SELECT id, 1 / n AS r, 1e9::DOUBLE AS moved FROM deg, pn)"
+    for i in range(1, rounds + 1):
+        sql += f", p{i} AS MATERIALIZED (SELECT x.id, 0.85::DOUBLE * coalesce(g, 0) + 0.15::DOUBLE / n AS r, abs(0.85::DOUBLE * coalesce(g, 0) + 0.15::DOUBLE / n - x.r) AS moved FROM p{i - 1} x CROSS JOIN pn LEFT JOIN (SELECT b, sum(r / k) AS g FROM p{i - 1} JOIN arcs ON id = arcs.a JOIN pk ON pk.a = arcs.a GROUP BY 1) ON b = x.id)"
+    every = " UNION ALL ".join(f"SELECT {i} AS round, id, r, moved FROM p{i}" for i in range(1, rounds + 1))
+    return sql + f", every_round AS ({every}), {of} AS (SELECT id, r FROM every_round WHERE round = (SELECT min(round) FROM (SELECT round FROM every_round, pn GROUP BY round, n HAVING sum(moved) < n / 1e6)))"
+
+
+def _rounds(rounds: int) -> str:
+    """CTEs of as many rank rounds over unweighted arcs."""
+    sql = ", pk AS (SELECT a, CAST(count(*) AS DOUBLE) AS k FROM arcs GROUP BY 1), pn AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM deg), p0 AS MATERIALIZED (SELECT id, 1 / n AS r FROM deg, pn)"
+    for i in range(1, rounds + 1):
+        sql += f", p{i} AS MATERIALIZED (SELECT x.id, 0.85::DOUBLE * coalesce(g, 0) + 0.15::DOUBLE / n AS r FROM deg x CROSS JOIN pn LEFT JOIN (SELECT b, sum(r / k) AS g FROM p{i - 1} JOIN arcs ON id = arcs.a JOIN pk ON pk.a = arcs.a GROUP BY 1) ON b = x.id)"
+    return sql
+
+
+CLOSE = """, close AS (SELECT id, CASE WHEN t > 0 THEN r / t * (r / CAST((SELECT count(*) - 1 FROM nodes) AS DOUBLE)) ELSE 0 END AS closeness FROM (SELECT source AS id, count(*) - 1 AS r, CAST(sum(hop) AS DOUBLE) AS t FROM hops GROUP BY 1))"""
+
+SAGE = "WITH {site}{h}, g AS (SELECT a AS id, {how}(x) AS gx, {how}(y) AS gy FROM arcs JOIN h ON h.id = b GROUP BY 1), d AS (SELECT h.id, x - coalesce(gx, 0) AS x, y - coalesce(gy, 0) AS y FROM h LEFT JOIN g ON g.id = h.id), p AS (SELECT id, 0.5::DOUBLE * x - 0.3::DOUBLE * y AS a, -0.25::DOUBLE * x + 0.2::DOUBLE * y AS b, 0.1::DOUBLE * x + 0.4::DOUBLE * y AS c FROM d), n AS (SELECT *, sqrt(a * a + b * b + c * c) AS l FROM p) SELECT id, round(CASE WHEN l > 0 THEN greatest(a / l, 0) ELSE 0 END, 6) AS h0, round(CASE WHEN l > 0 THEN greatest(b / l, 0) ELSE 0 END, 6) AS h1, round(CASE WHEN l > 0 THEN greatest(c / l, 0) ELSE 0 END, 6) AS h2 FROM n"
+
+RISK = "1 / (1 + exp(-(4 * ({terms})::DOUBLE - 2)))"
+LINK = RISK.format(terms="CASE WHEN error_rate > 0.01 THEN 0.3 ELSE 0 END + CASE WHEN error_rate > 0.05 THEN 0.3 ELSE 0 END + CASE WHEN utilization_in > 80 THEN 0.2 ELSE 0 END + CASE WHEN utilization_in > 95 THEN 0.2 ELSE 0 END")
+NODE = RISK.format(terms="CASE WHEN degree > 2 * (SELECT avg(degree) FROM deg) THEN 0.2 ELSE 0 END + CASE WHEN utilization > 70 THEN 0.3 ELSE 0 END + CASE WHEN b > 0.3 THEN 0.2 ELSE 0 END")
+
 SQL = {
     "degree_outliers": f"WITH {TRADE}, z AS (SELECT id, degree, (degree - (SELECT avg(degree) FROM deg)) / (SELECT stddev_pop(degree) FROM deg) AS z FROM deg) SELECT id, degree, round(z, 6) AS z, round(0.1::DOUBLE * abs(z), 6) AS score FROM z WHERE abs(z) > 2",
     "top_k_degree_subgraph": f"WITH {TRADE}, t AS (SELECT id, degree FROM deg ORDER BY degree DESC, id LIMIT 10) SELECT t.id, t.degree AS whole_degree, count(x.id) AS degree_inside FROM t LEFT JOIN arcs ON a = t.id LEFT JOIN t x ON x.id = b GROUP BY 1, 2",
@@ -228,4 +253,53 @@ UNION ALL SELECT 'interface', device, 'e' || k, CASE WHEN r THEN 'up' ELSE 'down
     "snmp_graph": f"WITH {LINES} SELECT device || '.example' AS src, 's' || supp AS dst, 'p' || part AS remote_port, 'lldp-mib' AS protocol FROM x QUALIFY row_number() OVER (PARTITION BY device, supp ORDER BY '0.' || k || '.1' DESC) = 1",
     "snmp_graph_nodes": f"WITH {LINES} SELECT device || '.example' AS id, 'network_device' AS type, count(*) * 100 AS uptime, count(*) AS interface_count FROM x GROUP BY 1 UNION ALL SELECT DISTINCT 's' || supp, 'network_device', -1, -1 FROM x",
     "node_link_round_trip": f"WITH {SITE} SELECT src, dst, type, protocol, speed_mbps, round(utilization_in, 6) AS utilization_in, round(error_rate, 6) AS error_rate FROM edges JOIN nodes ON id = dst",
+    "what_if": f"""WITH RECURSIVE {SITE}, st AS (SELECT unnest(range(0, 5)) AS s),
+ng AS (SELECT s, id FROM st, nodes WHERE NOT (s >= 1 AND id = 'n0') AND NOT (s >= 3 AND id = 'r2')),
+eg AS (SELECT st.s, src, dst FROM st, edges WHERE NOT (s >= 2 AND src = 'n1' AND dst = 'r1') AND NOT (s >= 1 AND 'n0' IN (src, dst)) AND NOT (s >= 3 AND 'r2' IN (src, dst))),
+ag AS (SELECT s, src AS a, dst AS b FROM eg UNION ALL SELECT s, dst, src FROM eg),
+reach(s, source, id) AS (SELECT s, id, id FROM ng UNION SELECT reach.s, source, b FROM reach JOIN ag ON ag.s = reach.s AND ag.a = reach.id),
+parts AS (SELECT s, count(DISTINCT comp) AS components FROM (SELECT s, source, min(id) AS comp FROM reach GROUP BY 1, 2) GROUP BY 1),
+cn AS (SELECT s, count(*) AS n FROM ng GROUP BY 1), ce AS (SELECT s, count(*) AS m FROM eg GROUP BY 1),
+alone AS (SELECT ng.s, count(*) FILTER (ag.a IS NULL) AS isolated FROM ng LEFT JOIN ag ON ag.s = ng.s AND ag.a = ng.id GROUP BY 1)
+SELECT parts.s AS step, x.n AS before_nodes, y.m AS before_edges, cn.n AS after_nodes, ce.m AS after_edges, components, isolated, components > 1 AS network_partitioned
+FROM parts JOIN cn USING (s) JOIN ce USING (s) JOIN alone USING (s) JOIN cn x ON x.s = parts.s - 1 JOIN ce y ON y.s = parts.s - 1""",
+    "redundancy_way_round": f"""WITH RECURSIVE {SITE}{WITHOUT},
+walk(v, s, id, hop) AS (SELECT a, b, b, 0 FROM arcs UNION SELECT v, s, b, hop + 1 FROM walk JOIN arcs ON id = a WHERE b <> v AND hop < 14),
+way AS (SELECT w.v, min(hop) AS way FROM walk w JOIN arcs k ON k.a = w.v AND k.b = w.id WHERE w.id <> w.s GROUP BY 1),
+x AS (SELECT d.id, degree, degree * (degree - 1) // 2 AS pairs, (SELECT count(*) FROM meets m WHERE m.v = d.id AND m.s < m.t) AS alt, (SELECT count(*) FROM meets m WHERE m.v = d.id) < degree * degree AS spof FROM deg d)
+SELECT id, CAST(coalesce(way, 0) AS BIGINT) AS min_path_length, CASE WHEN degree = 0 THEN 'Isolated node' ELSE CASE WHEN spof THEN 'SPOF' ELSE 'Redundant' END || ' — ' || alt || '/' || pairs || ' neighbor pairs connected without node' END AS details FROM x LEFT JOIN way ON v = id""",
+    "node_features_full": f"""WITH RECURSIVE {SITE}{BETWEEN}{CLOSE}{_rounds(20)}, t AS (SELECT x.a AS id, count(*) AS t FROM arcs x JOIN arcs y ON x.a = y.a AND x.b < y.b JOIN arcs z ON z.a = x.b AND z.b = y.b GROUP BY 1)
+SELECT n.id, CAST(degree AS DOUBLE) AS degree, round(b, 6) AS betweenness, round(closeness, 6) AS closeness, round(CASE WHEN degree > 1 THEN 2 * coalesce(t, 0) / CAST(degree * (degree - 1) AS DOUBLE) ELSE 0 END, 6) AS clustering, round(p20.r, 6) AS pagerank,
+CASE WHEN type = 'router' THEN 1.0::DOUBLE ELSE 0 END AS is_router, CASE WHEN cap = 'Bridge' THEN 1.0::DOUBLE ELSE 0 END AS is_switch, 0.0::DOUBLE AS interface_count, 0.0::DOUBLE AS error_rate, round(utilization, 6) AS utilization
+FROM nodes n JOIN deg ON deg.id = n.id JOIN bt ON bt.id = n.id JOIN close ON close.id = n.id JOIN p20 ON p20.id = n.id LEFT JOIN t ON t.id = n.id""",
+    "pagerank_settled": f"WITH {TRADE}{_settled('ranks', 80)} SELECT id, round(r, 8) AS pagerank FROM ranks",
+    "high_centrality_graphs": f"""WITH RECURSIVE {SITE}{BETWEEN}{CLOSE}{_settled('ranks', 80)},
+m AS (SELECT 'betweenness' AS metric, id, b AS v FROM bt UNION ALL SELECT 'closeness', id, closeness FROM close UNION ALL SELECT 'degree', id, CAST(degree AS DOUBLE) / 1e4 FROM deg UNION ALL SELECT 'pagerank', id, r FROM ranks),
+top AS (SELECT metric, id FROM m QUALIFY row_number() OVER (PARTITION BY metric ORDER BY round(v, 12) DESC, id) <= 10)
+SELECT top.metric, top.id, count(y.id) AS degree_inside FROM top LEFT JOIN arcs ON a = top.id LEFT JOIN top y ON y.id = b AND y.metric = top.metric GROUP BY 1, 2""",
+    "attribute_equals": f"WITH {SITE}, k AS (SELECT id, CASE WHEN type = 'router' THEN 'none' ELSE type END AS type FROM nodes) SELECT x.type, x.id, count(y.id) AS degree FROM k x LEFT JOIN arcs ON a = x.id LEFT JOIN k y ON y.id = b AND y.type = x.type GROUP BY 1, 2",
+    "isolates_of_bulk_orders": "SELECT 'c' || c_custkey AS id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_quantity >= 45 AND l_returnflag = 'R')",
+    "sage_sum": SAGE.format(site=SITE, h=H, how="sum"),
+    "sage_max": SAGE.format(site=SITE, h=H, how="max"),
+    "gat_forward": f"WITH {SITE}{H}, z AS (SELECT id, 0.5::DOUBLE * x - 0.3::DOUBLE * y AS p, -0.25::DOUBLE * x + 0.2::DOUBLE * y AS q, 0.1::DOUBLE * x + 0.4::DOUBLE * y AS r FROM h), t AS (SELECT id, 0.3::DOUBLE * p - 0.2::DOUBLE * q + 0.1::DOUBLE * r AS t, 0.1::DOUBLE * p + 0.25::DOUBLE * q - 0.3::DOUBLE * r AS o FROM z), k AS (SELECT a, b FROM arcs UNION SELECT id, id FROM nodes), s AS (SELECT a, b, exp(CASE WHEN x.t + y.o > 0 THEN x.t + y.o ELSE 0.2::DOUBLE * (x.t + y.o) END) AS e FROM k JOIN t x ON x.id = a JOIN t y ON y.id = b), w AS (SELECT a, b, e / sum(e) OVER (PARTITION BY a) AS alpha FROM s) SELECT a AS id, round(sum(alpha * p), 6) AS h0, round(sum(alpha * q), 6) AS h1, round(sum(alpha * r), 6) AS h2 FROM w JOIN z ON z.id = b GROUP BY 1",
+    "observation_history": f"WITH {SITE} SELECT 3 AS seq, 5.0::DOUBLE AS ts, 'node' AS entity_type, id AS u, '' AS v, 'util' AS metric, round(utilization, 6) AS value FROM nodes UNION ALL SELECT 3, 5.0, 'edge', src, dst, 'errors', round(error_rate, 6) FROM edges UNION ALL SELECT 3, 5.0, 'edge', src, dst, 'util_in', round(utilization_in, 6) FROM edges",
+    "prediction_lists": f"""WITH RECURSIVE {SITE}{BETWEEN}{SLA}, every AS (
+SELECT 'link' AS kind, src, dst, {LINK} AS p FROM edges
+UNION ALL SELECT 'node', n.id, '', {NODE} FROM nodes n JOIN deg ON deg.id = n.id JOIN bt ON bt.id = n.id
+UNION ALL SELECT 'sla', src, dst, p FROM sla WHERE p > 0.1
+UNION ALL SELECT 'capacity', src, dst, least(u / 100, 0.99) FROM (SELECT src, dst, utilization_in + 40 AS u, utilization_in / 50 AS t FROM edges) WHERE t > 0 AND u > 50 AND (100 - u) / (t * 12) < 168),
+x AS (SELECT kind, src, dst, round(p, 6) AS probability, {_level('p')} AS risk_level FROM every)
+SELECT *, CAST(row_number() OVER (PARTITION BY kind ORDER BY probability DESC, src, dst) AS INTEGER) AS place FROM x""",
+    "prediction_summary_of_all": f"""WITH RECURSIVE {SITE}{BETWEEN}{SLA}, a AS (SELECT {LINK} AS p FROM edges UNION ALL SELECT {NODE} FROM nodes n JOIN deg ON deg.id = n.id JOIN bt ON bt.id = n.id UNION ALL SELECT p FROM sla WHERE p > 0.1),
+c AS (SELECT count(*) AS total, count(*) FILTER ({_level('p')} = 'critical') AS critical, count(*) FILTER ({_level('p')} = 'high') AS high FROM a)
+SELECT *, CASE WHEN critical > 0 THEN 'critical' WHEN high > 0 THEN 'degraded' ELSE 'healthy' END AS health FROM c""",
+    "snapshot_attributes": f"WITH {DAILY}, pw AS (SELECT *, CASE WHEN n % 3 > 0 THEN n % 2 END AS w FROM pe), ch AS (SELECT coalesce(b.place, a.place + 1) AS place, CASE WHEN a.src IS NULL THEN 'added' WHEN b.src IS NULL THEN 'removed' WHEN a.n <> b.n OR a.w IS DISTINCT FROM b.w THEN 'modified' END AS kind FROM pw a FULL JOIN pw b ON a.src = b.src AND a.dst = b.dst AND b.place = a.place + 1) SELECT seq, kind, count(*) AS edges FROM ch JOIN seqs USING (place) WHERE kind IS NOT NULL AND place > 1 GROUP BY 1, 2",
+    "time_range": "WITH e AS (SELECT event_type, floor(epoch(ts)) AS t FROM events), k AS (SELECT min(t) AS lo, floor((max(t) - min(t)) / 3) AS third FROM e) SELECT event_type, count(*) AS events FROM e, k WHERE t BETWEEN lo + third AND lo + 2 * third GROUP BY 1",
+    "d3_scores": f"WITH {SITE}, ix AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS i FROM nodes), z AS (SELECT id, (degree - (SELECT avg(degree) FROM deg)) / (SELECT stddev_pop(degree) FROM deg) AS z FROM deg) SELECT 'node' AS kind, i AS place, CASE WHEN abs(z) > 2 THEN round(0.1::DOUBLE * abs(z), 6) ELSE -1 END AS score FROM ix JOIN z ON z.id = ix.id UNION ALL SELECT 'link', x.i * 1000000 + y.i, CASE WHEN protocol = 'bgp' THEN round(utilization_in / 100, 6) ELSE -1 END FROM edges JOIN ix x ON x.id = src JOIN ix y ON y.id = dst",
+    "demo_topology": "SELECT * FROM (VALUES ('core-1', 7::BIGINT), ('core-2', 6), ('dist-1', 4), ('dist-2', 4), ('dist-3', 4), ('dist-4', 4), ('access-1', 1), ('access-2', 1), ('access-3', 1), ('access-4', 1), ('access-5', 1), ('access-6', 1), ('access-7', 1), ('access-8', 1), ('wan-1', 2), ('wan-2', 2), ('fw-1', 1)) AS t(id, degree)",
 }
+
+SQL["critical_links"] = f"""WITH b AS ({SQL['edge_betweenness'].replace('round(sum(v) / ((SELECT count(*) FROM nodes) * ((SELECT count(*) FROM nodes) - 1)), 6)', 'sum(v) / ((SELECT count(*) FROM nodes) * ((SELECT count(*) FROM nodes) - 1))')}),
+k AS (SELECT * FROM b ORDER BY round(betweenness, 12) DESC, src, dst LIMIT 10), x AS ({SQL['blast_edges']})
+SELECT k.src, k.dst, round(betweenness, 6) AS betweenness, is_bridge, indirect, severity FROM k JOIN x ON x.src = k.src AND x.dst = k.dst"""
+SQL["impact_lists"] = f"SELECT 'severe' AS list, id FROM ({SQL['blast_radius']}) WHERE severity IN ('critical', 'high') UNION ALL SELECT 'single', id FROM ({SQL['articulation_points']})"

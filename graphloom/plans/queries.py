@@ -7,6 +7,7 @@ from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from graphloom.frame import Topology, last_write_wins
@@ -185,7 +186,8 @@ def edge_betweenness(spark, d):
 
 @query
 def critical_links(spark, d):
-    return impact.critical_links(I.site(spark, d), 10)
+    x = impact.critical_links(I.site(spark, d), 10)
+    return x.select("src", "dst", r("betweenness").alias("betweenness"), "is_bridge", "indirect", "severity")
 
 
 @query
@@ -224,7 +226,8 @@ def node_features(spark, d):
 
 @query
 def node_features_full(spark, d):
-    return features.node_features(I.site(spark, d), pagerank_rounds=20)
+    x = features.node_features(I.site(spark, d), pagerank_rounds=20)
+    return x.select("id", *[r(c).alias(c) for c in features.NODE_FEATURES])
 
 
 @query
@@ -291,6 +294,64 @@ def structural_anomalies(spark, d):
     return detect.above(got, 95.0).select("id", r("score").alias("score"), r("threshold").alias("threshold"))
 
 
+@query
+def high_centrality_graphs(spark, d):
+    """The subgraphs of the ten highest nodes by each measure."""
+    out = None
+    for metric in ("betweenness", "closeness", "degree", "pagerank"):
+        g = centrality.high_centrality_graph(I.site(spark, d), 10, metric)
+        one = g.degree().select(F.lit(metric).alias("metric"), "id", F.col("degree").alias("degree_inside"))
+        out = one if out is None else out.union(one)
+    return out
+
+
+@query
+def attribute_equals(spark, d):
+    """Subgraphs of nodes by type, and of those whose type is not known."""
+    g = I.site(spark, d)
+    g = Topology(g.nodes.withColumn("type", F.nullif("type", F.lit("router"))), g.edges.select("src", "dst"))
+    parts = [g.by_attribute("type", t).degree().select(F.lit(t or "none").alias("type"), "id", "degree") for t in ("switch", "server", None, "absent")]
+    out = parts[0]
+    for x in parts[1:]:
+        out = out.union(x)
+    return out
+
+
+@query
+def isolates_of_bulk_orders(spark, d):
+    """Customers without a returned line of a large quantity."""
+    o, l = I.table(spark, d, "orders"), I.table(spark, d, "lineitem").where("l_quantity >= 45 and l_returnflag = 'R'")
+    key = lambda p, k: F.concat(F.lit(p), F.col(k).cast("string"))
+    pairs = l.join(o, F.col("l_orderkey") == F.col("o_orderkey")).select(key("c", "o_custkey").alias("src"), key("s", "l_suppkey").alias("dst")).distinct()
+    return Topology(I.table(spark, d, "customer").select(key("c", "c_custkey").alias("id")), pairs).isolates()
+
+
+@query
+def impact_lists(spark, d):
+    """Severely hit nodes and single points of failure of the whole report."""
+    s = impact.report(I.site(spark, d), 5)["summary"]
+    one = s.select(F.lit("severe").alias("list"), F.explode("critical_nodes").alias("id"))
+    return one.union(s.select(F.lit("single"), F.explode("single_points_of_failure")))
+
+
+@query
+def sage_sum(spark, d):
+    g = I.site(spark, d)
+    return _three(passing.sage(_h(g), g.arcs(), np.vstack([W2, -W2]), np.zeros(3), "sum"))
+
+
+@query
+def sage_max(spark, d):
+    g = I.site(spark, d)
+    return _three(passing.sage(_h(g), g.arcs(), np.vstack([W2, -W2]), np.zeros(3), "max"))
+
+
+@query
+def gat_forward(spark, d):
+    g = I.site(spark, d)
+    return _three(passing.gat(_h(g), g.arcs(), W2, TO, OF))
+
+
 # -- interfaces and predictions -----------------------------------------------------------------------------------
 
 
@@ -370,6 +431,33 @@ def prediction_summary(spark, d):
     return predict.summary(predict.link_failures(g.edges), predict.sla_violations(g))
 
 
+@query
+def observation_history(spark, d):
+    h = predict.history(I.site(spark, d), 3, 5.0)
+    return h.select("seq", "ts", "entity_type", "u", F.coalesce("v", F.lit("")).alias("v"), "metric", r("value").alias("value"))
+
+
+@query
+def prediction_lists(spark, d):
+    """All four lists in their order of report, with places."""
+    g = I.site(spark, d)
+    t = g.edges.select("src", "dst", (F.col("utilization_in") / 50).alias("trend"))
+    parts = {"link": predict.link_failures(g.edges), "node": predict.node_overloads(g).withColumnsRenamed({"id": "src"}).withColumn("dst", F.lit("")), "capacity": predict.capacity(g.edges.withColumn("utilization_in", F.col("utilization_in") + 40), t, t), "sla": predict.sla_violations(g)}
+    out = None
+    for kind, x in parts.items():
+        one = x.select(F.lit(kind).alias("kind"), "src", "dst", r("probability").alias("probability"), "risk_level")
+        out = one if out is None else out.union(one)
+    place = F.row_number().over(W.partitionBy("kind").orderBy(F.desc("probability"), "src", "dst"))
+    return out.withColumn("place", place)
+
+
+@query
+def prediction_summary_of_all(spark, d):
+    g = I.site(spark, d)
+    none = g.edges.select("src", "dst", F.lit(0.0).alias("trend"))
+    return predict.summary(predict.link_failures(g.edges), predict.node_overloads(g), predict.capacity(g.edges, none, none), predict.sla_violations(g))
+
+
 # -- time ---------------------------------------------------------------------------------------------------------
 
 
@@ -420,6 +508,22 @@ def snapshot_window(spark, d):
     return temporal.last(edges, 5, seqs).groupBy("seq").agg(F.count("*").alias("edges"))
 
 
+@query
+def snapshot_attributes(spark, d):
+    """Changes of two attributes of links, one of which may be missing."""
+    seqs, _, edges = I.daily(spark, d)
+    edges = edges.withColumn("w", F.when(F.col("n") % 3 > 0, F.col("n") % 2))
+    return temporal.changes(edges, ["src", "dst"], seqs, ["n", "w"]).groupBy("seq", "kind").agg(F.count("*").alias("edges"))
+
+
+@query
+def time_range(spark, d):
+    e = I.table(spark, d, "events").select("event_type", F.unix_timestamp("ts").cast("double").alias("ts"))
+    ends = e.agg(F.min("ts").alias("lo"), F.max("ts").alias("hi")).head()
+    third = (ends["hi"] - ends["lo"]) // 3
+    return temporal.between(e, ends["lo"] + third, ends["lo"] + 2 * third).groupBy("event_type").agg(F.count("*").alias("events"))
+
+
 # -- texts --------------------------------------------------------------------------------------------------------
 
 
@@ -539,6 +643,17 @@ def d3_links(spark, d):
     return exports.d3_links(I.site(spark, d)).select(F.col("source").cast("bigint").alias("source"), F.col("target").cast("bigint").alias("target"), "protocol", "speed_mbps")
 
 
+@query
+def d3_scores(spark, d):
+    """Exports with scores of nodes and links."""
+    g = I.site(spark, d)
+    scores = detect.degree_scores(g.degree()).where("score > 0")
+    n = exports.d3_nodes(g, scores).select(F.lit("node").alias("kind"), F.col("index").alias("place"), F.coalesce(r("anomaly_score"), F.lit(-1.0)).alias("score"))
+    links = g.edges.where("protocol = 'bgp'").select("src", "dst", (F.col("utilization_in") / 100).alias("score"))
+    e = exports.d3_links(g, links).select(F.lit("link"), F.col("source") * 1000000 + F.col("target"), F.coalesce(r("anomaly_score"), F.lit(-1.0)))
+    return n.union(e)
+
+
 @query
 def mermaid_lines(spark, d):
     return exports.mermaid_lines(I.site(spark, d)).select("part", F.col("place").cast("bigint").alias("place"), "line")
