@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -12,18 +12,22 @@ from graphloom.session import materialise
 FEW = 20_000
 
 
-def numbered(rows: DataFrame, order: list[str], name: str, first: int = 0) -> DataFrame:
-    """rows with their place in the order, from `first` on.
+def running(rows: DataFrame, order: list[str], value: Column, name: str) -> DataFrame:
+    """rows with the sum of a whole number over all rows before them in the order.
 
-    Rows are dealt by ranges of the order and written; each range is numbered by itself, from the sizes of those before.
+    Rows are dealt by ranges of the order and written; each range is summed up by itself, from the sums of those before.
     """
-    spark = rows.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = materialise(rows.repartitionByRange(n, *order).withColumn("_range", F.spark_partition_id()), "ranges")
-    sizes = dealt.groupBy("_range").agg(F.count("*").alias("_size"))  # a row a range
-    before = sizes.select("_range", (F.sum("_size").over(W.orderBy("_range")) - F.col("_size")).alias("_before"))
-    place = F.row_number().over(W.partitionBy("_range").orderBy(*order)) - 1 + first
-    return dealt.join(F.broadcast(before), "_range").withColumn(name, (place + F.col("_before")).cast("bigint")).drop("_range", "_before")
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = materialise(rows.withColumn("_value", value.cast("bigint")).repartitionByRange(n, *order).withColumn("_range", F.spark_partition_id()), "ranges")
+    sums = dealt.groupBy("_range").agg(F.sum("_value").alias("_sum"))  # a row a range
+    before = sums.select("_range", (F.sum("_sum").over(W.orderBy("_range")) - F.col("_sum")).alias("_before"))
+    inside = F.sum("_value").over(W.partitionBy("_range").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)) - F.col("_value")
+    return dealt.join(F.broadcast(before), "_range").withColumn(name, inside + F.col("_before")).drop("_range", "_before", "_value")
+
+
+def numbered(rows: DataFrame, order: list[str], name: str) -> DataFrame:
+    """rows with their place in the order, from 0 on."""
+    return running(rows, order, F.lit(1), name)
 
 
 def percentile(rows: DataFrame, column: str, share: float) -> float | None:

@@ -88,3 +88,22 @@ def test_streams_of_scores_trends_and_errors(spark, tmp_path):
     spark.createDataFrame(events, "ts string, event_type string, value double").selectExpr("cast(ts as timestamp) ts", "event_type", "value").write.parquet(str(tmp_path / "ev"))
     e = run(state.windowed_errors(spark.readStream.schema("ts timestamp, event_type string, value double").parquet(str(tmp_path / "ev"))), "e", "complete")
     assert sorted((r["n"], r["errors"]) for r in e.collect()) == [(h + 1, h) for h in range(5)]
+
+
+def test_cuts_of_large_components_equal_those_of_small_ones(spark, monkeypatch):
+    """The joins that serve beyond LIMIT against the pass in one task, over random graphs side by side."""
+    from graphloom.operators import cuts
+
+    rng, edges = random.Random(9), set()
+    for k, (n, m) in enumerate([(6, 6), (9, 9), (12, 16), (14, 14), (10, 25), (13, 13)]):
+        names = [f"g{k}n{i:02}" for i in range(n)]
+        for i in range(1, n):
+            edges.add(tuple(sorted((names[i], names[rng.randrange(max(0, i - 3), i)]))))
+        while sum(e[0].startswith(f"g{k}") for e in edges) < m:
+            edges.add(tuple(sorted(rng.sample(names, 2))))
+    nodes = sorted({x for e in edges for x in e} | {"alone"})
+    g = Topology(spark.createDataFrame([(x,) for x in nodes], "id string"), spark.createDataFrame(sorted(edges), "src string, dst string"))
+    key = lambda df: sorted((r["kind"], r["id"], r["other"] or "", r["component"], r["size"], tuple(sorted(r["pieces"]))) for r in df.collect())
+    small = key(cuts.cuts(g))
+    monkeypatch.setattr(cuts, "LIMIT", 0)
+    assert key(cuts.cuts(g)) == small and any(k == "bridge" for k, *_ in small) and any(len(p) > 2 for *_, p in small)
