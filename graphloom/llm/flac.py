@@ -556,8 +556,31 @@ def _decode_lanes(bits: _Bits, data: np.ndarray, base: np.ndarray, lanes: list[t
 def read_from(stream: bytes, sample: int) -> tuple[int, int]:
     """The seek point at or before a sample: its first sample and its byte offset in the stream."""
     info, at = _info(stream)
-    best = max((p for p in info["seek"] if p[0] <= sample and p[0] != (1 << 64) - 1), default=(0, 0, 0))
-    return best[0], at + best[1]
+    first, offset = _seek(info["seek"], sample)
+    return first, at + offset
+
+
+def _seek(points: list[tuple[int, int, int]], sample: int) -> tuple[int, int]:
+    """First sample and offset after the metadata of the seek point at or before a sample; the start without one."""
+    best = max((p for p in points if p[0] <= sample and p[0] != (1 << 64) - 1), default=(0, 0, 0))
+    return best[0], best[1]
+
+
+def blocks(s: Stream) -> list[tuple[int, int, int, bytes]]:
+    """The PCM blocks of a stream, a frame each: number, first sample, byte offset after the metadata, signed bytes.
+
+    Blocks follow one another without a gap, and every seek point is the start of one; else FlacError.
+    """
+    pcm = (s.samples & 0xFF).astype(np.uint8)
+    out = [(k, first, at, pcm[first : first + n].tobytes()) for k, (first, at, n) in enumerate(s.frames)]
+    starts, due = {first: at for first, at, _ in s.frames}, 0
+    for first, _, n in s.frames:
+        if first != due:
+            raise FlacError("blocks do not follow one another")
+        due += n
+    if due != len(pcm) or any(starts.get(p[0]) != p[1] for p in s.seek if p[0] != (1 << 64) - 1):
+        raise FlacError("a seek point is no start of a block")
+    return out
 
 
 # -- Spark --------------------------------------------------------------------------------------------------------
@@ -568,6 +591,11 @@ def payload(text: str | None) -> tuple[int, bytes]:
     return len(raw), raw + b"\0" * (max(-len(raw) % 64, 0) if raw else 64)
 
 
+def _payload(samples: np.ndarray) -> bytes:
+    """Signed samples as the unsigned bytes that were stored."""
+    return (samples.view(np.uint8) ^ 0x80).tobytes()
+
+
 def features(samples: np.ndarray) -> str:
     """Integer features of the PCM samples: length, level, energy, peaks and sign changes."""
     x = samples.astype(np.int64)
@@ -599,7 +627,7 @@ def pcm_blocks(df: DataFrame, id_col: str = "doc_id", media_col: str = "media")
     def run(batches):
         for b in A.slices(batches, "media", SLICE_BYTES):
             rows = [(i, m) for i, m in zip(b.column("doc_id").to_pylist(), b.column("media").to_pylist()) if m is not None]
-            out = [(i, k, first, at, (s.samples[first : first + n] & 0xFF).astype(np.uint8).tobytes()) for (i, _), s in zip(rows, decode_streams([m for _, m in rows])) for k, (first, at, n) in enumerate(s.frames)]
+            out = [(i, *block) for (i, _), s in zip(rows, decode_streams([m for _, m in rows])) for block in blocks(s)]
             cols = list(zip(*out)) or [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))], ["doc_id", "block", "first_sample", "byte_offset", "pcm"])
 
@@ -607,8 +635,9 @@ def pcm_blocks(df: DataFrame, id_col: str = "doc_id", media_col: str = "media")
 
 
 def read_back(df: DataFrame, id_col: str = "doc_id", size_col: str = "n_bytes", media_col: str = "media") -> DataFrame:
-    """Decodes stored streams and derives digests and features from what was read.
+    """Decodes stored streams into PCM blocks and derives digests and features from those.
 
+    The payload is the blocks joined in order; its tail is read from the block at the seek point before it.
     Null texts were stored as 64 zero bytes, so every row has a stream; repeated rows give equal rows; an empty table
     gives an empty result; a stream whose checksums differ stops the job.
     """
@@ -618,8 +647,12 @@ def read_back(df: DataFrame, id_col: str = "doc_id", size_col: str = "n_bytes",
             media = b.column("media").to_pylist()
             out = []
             for m, s in zip(media, decode_streams(media)):
-                back = (s.samples + 128).astype(np.uint8).tobytes()
-                out.append((len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(m), hashlib.sha256(m).hexdigest(), features(s.samples)))
+                found = blocks(s)
+                samples = np.frombuffer(b"".join(pcm for *_, pcm in found), np.int8)
+                back = _payload(samples)
+                first, _ = _seek(s.seek, len(samples) - 64)
+                tail = _payload(np.frombuffer(b"".join(pcm for _, at, _, pcm in found if at >= first), np.int8))[-64:]
+                out.append((len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(tail), len(m), hashlib.sha256(m).hexdigest(), features(samples)))
             cols = list(zip(*out)) or [()] * 6
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n_bytes"), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())))], ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
 

@@ -91,6 +91,11 @@ def test_flac_round_trip_and_damage():
         bad[at] ^= 8
         with pytest.raises(flac.FlacError):
             flac.decode_streams([bytes(bad)])
+    long = flac.decode_streams(flac.encode_streams([bytes(rng.randint(0, 256, 40_000, dtype=np.uint8))]))[0]
+    assert len(flac.blocks(long)) > 2 and any(p[0] > 0 for p in long.seek if p[0] != (1 << 64) - 1)
+    long.seek[-1] = (long.seek[-1][0], long.seek[-1][1] + 1, 0)
+    with pytest.raises(flac.FlacError):
+        flac.blocks(long)
     first, at = flac.read_from(streams[5], 2000)
     assert first == 0 and streams[5][at : at + 2] == b"\xff\xf8"
 
@@ -133,6 +138,8 @@ def test_flac_tables(spark):
         assert r["payload_bytes"] % 64 == 0 and r["payload_bytes"] >= max(64, r["n_bytes"])
     want = {r["doc_id"]: hashlib.sha256(flac.payload(r["text"])[1]).hexdigest() for r in documents(spark).collect()}
     assert all(r["payload_sha256"] == want[r["doc_id"]] for r in rows if r["doc_id"])
+    tails = {r["doc_id"]: zlib.crc32(flac.payload(r["text"])[1][-64:]) for r in documents(spark).collect()}
+    assert all(r["tail_crc32"] == tails[r["doc_id"]] for r in rows if r["doc_id"])
     blocks = flac.pcm_blocks(stored.where("doc_id = 6")).orderBy("block").collect()
     assert [b["first_sample"] for b in blocks] == [i * flac.BLOCK for i in range(len(blocks))]
     assert flac.read_back(flac.store(empty(spark))).count() == 0
