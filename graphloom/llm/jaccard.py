@@ -311,7 +311,7 @@ def components(df: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", te
     class_id is the smallest id with the same shingle set, component_id the smallest id reachable by links. A null or
     empty text, or one of white space, has no shingle and is linked with nothing. Rows of a null id keep it, take no part
     and have a null class_id and component_id. Repeated rows give equal rows; other columns are ignored; an empty table
-    gives an empty result.
+    gives an empty result. A very long text is one set, held as a whole in the task of its part and of its pairs.
     """
     spark = df.sparkSession
     n_parts = partitions(spark)
@@ -406,11 +406,12 @@ def _class_texts(packed: DataFrame, wanted: DataFrame) -> DataFrame:
 def representatives(df: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of df, with all their columns, that stand for their component: those of its smallest id.
 
-    Rows of a null id, and those without a shingle, stay. Of repeated rows (one id, one text) one stays.
+    Rows of a null id, and those without a shingle, stay. Of repeated rows (one id, one text) one stays. Columns may have
+    any names; an empty table gives an empty result.
     """
     found = components(df, percent, id_col, text_col)
-    chosen = found.where("doc_id = component_id").select(F.col("doc_id").alias("_kept_id")).distinct()
-    rows = df.join(chosen, df[id_col] == chosen["_kept_id"]).drop("_kept_id").unionByName(df.where(F.col(id_col).isNull()))
+    chosen = found.where("doc_id = component_id").select(F.col("doc_id").alias(id_col)).distinct()
+    rows = df.join(chosen, id_col, "left_semi").unionByName(df.where(F.col(id_col).isNull()))
     if not df.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").isEmpty():
         rows = rows.where(F.col(id_col).isNotNull()).dropDuplicates([id_col, text_col]).unionByName(rows.where(F.col(id_col).isNull()))
     return rows

@@ -2,9 +2,9 @@
 
 Each document's words hash to random sign vectors; their mean is projected to a few dimensions and quantised, and the
 Hilbert key of that cell places near documents near each other on a curve. Documents are dealt into ranges of the
-curve (bounds from a quantile sketch; equal keys are told apart by a hash of the document, so a group of copies spreads
-over as many ranges as its size needs), sorted within each, and cut into sequences of a fixed length one after another.
-Only the last sequence of a range can need padding.
+curve (bounds from a quantile sketch, about RANGE_BYTES of text each; equal keys are told apart by a hash of the document, so
+a group of copies spreads over as many ranges as its size needs). Each range is a partition of its own, sorted, and cut into
+sequences of a fixed length one after another. Only the last sequence of a range can need padding.
 """
 
 from __future__ import annotations
@@ -24,6 +24,8 @@ DIMS, BITS = 4, 8
 BUCKETS = 1 << 12
 SLICE_BYTES = 2_000_000
 RANGE_SHIFT = 32
+RANGE_BYTES = 16_000_000
+MOST_RANGES = 2048  # quantiles that the sketch is asked for; beyond, ranges get longer and are still cut as they stream by
 OUT = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -111,19 +113,22 @@ def pack(df: DataFrame, tokenizer: str, length: int = 2048, end_id: int = 1, id_
 
     Every id of every document lies in exactly one piece; offsets in a sequence run from 0 without a gap. A null or
     empty text is the end id alone. Repeated rows are packed each; a null id stays null. Other columns are ignored.
-    An empty table gives an empty result. ranges: parts of the curve, by default as many as shuffle partitions.
+    An empty table gives an empty result. A very long text is tokenised as a whole and goes on over many sequences.
+    ranges: parts of the curve, by default as many as the texts need and as shuffle partitions at least.
     """
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    n = ranges or partitions(df.sparkSession)
 
     def keys(batches):
         for b in A.slices(batches, "text", SLICE_BYTES):
-            yield pa.RecordBatch.from_arrays([pa.array(curve_keys(b.column("text"), b.column("doc_id")))], ["key"])
+            size = np.diff(A.utf8(b.column("text"))[1])
+            yield pa.RecordBatch.from_arrays([pa.array(curve_keys(b.column("text"), b.column("doc_id"))), pa.array(size)], ["key", "bytes"])
 
-    # A sketch of fixed size; the bounds go to the driver, as many as there are ranges.
-    quantiles = [(i + 1) / n for i in range(n - 1)]
-    bounds = docs.mapInArrow(keys, "key long").agg(F.percentile_approx("key", F.array(*[F.lit(q) for q in quantiles]), 20 * n)).head()[0] if n > 1 else []
-    bounds = np.array(bounds or [], np.int64)
+    # A sketch of fixed size; its quantiles, of which every so many bounds a range, go to the driver.
+    most = max(MOST_RANGES, ranges or 0)
+    quantiles = ", ".join(f"{i / most}D" for i in range(1, most))
+    found, total = docs.mapInArrow(keys, "key long, bytes long").agg(F.expr(f"percentile_approx(key, array({quantiles}), {10 * most})"), F.coalesce(F.sum("bytes"), F.lit(0))).head()
+    n = ranges or min(max(partitions(df.sparkSession), -(-total // RANGE_BYTES)), most)
+    bounds = np.array([found[i * most // n - 1] for i in range(1, n)] if found else [], np.int64)
 
     def tokens(batches):
         encoder = Encoder.of(tokenizer)
@@ -147,5 +152,5 @@ def pack(df: DataFrame, tokenizer: str, length: int = 2048, end_id: int = 1, id_
             cols = list(zip(*rows)) or [()] * 7
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
-    dealt = docs.mapInArrow(tokens, "doc_id long, key long, part long, ids binary").repartition(n, "part").sortWithinPartitions("part", "key", "doc_id")
+    dealt = docs.mapInArrow(tokens, "doc_id long, key long, part long, ids binary").repartitionById(n, F.col("part").cast("int")).sortWithinPartitions("part", "key", "doc_id")
     return dealt.mapInArrow(cut, OUT)

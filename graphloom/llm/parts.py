@@ -17,6 +17,7 @@ from graphloom.llm import arrays as A
 from graphloom.llm.sparkio import partitions
 
 PART_BYTES = 8_000_000
+LEAST_BYTES = 1_000_000  # smaller parts would send more messages than they are worth
 CHUNK_BYTES = 4_000_000
 PACKED = "part int, n_raw long, blob binary"
 
@@ -38,9 +39,9 @@ def expand(n_raw: int, blob) -> list[np.ndarray]:
 
 
 def count_parts(df: DataFrame, text_col: str = "text") -> int:
-    """How many parts the texts need."""
+    """How many parts the texts need: as many as shuffle partitions if that leaves each LEAST_BYTES, more for parts above PART_BYTES."""
     total = df.agg(F.sum(F.octet_length(text_col).cast("long"))).head()[0] or 0
-    return max(partitions(df.sparkSession), -(-total // PART_BYTES))
+    return max(1, min(partitions(df.sparkSession), -(-total // LEAST_BYTES)), -(-total // PART_BYTES))
 
 
 def part_of(ids: np.ndarray, n: int) -> np.ndarray:

@@ -215,7 +215,7 @@ def score(df: DataFrame, model: Model, threshold: float = 0.7, id_col: str = "do
     """doc_id, score and predicted (1 at threshold or above) of every whole text.
 
     A null or empty text has no sentence and scores 0. Repeated rows give equal rows; a null id stays null; other
-    columns are ignored; an empty table gives an empty result.
+    columns are ignored; an empty table gives an empty result. A very long text is scored as a whole, by itself.
     """
 
     def run(batches):

@@ -103,7 +103,7 @@ def judge(pages: DataFrame, rules: DataFrame, given: list[tuple[str, str, str]],
     given: (verdict, host, path) rules; one fits its host and all subdomains where the path starts with its path, and
     the longest decides. Elsewhere a mined rule blocks and the rest is allowed. A null URL or one without :// has an
     empty host and path, no tokens, and is allowed. Repeated rows give equal rows; null ids stay; an empty table gives
-    an empty result; other columns are ignored.
+    an empty result; other columns are ignored. A very long URL has as many tokens as it has parts.
     """
     url = F.col(url_col).cast("string")
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), url.alias("url"))

@@ -102,6 +102,13 @@ def test_jaccard_of_families(spark, monkeypatch, seeds):
     assert {r["doc_id"]: r["component_id"] for r in got} == want
 
 
+def test_representatives_keep_all_columns(spark):
+    texts = {1: "a b c d e f", 2: "a b c d e f", 3: "", 4: "g h i j k l m", None: "a b c d e f"}
+    df = spark.createDataFrame([(i, t, "x", 7) for i, t in texts.items()], "doc_id long, text string, _kept_id string, component_id int")
+    got = jaccard.representatives(df).collect()
+    assert sorted((r["doc_id"] or 0, r["_kept_id"], r["component_id"]) for r in got) == [(0, "x", 7), (1, "x", 7), (3, "x", 7), (4, "x", 7)]
+
+
 def test_jaccard_empty(spark):
     assert jaccard.components(empty(spark)).count() == 0
 
