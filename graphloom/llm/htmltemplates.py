@@ -7,10 +7,14 @@ most pages are the template, of them the tokens whose start and end are both in
 elements they stand in, pairs nest). Texts on most pages at one place are the template's own, wherever and however long.
 Copies of a page tell nothing about a template: a token must be on several different pages.
 
-Extraction drops the template's texts from every page (not short ones amid varying texts of an article) and, on pages without an article or main element, the slots of
-template elements whose text over the host is mostly links. Which of the other slots are the article is not in the
-template: elements, roles and names that mean chrome, and article and main, decide that (fixed lists). Where a host has too few
-pages, the template of all pages together serves.
+The template's elements nest into a tree, and the text that the host's pages hold below each of them, less links, tells where
+its main slot is: from the root on, the child that holds half of the text or more, until the text is spread over several
+children, a heading stands among them, or an article or main element is reached.
+
+Extraction takes the main slot, or, where the template has none, article and main elements, and drops the template's texts
+from it (not short ones amid varying texts) and what elements, roles and names mark as chrome in it. Pages with neither
+lose the slots of template elements whose text over the host is mostly links, and chrome by marks (fixed lists). Where a
+host has too few pages, the template of all pages together serves.
 """
 
 from __future__ import annotations
@@ -35,6 +39,8 @@ LINKS = 1 << 61  # flips a bit of an element's token: a slot of links
 SENTENCE = 5  # words
 LONG_PATH = 2000  # characters
 NEUTRAL, START, END, TEXT = 0, 1, 2, 3
+HEADING_MARK, MAIN_MARK = 1, 2
+DOMINANT = 0.5  # of an element's text is in the child that the main slot is looked for in
 
 # What elements and names mean.
 RAW = {"script", "style", "noscript", "template", "iframe", "textarea", "title", "svg", "math", "object", "select", "xmp", "noembed", "noframes"}
@@ -49,6 +55,7 @@ CHROME_NAMES = {"ad", "ads", "advert", "adverts", "advertisement", "advertising"
 IN_ARTICLE = {"header", "discussion", "legal", "related", "recommended", "notice", "notices", "alert", "banner", "navigation", "search", "menu", "aside", "copyright", "respond", "reply", "replies", "login", "signup", "consent", "promotion", "overlay", "widget", "cookie", "cookies", "gdpr"}
 WRAPPERS = {"form", "fieldset"}  # chrome that may also hold a whole page
 MAIN = {"article", "main"}
+HEADINGS = {"h1", "h2", "h3"}
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
 _CUT = re.compile(r"<[a-zA-Z/!?][^>]*\Z")
@@ -158,26 +165,35 @@ class Page:
         tail = _CUT.sub("", html[pos:])
         if tail:
             text(tail)
-        self._judge()
+        self.judge()
 
-    def _judge(self) -> None:
-        """Which elements are chrome. A name does not mark what holds most of the articles' text, or most text of a page without one."""
+    def judge(self, slot: int | None = None) -> None:
+        """Which elements are main and which are chrome. slot: the token of the host's main slot, if it has one.
+
+        Without a slot, or on a page that lacks it, article and main elements are main. A name does not mark what holds
+        most of the main text, or most text of a page without any, as chrome.
+        """
         n, parent = len(self.parent), self.parent
         self.main, self.chrome = [False] * n, [False] * n
+        self.roots = [i for i in range(1, n) if _hash(self.keys[i]) == slot] if slot is not None else []
+        self.roots = self.roots or [i for i in range(1, n) if self.names[i] in MAIN]
+        for i in self.roots:
+            self.main[i] = True
         for i in range(1, n):
-            self.main[i] = self.main[parent[i]] or self.names[i] in MAIN
+            self.main[i] = self.main[i] or self.main[parent[i]]
         length, linked = self.length[:], self.linked[:]
         article = [x * m for x, m in zip(length, self.main)]
         for i in range(n - 1, 0, -1):
             length[parent[i]] += length[i]
             linked[parent[i]] += linked[i]
             article[parent[i]] += article[i]
+        self.below = [a - b for a, b in zip(length, linked)]  # text in and below each element, less that of links
         for i in range(1, n):
             name, (classes, ids, role, hidden), within = self.names[i], self.marks[i], self.main[parent[i]]
             if self.chrome[parent[i]] or hidden:
                 self.chrome[i] = True
                 continue
-            if within and name not in MAIN:
+            if within and i not in self.roots and name not in MAIN:
                 holds, links = False, 2 * linked[i] > length[i]
                 named = bool(classes - IN_ARTICLE) or links and bool(classes or ids)
             else:
@@ -187,8 +203,8 @@ class Page:
             self.chrome[i] = named and not holds or tag and not (holds and name in WRAPPERS)
 
     def blocks(self) -> list[tuple[int, list[str]]]:
-        """The element and parts of each block that may be main text: in article or main where the page has one, else in no chrome."""
-        self.has_main = any(n in MAIN and not c for n, c in zip(self.names, self.chrome))
+        """The element and parts of each block that may be main text: in what is main where the page has that, else in no chrome."""
+        self.has_main = any(not self.chrome[i] for i in self.roots)
         out, now, at = [], [], 0
         for e in self.events:
             if e[0] == "#":
@@ -206,27 +222,34 @@ class Page:
         """The token of a text: what it says and the names of the elements around it."""
         return _hash(f"{self.tags[element]} # {text}")
 
-    def tokens(self) -> list[tuple[int, int, int, int, int]]:
-        """Token, kind, pair (equal for an element's start and end), and the lengths of a start's own text and of its links."""
-        out = []
+    def tokens(self) -> list[tuple[int, ...]]:
+        """Token, kind, pair (equal for an element's start and end), and of a start: the lengths of its own text and of its
+        links, of the text below it, the token of the element around it, and its mark."""
+        out, none = [], (0, 0, 0, 0, 0)
         for e in self.events:
             if e[0] != "#":
-                own = (self.length[e[2]], self.linked[e[2]]) if e[3] == START else (0, 0)
-                out.append((_hash(e[1]), e[3], _hash(e[4]) if e[4] else 0, *own))
+                about = none
+                if e[3] == START:
+                    i = e[2]
+                    mark = MAIN_MARK if e[0] in MAIN else HEADING_MARK if e[0] in HEADINGS else 0
+                    about = (self.length[i], self.linked[i], self.below[i], _hash(self.keys[self.parent[i]]), mark)
+                out.append((_hash(e[1]), e[3], _hash(e[4]) if e[4] else 0, *about))
         for at, parts in self.blocks():
             text = _plain("".join(parts))
             if text:
-                out.append((self.place(at, text), TEXT, 0, 0, 0))
+                out.append((self.place(at, text), TEXT, 0, *none))
             if len(parts) > 1:
-                out.extend((self.place(at, t), TEXT, 0, 0, 0) for t in map(_plain, parts) if " " in t)
+                out.extend((self.place(at, t), TEXT, 0, *none) for t in map(_plain, parts) if " " in t)
         return out
 
-    def text(self, template: set[int] | None) -> str:
+    def text(self, template: set[int] | None, slot: int | None = None) -> str:
         """The blocks of main text, one a line, less the template's texts, whole or as parts, and its slots of links.
 
         In an article a constant text of fewer than SENTENCE words stays where its kind of element holds others that
         vary: articles of a host may share a heading or a short line.
         """
+        if slot is not None:
+            self.judge(slot)
         blocks = [(at, parts, _plain("".join(parts))) for at, parts in self.blocks()]
         if not template:
             return "\n".join(text for _, _, text in blocks if text)
@@ -259,8 +282,32 @@ def _hash(key: str) -> int:
     return xxhash.xxh3_64_intdigest(key) >> 1
 
 
+def main_slot(tokens: list[dict]) -> int | None:
+    """The element token of a template in which most text of the pages lies; None where that is all of a page or nowhere.
+
+    tokens: of elements that each page has once: token, parent, text (below it on all pages), length (its own) and mark.
+    """
+    known = {t["token"]: t for t in tokens}
+    inside: dict[int, list[dict]] = {}
+    for t in tokens:
+        inside.setdefault(t["parent"] if t["parent"] in known and t["parent"] != t["token"] else 0, []).append(t)
+    best = lambda x: max(inside.get(x, []), key=lambda t: (t["text"], -t["token"]), default=None)
+    root = at = best(0)
+    while at and at["mark"] != MAIN_MARK:
+        child = best(at["token"])
+        spread = child is None or child["text"] < DOMINANT * at["text"]
+        if spread or 2 * child["length"] > child["text"] or any(t["mark"] == HEADING_MARK for t in inside[at["token"]]):
+            break
+        at = child
+    return at["token"] if at and at["text"] and (at["text"] < 0.95 * root["text"] or at["mark"] == MAIN_MARK) else None
+
+
 def deduce(pages: DataFrame) -> DataFrame:
-    """Templates (host, template: hashes of the tokens of valid classes and of constant texts) from page rows (url, html).
+    """Templates from page rows (host, html): host, template (hashes of the tokens of valid classes and of constant texts)
+    and slot (the token of the element that holds the main text, if there is one).
+
+    A null html is an empty page; an empty table, or hosts without a token on enough different pages, give no template.
+    Ties between elements go to the smaller token. A very long page counts like any other.
 
     Only counts by host and token are shuffled, summed in each task first, so a host with most pages spreads. Different
     pages are told by a bit of 64 that each sets.
@@ -270,36 +317,41 @@ def deduce(pages: DataFrame) -> DataFrame:
         for b in A.slices(batches, "html", SLICE_BYTES):
             found: dict[tuple[str, int], list[int]] = {}
             for host, html in zip(b.column("host").to_pylist(), b.column("html").to_pylist()):
-                seen: dict[int, list[int]] = {0: [1, NEUTRAL, 0, 0, 0]}  # the page itself
-                for h, kind, pair, length, linked in Page(html or "").tokens():
+                seen: dict[int, list[int]] = {0: [1, NEUTRAL, 0, 0, 0, 0, 0, 0]}  # the page itself
+                for h, kind, pair, length, linked, below, around, mark in Page(html or "").tokens():
                     x = seen.get(h)
                     if x is None:
-                        seen[h] = [1, kind, pair, length, linked]
+                        seen[h] = [1, kind, pair, length, linked, below, around, mark]
                     else:
                         x[0] += 1
                         x[3] += length
                         x[4] += linked
+                        x[5] += below
                 page = xxhash.xxh3_64_intdigest(html or "")
                 bit = 1 << (page & 63)
-                for h, (n, kind, pair, length, linked) in seen.items():
+                for h, (n, kind, pair, length, linked, below, around, mark) in seen.items():
                     v = xxhash.xxh3_64_intdigest(n.to_bytes(8, "little"), page)
                     for at in (host, ALL) if host else (ALL,):
-                        x = found.setdefault((at, h), [0, 0, 0, 0, 0, 0, kind, pair])
+                        x = found.setdefault((at, h), [0, 0, 0, 0, 0, 0, kind, pair, 0, 0, around, mark])
                         x[0] += v & 0x7FFFFFFF
                         x[1] += v >> 33
                         x[2] += 1
                         x[3] |= bit
                         x[4] += length
                         x[5] += linked
+                        x[8] += below
+                        x[9] += n
             for x in found.values():
                 x[3] -= (x[3] >> 63) << 64
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in found], pa.string()), pa.array([k[1] for k in found], pa.int64()), *(pa.array([x[i] for x in found.values()], pa.int64()) for i in range(8))], ["host", "token", "v1", "v2", "pages", "bits", "length", "linked", "kind", "pair"])
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in found], pa.string()), pa.array([k[1] for k in found], pa.int64()), *(pa.array([x[i] for x in found.values()], pa.int64()) for i in range(12))], ["host", "token", *names])
 
-    counts = pages.mapInArrow(count, "host string, token long, v1 long, v2 long, pages long, bits long, length long, linked long, kind long, pair long")
-    sums = [F.sum(c).alias(c) for c in ("v1", "v2", "pages", "length", "linked")]
-    counts = counts.groupBy("host", "token").agg(*sums, F.bit_or("bits").alias("bits"), F.min("kind").alias("kind"), F.min("pair").alias("pair"))
+    names = ("v1", "v2", "pages", "bits", "length", "linked", "kind", "pair", "text", "times", "parent", "mark")
+    counts = pages.mapInArrow(count, "host string, token long, " + ", ".join(f"{c} long" for c in names))
+    sums = [F.sum(c).alias(c) for c in ("v1", "v2", "pages", "length", "linked", "text", "times")]
+    counts = counts.groupBy("host", "token").agg(*sums, F.bit_or("bits").alias("bits"), *[F.min(c).alias(c) for c in ("kind", "pair", "parent", "mark")])
     several = (F.col("pages") >= MIN_PAGES) & (F.bit_count("bits") >= MIN_PAGES - 1)  # two of few pages may share a bit
-    token = F.struct("token", "kind", "pair", ((F.col("kind") == START) & (2 * F.col("linked") > F.col("length"))).alias("links"))
+    once = (F.col("kind") == START) & (F.col("times") == F.col("pages"))
+    token = F.struct("token", "kind", "pair", ((F.col("kind") == START) & (2 * F.col("linked") > F.col("length"))).alias("links"), once.alias("once"), "parent", "text", "length", "mark")
     classes = counts.where(several).groupBy("host", "v1", "v2", "pages").agg(F.collect_set(token).alias("tokens"))
 
     def pairs(c, kind):
@@ -313,7 +365,15 @@ def deduce(pages: DataFrame) -> DataFrame:
     most = F.filter("classes", lambda c: c["pages"] >= MIN_SHARE * F.col("all"))
     tokens = by_host.select("host", F.flatten(F.transform(most, valid)).alias("tokens"))
     links = F.transform(F.filter("tokens", lambda t: t["links"]), lambda t: t["token"].bitwiseXOR(F.lit(LINKS)))
-    return tokens.select("host", F.concat(F.transform("tokens", lambda t: t["token"]), links).alias("template"))
+    elements = F.transform(F.filter("tokens", lambda t: t["once"]), lambda t: F.struct(*[t[c].alias(c) for c in ("token", "parent", "text", "length", "mark")]))
+
+    def choose(batches):
+        for b in batches:
+            slots = [main_slot(t or []) for t in b.column("elements").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("host"), b.column("template"), pa.array(slots, pa.int64())], ["host", "template", "slot"])
+
+    found = tokens.select("host", F.concat(F.transform("tokens", lambda t: t["token"]), links).alias("template"), elements.alias("elements"))
+    return found.mapInArrow(choose, "host string, template array<long>, slot long")
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -327,14 +387,14 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     rows = rows.withColumn("host", host_of(F.col("url")))
     templates = materialise(deduce(rows.select("host", "html")), "templates")
     general = templates.where(F.col("host") == ALL).head()
-    general = set(general["template"]) if general else None  # one page's tokens at most
-    joined = rows.join(templates.where(F.col("host") != ALL), "host", "left").select("page_id", "url", "html", "host", "template")
+    general = (set(general["template"]), general["slot"]) if general else (None, None)  # one page's tokens at most
+    joined = rows.join(templates.where(F.col("host") != ALL), "host", "left").select("page_id", "url", "html", "host", "template", "slot")
 
     def run(batches):
-        known: dict[str, set[int]] = {}
+        known: dict[str, tuple[set[int], int | None]] = {}
         for b in A.slices(batches, "html", SLICE_BYTES):
             texts = []
-            for host, html, template in zip(b.column("host").to_pylist(), b.column("html").to_pylist(), b.column("template")):
+            for host, html, template, slot in zip(b.column("host").to_pylist(), b.column("html").to_pylist(), b.column("template"), b.column("slot").to_pylist()):
                 if not template.is_valid:
                     use = general
                 else:
@@ -342,8 +402,8 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
                     if use is None:
                         if len(known) > 1000:
                             known.clear()
-                        use = known[host] = set(template.as_py())
-                texts.append(Page(html or "").text(use))
+                        use = known[host] = (set(template.as_py()), slot)
+                texts.append(Page(html or "").text(*use))
             yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     return joined.mapInArrow(run, "page_id long, url string, text string, n_chars long")

@@ -220,6 +220,22 @@ def test_html_template_decides(spark):
     assert got[3] == "Title 3\nown text 3.\non day 3\nRead on" and got[23] == "story 3 with a link" and got[41] == "one story in many copies"
 
 
+def test_html_main_slot_of_a_template(spark):
+    """Names that say nothing: where most text of the host's pages lies decides, and without the template it does not."""
+    rng = np.random.RandomState(3)
+    say = lambda n: " ".join(f"w{k}" for k in rng.randint(0, 900, n))
+    rows = []
+    for i in range(9):
+        side = "".join(f"<li><a href='/{k}'>{say(2)}</a></li>" for k in range(6))
+        rows.append((i, "http://s.example/", page(f"<div class='q1'><ul>{side}</ul></div><div class='q2'><div class='q3'><h2>{say(4)}</h2><div>{say(40)}</div><div>{say(30 * (i + 1))}</div></div><div class='q4'>{say(9)}</div></div><div class='q5'>{say(7)}</div>")))
+    got = {r["page_id"]: r["text"] for r in htmltemplates.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i, _, html in rows:
+        want = "\n".join(re.findall(r"<h2>(.*?)</h2><div>(.*?)</div><div>(.*?)</div>", html)[0])
+        assert got[i] == want != htmltemplates.Page(html).text(None)
+    t = {r["host"]: r["slot"] for r in htmltemplates.deduce(spark.createDataFrame([("s", h) for _, _, h in rows], "host string, html string")).collect()}
+    assert t["s"] == htmltemplates._hash("/html/body/div.class=q2 div class=q3")
+
+
 def test_html_classes_pair_starts_and_ends(spark):
     df = spark.createDataFrame([("a", page(f"<div class='x'><article>{i}</article><section>")) for i in range(8)], "host string, html string")
     t = {r["host"]: set(r["template"]) for r in htmltemplates.deduce(df).collect()}["a"]
