@@ -21,11 +21,12 @@ from graphloom.session import materialise
 
 #: Edges of one component that a task takes in: about 60 bytes each.
 LIMIT = 2_000_000
+SMALL = 500_000  # edges of a whole graph whose components one task finds
 
 
 def components(graph: Topology) -> DataFrame:
     """(id, component): every node with the least id of its component; an isolate is its own."""
-    found = connected_components(graph.edges.where("src <> dst"), "src", "dst")
+    found = connected_components(graph.edges.where("src <> dst"), "src", "dst", small=SMALL)
     return graph.nodes.select("id").join(found, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
 
 

@@ -107,3 +107,16 @@ def test_cuts_of_large_components_equal_those_of_small_ones(spark, monkeypatch):
     small = key(cuts.cuts(g))
     monkeypatch.setattr(cuts, "LIMIT", 0)
     assert key(cuts.cuts(g)) == small and any(k == "bridge" for k, *_ in small) and any(len(p) > 2 for *_, p in small)
+
+
+def test_components_of_small_graphs_equal_those_of_large_ones(spark):
+    from graphloom.operators.components import connected_components
+
+    rng = random.Random(12)
+    edges = [(f"n{rng.randrange(300)}", f"n{rng.randrange(300)}") for _ in range(220)] + [(f"p{i}", f"p{i + 1}") for i in range(40)] + [("é", "z"), ("x", "x"), (None, "y")]
+    df = spark.createDataFrame(edges, "src string, dst string")
+    key = lambda df: sorted(tuple(r) for r in df.collect())
+    assert key(connected_components(df, small=10**6)) == key(connected_components(df))
+    assert connected_components(df.limit(0), small=10).count() == 0
+    numbers = spark.createDataFrame([(5, 2), (2, 9), (7, 8)], "src long, dst long")
+    assert key(connected_components(numbers, small=10)) == [(2, 2), (5, 2), (7, 7), (8, 7), (9, 2)]
