@@ -136,6 +136,24 @@ def test_toxicity_finds_documents_and_sentences(spark):
         assert held[r["doc_id"]][0][r["start"] : r["end"]] == r["sentence"]
 
 
+def test_toxicity_scores_by_brute_force():
+    """Sentence by sentence: the chance that none offends, less what clean sentences add, or the strongest sentence alone."""
+    train = _bags(400, 1)
+    m = toxicity.fit(pa.array([t for t, _ in train]), np.array([y for _, y in train]))
+    weight = dict(zip(m.keys.tolist(), m.weights.tolist()))
+    texts = [t for t, _ in _bags(60, 4)] + ["", "one", "grumbling. nitwit! grumbler?\n" * 3]
+    got = m.scores(toxicity.Sentences(pa.array(texts)))
+    for text, score in zip(texts, got):
+        s, logit = toxicity.Sentences(pa.array([text])), collections.Counter()
+        for h in s.features():
+            for place, key in zip(s.sentence.tolist(), h.tolist()):
+                logit[place] += weight.get(key, 0.0)
+        clean = [1 / (1 + math.exp(logit[k] + m.bias)) for k in range(len(s.heads))]
+        spared = math.prod(c * math.exp(toxicity.MARGIN * m.plain) for c in clean)
+        assert score == pytest.approx(1 - min([spared, *clean]) if clean else 0.0, abs=1e-9)
+    assert got[-1] > 0.9 > got[-2]
+
+
 def test_toxicity_long_clean_texts_stay(spark):
     train = _bags(600, 1)
     m = toxicity.fit(pa.array([t for t, _ in train]), np.array([y for _, y in train]))
