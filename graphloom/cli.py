@@ -42,15 +42,20 @@ def _rows(df, *order) -> list[dict]:
     return [json.loads(r) for r in (df.orderBy(*order) if order else df).select(F.to_json(F.struct("*")).alias("j")).toArrow()["j"].to_pylist()]
 
 
-def predict_report(graph) -> dict:
+def predict_tables(graph) -> dict:
     from pyspark.sql import functions as F
 
     from graphloom.operators import predict
 
     none = graph.edges.select("src", "dst", F.lit(0.0).alias("trend"))
     parts = {"link_failures": predict.link_failures(graph.edges), "node_overloads": predict.node_overloads(graph), "capacity_exhaustion": predict.capacity(graph.edges, none, none), "sla_violations": predict.sla_violations(graph)}
-    out = {k: _rows(v, F.col("hours").asc() if k == "capacity_exhaustion" else F.desc("probability")) for k, v in parts.items()}
-    return out | {"summary": _rows(predict.summary(*parts.values()))[0]}
+    out = {k: v.orderBy(F.col("hours").asc() if k == "capacity_exhaustion" else F.desc("probability")) for k, v in parts.items()}
+    return out | {"summary": predict.summary(*parts.values())}
+
+
+def predict_report(graph) -> dict:
+    out = {k: _rows(v) for k, v in predict_tables(graph).items()}
+    return out | {"summary": out["summary"][0]}
 
 
 def detect_report(graph, epochs: int = 50, percentile: float = 95.0) -> dict:
@@ -99,6 +104,9 @@ def main(argv: list[str] | None = None) -> int:
     for name in ("detect", "predict", "impact", "viz", "train", "serve"):
         c = sub.add_parser(name)
         c.add_argument("file"), c.add_argument("--output", "-o")
+        if name in ("predict", "impact"):
+            c.add_argument("--tables", help="a folder for the report's tables, written by the executors")
+            c.add_argument("--show", type=int, default=0, help="print so many rows of each table")
         if name == "detect":
             c.add_argument("--threshold", type=float, default=95.0), c.add_argument("--epochs", type=int, default=50)
         if name == "impact":
@@ -127,6 +135,17 @@ def main(argv: list[str] | None = None) -> int:
 
             serve(g, a.port)
             return 0
+        if getattr(a, "tables", None) or getattr(a, "show", 0):
+            from graphloom.operators import impact
+
+            tables = predict_tables(g) if a.command == "predict" else impact.report(g)
+            if a.tables:
+                exports.write_tables(a.tables, tables)
+            for name, df in tables.items() if a.show else ():
+                sys.stdout.write(f"{name}\n")
+                df.show(a.show, False)
+            forget(spark)
+            return 0
         out = {
             "detect": lambda: detect_report(g, a.epochs, a.threshold),
             "predict": lambda: predict_report(g),

@@ -66,3 +66,10 @@ def z_norm(table: DataFrame, columns: list[str]) -> DataFrame:
     stats = table.agg(*[F.avg(c).alias(f"_m_{c}") for c in columns], *[F.stddev_pop(c).alias(f"_s_{c}") for c in columns])
     rest = [c for c in table.columns if c not in columns]
     return table.crossJoin(stats).select(*rest, *[((F.col(c) - F.col(f"_m_{c}")) / F.when(F.col(f"_s_{c}") < 1e-8, 1.0).otherwise(F.col(f"_s_{c}"))).alias(c) for c in columns])
+
+
+def matrices(graph: Topology, names: tuple[str, ...] = NODE_FEATURES, normalise: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Features by node (id, i, one column a feature), normalised by column if asked for, and the normalised adjacency (a, b, v)."""
+    table = node_features(graph, names)
+    table = z_norm(table, list(names)) if normalise else table
+    return node_index(graph).join(table, "id"), normalised_adjacency(graph)

@@ -200,6 +200,7 @@ SELECT id, round(score, 6) AS score, CAST(alt AS BIGINT) AS alternate_paths, spo
     "sage_mean": f"WITH {SITE}{H}, g AS (SELECT a AS id, avg(x) AS gx, avg(y) AS gy FROM arcs JOIN h ON h.id = b GROUP BY 1), d AS (SELECT h.id, x - coalesce(gx, 0) AS x, y - coalesce(gy, 0) AS y FROM h LEFT JOIN g ON g.id = h.id), p AS (SELECT id, 0.5::DOUBLE * x - 0.3::DOUBLE * y AS a, -0.25::DOUBLE * x + 0.2::DOUBLE * y AS b, 0.1::DOUBLE * x + 0.4::DOUBLE * y AS c FROM d), n AS (SELECT *, sqrt(a * a + b * b + c * c) AS l FROM p) SELECT id, round(CASE WHEN l > 0 THEN greatest(a / l, 0) ELSE 0 END, 6) AS h0, round(CASE WHEN l > 0 THEN greatest(b / l, 0) ELSE 0 END, 6) AS h1, round(CASE WHEN l > 0 THEN greatest(c / l, 0) ELSE 0 END, 6) AS h2 FROM n",
     "gat_attention": f"WITH {SITE}{H}, z AS (SELECT id, 0.5::DOUBLE * x - 0.3::DOUBLE * y AS p, -0.25::DOUBLE * x + 0.2::DOUBLE * y AS q, 0.1::DOUBLE * x + 0.4::DOUBLE * y AS r FROM h), t AS (SELECT id, 0.3::DOUBLE * p - 0.2::DOUBLE * q + 0.1::DOUBLE * r AS t, 0.1::DOUBLE * p + 0.25::DOUBLE * q - 0.3::DOUBLE * r AS o FROM z), k AS (SELECT a, b FROM arcs UNION SELECT id, id FROM nodes), s AS (SELECT a, b, exp(CASE WHEN x.t + y.o > 0 THEN x.t + y.o ELSE 0.2::DOUBLE * (x.t + y.o) END) AS e FROM k JOIN t x ON x.id = a JOIN t y ON y.id = b) SELECT a, b, round(e / sum(e) OVER (PARTITION BY a), 6) AS alpha FROM s",
     "recon_scores": "WITH p AS (SELECT vec_id AS src, lead(vec_id) OVER (PARTITION BY label ORDER BY vec_id) AS dst, embedding AS x FROM embeddings) SELECT src, dst, round(1 - 1 / (1 + exp(-list_sum(list_transform(range(1, len(x) + 1), lambda i: CAST(x[i] AS DOUBLE) * CAST(e.embedding[i] AS DOUBLE))))), 6) AS error FROM p JOIN embeddings e ON e.vec_id = p.dst",
+    "recon_node_scores": "WITH p AS (SELECT vec_id AS a, lead(vec_id) OVER (PARTITION BY label ORDER BY vec_id) AS b FROM embeddings), k AS (SELECT a, b FROM p WHERE b IS NOT NULL UNION SELECT b, a FROM p WHERE b IS NOT NULL), s AS (SELECT x.vec_id AS a, y.vec_id AS b, 1 / (1 + exp(-list_sum(list_transform(range(1, len(x.embedding) + 1), lambda i: CAST(x.embedding[i] AS DOUBLE) * CAST(y.embedding[i] AS DOUBLE))))) AS p FROM embeddings x CROSS JOIN embeddings y) SELECT s.a AS id, round(avg(CASE WHEN k.a IS NULL THEN p ELSE 1 - p END), 6) AS score FROM s LEFT JOIN k ON k.a = s.a AND k.b = s.b GROUP BY 1",
     "structural_anomalies": f"WITH RECURSIVE {SITE}{WITHOUT}, z AS (SELECT id, (degree - (SELECT avg(degree) FROM deg)) / (SELECT stddev_pop(degree) FROM deg) AS z FROM deg), c AS (SELECT v FROM meets JOIN deg ON deg.id = v GROUP BY v, degree HAVING count(*) < degree * degree), s AS (SELECT id, (CASE WHEN abs(z) > 2 THEN 0.1::DOUBLE * abs(z) ELSE 0 END) + (CASE WHEN c.v IS NULL THEN 0 ELSE 0.3::DOUBLE END) AS score FROM z LEFT JOIN c ON c.v = id), q AS (SELECT quantile_cont(score, 0.95) AS t FROM s) SELECT id, round(score, 6) AS score, round(t, 6) AS threshold FROM s, q WHERE score > t",
     "counter_deltas": "WITH m AS (SELECT l_suppkey AS device, CAST(year(l_shipdate) * 12 + month(l_shipdate) AS INTEGER) AS month, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS q, count(*) FILTER (l_returnflag = 'R') AS r, count(*) AS n FROM lineitem GROUP BY 1, 2) SELECT device, month, q AS in_bytes_delta, r AS in_errors_delta, n AS in_packets_delta FROM m QUALIFY row_number() OVER (PARTITION BY device ORDER BY month) > 1",
     "interface_annotate": f"WITH {STATES} SELECT 's' || s_suppkey AS src, 'n' || s_nationkey AS dst, oper_status, 100 AS speed_mbps, round(least(i / 1e8 * 100, 100), 6) AS utilization_in, round(CASE WHEN packets = 0 THEN 0 ELSE errors / CAST(packets AS DOUBLE) END, 8) AS error_rate FROM supplier JOIN st ON device = 's' || s_suppkey",

@@ -281,6 +281,15 @@ def recon_scores(spark, d):
     return got.select("src", "dst", r("error").alias("error"))
 
 
+@query
+def recon_node_scores(spark, d):
+    """Each vector's mean reconstruction error against all vectors, linked to the next of its label."""
+    e = I.table(spark, d, "embeddings").select(F.col("vec_id"), "label", F.transform("embedding", lambda x: x.cast("double")).alias("h"))
+    nxt = e.select("vec_id", F.expr("lead(vec_id) over (partition by label order by vec_id)").alias("to")).where("to is not null")
+    got = passing.node_errors(e.select(F.col("vec_id").alias("id"), "h"), nxt.select(F.col("vec_id").alias("src"), F.col("to").alias("dst")), 200)
+    return got.select("id", r("score").alias("score"))
+
+
 @query
 def anomaly_report(spark, d):
     got = detect.Detector(hidden=8, latent=4).fit(I.site(spark, d), epochs=5).detect(I.site(spark, d))

@@ -22,9 +22,10 @@ PORT_NAMES = ("Gi", "Te", "Fa", "Et", "Vl", "Lo", "Po", "Hu")
 ADDRESS = r"(\d+\.){3}\d+"
 
 
-def read_texts(spark: SparkSession, path: str, device: str) -> DataFrame:
-    """Whole text files as rows (device, value)."""
-    return spark.read.text(path, wholetext=True).select(F.lit(device).alias("device"), "value")
+def read_texts(spark: SparkSession, path: str, device: str | None = None) -> DataFrame:
+    """Whole text files as rows (device, value); without a device, each file's name up to its first dot names its own."""
+    named = F.lit(device) if device is not None else F.substring_index("_metadata.file_name", ".", 1)
+    return spark.read.text(path, wholetext=True).select(named.alias("device"), "value")
 
 
 def from_literal(spark: SparkSession, device: str, text: str) -> DataFrame:

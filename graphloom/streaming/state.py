@@ -93,3 +93,18 @@ def windowed_errors(events: DataFrame, ts: str = "ts", late: str = "10 minutes",
     """Events, errors (events of type error) and the mean value of each event-time window; rows later than `late` are left out."""
     rows = events.withWatermark(ts, late).groupBy(F.window(ts, width).alias("w"))
     return rows.agg(F.count("*").alias("n"), F.count_if(F.col("event_type") == "error").alias("errors"), F.avg("value").alias("mean_value"))
+
+
+def append_snapshots(rows: DataFrame, path: str, kept: int = 1000):
+    """A writer that stores each micro-batch of a stream under path as the snapshot seq=<batch id>, the last `kept` of them.
+
+    A batch that is written again after a failure replaces itself. Start it with .start(); read path as (seq, ...).
+    """
+
+    def store(batch: DataFrame, seq: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/seq={seq}")
+        if seq >= kept:
+            old = batch.sparkSession._jvm.org.apache.hadoop.fs.Path(f"{path}/seq={seq - kept}")
+            old.getFileSystem(batch.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(old, True)
+
+    return rows.writeStream.foreachBatch(store)

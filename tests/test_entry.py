@@ -7,7 +7,7 @@ import __spark_entry__ as entry
 from graphloom.plans import oracles, queries
 from tests.conftest import SF
 
-LIGHT = ["degree_outliers", "lww_merge", "graph_summary", "counter_deltas", "interface_annotate", "utilization_error_rate", "metric_trend", "link_risk", "capacity", "sla_risk", "snapshot_diff", "change_magnitude", "temporal_zscore", "temporal_events", "adjacency_tensor", "triangles_clustering", "redundant_paths", "betweenness", "normalized_adjacency", "node_features", "gcn_forward", "gat_attention", "recon_scores", "parse_lldp", "parse_cdp", "parse_snmp", "parse_ios_routes", "parse_junos", "parse_interfaces", "parse_json_records", "mermaid_lines", "d3_links"]
+LIGHT = ["degree_outliers", "lww_merge", "graph_summary", "counter_deltas", "interface_annotate", "utilization_error_rate", "metric_trend", "link_risk", "capacity", "sla_risk", "snapshot_diff", "change_magnitude", "temporal_zscore", "temporal_events", "adjacency_tensor", "triangles_clustering", "redundant_paths", "betweenness", "normalized_adjacency", "node_features", "gcn_forward", "gat_attention", "recon_scores", "parse_lldp", "parse_cdp", "parse_snmp", "parse_ios_routes", "parse_junos", "parse_interfaces", "parse_json_records", "mermaid_lines", "d3_links", "parse_snmp_system", "parse_snmp_neighbors", "parse_ios_routes_compat", "routing_graph", "routing_graph_nodes", "neighbor_graph", "snmp_graph", "attribute_equals", "isolates_of_bulk_orders", "observation_history", "snapshot_attributes", "time_range", "d3_scores", "sage_max", "gat_forward", "recon_node_scores", "demo_topology"]
 
 
 @pytest.fixture(scope="module")

@@ -120,3 +120,29 @@ def test_components_of_small_graphs_equal_those_of_large_ones(spark):
     assert connected_components(df.limit(0), small=10).count() == 0
     numbers = spark.createDataFrame([(5, 2), (2, 9), (7, 8)], "src long, dst long")
     assert key(connected_components(numbers, small=10)) == [(2, 2), (5, 2), (7, 7), (8, 7), (9, 2)]
+
+
+def test_snapshots_of_a_stream_and_report_tables(spark, tmp_path):
+    import json
+
+    from graphloom import cli
+    from graphloom.operators import features
+    from graphloom.sinks import exports
+    from graphloom.sources import graphs, texts
+    from graphloom.streaming import state
+
+    for k in range(3):
+        spark.createDataFrame([(f"n{k}",), ("n",)], "id string").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("id string").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    q = state.append_snapshots(stream, str(tmp_path / "snaps"), kept=2).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    assert q.awaitTermination(120)
+    got = spark.read.parquet(str(tmp_path / "snaps"))
+    assert {r["seq"] for r in got.collect()} == {1, 2} and got.count() == 4
+    g = graphs.demo(spark)
+    exports.write_tables(str(tmp_path / "out"), cli.predict_tables(g))
+    assert spark.read.json(str(tmp_path / "out" / "link_failures")).count() == 21
+    assert json.loads(json.dumps(cli.predict_report(g)["summary"]))["total"] > 0
+    x, a = features.matrices(g, ("degree", "is_router"))
+    assert x.count() == 17 and abs(x.agg(F.avg("degree")).head()[0]) < 1e-9 and a.where("a = b").count() == 17
+    (tmp_path / "sw-1.txt").write_text("Local Intf: e1\nSystem Name: b\n")
+    assert texts.lldp_neighbors(texts.read_texts(spark, str(tmp_path / "sw-1.txt"))).head()["local_device"] == "sw-1"
