@@ -101,8 +101,7 @@ class Documents:
 
     @property
     def texts(self) -> pa.Array:
-        n = len(self.ids)
-        return pa.LargeStringArray.from_buffers(n, pa.py_buffer(self.off.astype(np.int64).tobytes()), pa.py_buffer(self.buf.tobytes()))
+        return pa.LargeStringArray.from_buffers(len(self.ids), pa.py_buffer(self.off), pa.py_buffer(self.buf))
 
 
 def unpack_documents(rows: pa.Table) -> Documents:
@@ -111,7 +110,9 @@ def unpack_documents(rows: pa.Table) -> Documents:
     if not parts:
         return Documents(np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(1, np.int64), np.zeros(0, np.uint8))
     ids, kinds, sizes, buf = (np.concatenate(c) for c in zip(*parts))
-    first = np.cumsum(sizes) - sizes
+    del parts
     order = np.lexsort((kinds, ids))
-    sizes = sizes[order]
-    return Documents(ids[order], kinds[order], np.r_[0, np.cumsum(sizes)], buf[A.ragged(first[order], sizes)])
+    # Bytes move text by text: an index of every byte would take eight times as much.
+    texts = pa.Array.from_buffers(pa.large_binary(), len(ids), [None, pa.py_buffer(np.r_[0, np.cumsum(sizes)].astype(np.int64)), pa.py_buffer(buf)])
+    buf, off = A.utf8(texts.take(pa.array(order)))
+    return Documents(ids[order], kinds[order], off, buf)
