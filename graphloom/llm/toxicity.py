@@ -121,7 +121,7 @@ def fit(texts: pa.Array, labels: np.ndarray) -> Model:
         return Model()
     # Features that occur in more documents of a label than chance has it.
     rows = pa.RecordBatch.from_arrays([texts, pa.array(np.arange(len(y)))], ["text", "row"])
-    keys, pos, neg = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    keys, pos, neg = np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int32)
     for b in A.slices([rows], "text", SLICE_BYTES):
         s = Sentences(b.column("text"))
         row = b.column("row").to_numpy()[s.doc][s.sentence]
@@ -132,10 +132,16 @@ def fit(texts: pa.Array, labels: np.ndarray) -> Model:
         once = np.ones(len(k), bool)
         once[1:] = (k[1:] != k[:-1]) | (d[1:] != d[:-1])
         k, t = k[once], y[d[once]]
-        k, inv = np.unique(np.r_[keys, k], return_inverse=True)
-        pos = np.bincount(inv, np.r_[pos, t.astype(np.int64)], len(k)).astype(np.int64)
-        neg = np.bincount(inv, np.r_[neg, (~t).astype(np.int64)], len(k)).astype(np.int64)
-        keys = k
+        k, inv = np.unique(k, return_inverse=True)
+        bad = np.bincount(inv, t, len(k)).astype(np.int32)
+        good = np.bincount(inv, minlength=len(k)).astype(np.int32) - bad
+        # Sorted keys: known ones count on, new ones are put in between.
+        at = np.searchsorted(keys, k)
+        old = at < len(keys)
+        old[old] = keys[at[old]] == k[old]
+        pos[at[old]] += bad[old]
+        neg[at[old]] += good[old]
+        keys, pos, neg = (np.insert(x, at[~old], new[~old]) for x, new in ((keys, k), (pos, bad), (neg, good)))
     n1, n0 = int(y.sum()), int((~y).sum())
     share = (pos + neg) / (n1 + n0)
     z = (pos / n1 - neg / n0) / np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / n1 + 1 / n0))
