@@ -32,12 +32,19 @@ def components(graph: Topology) -> DataFrame:
 
 def low_links(a: np.ndarray, b: np.ndarray, n: int) -> tuple[list[list[int]], list[tuple[int, int, int]]]:
     """Of a connected simple graph: the piece sizes that each node's removal leaves, and bridges (parent, child, child's side)."""
+    return _pass(a, b, n)[:2]
+
+
+def _pass(a: np.ndarray, b: np.ndarray, n: int) -> tuple[list[list[int]], list[tuple[int, int, int]], list[list[int]]]:
+    """low_links(), and the number of the node's neighbours in each of its pieces."""
     ends, other = np.r_[a, b], np.r_[b, a]
     order = np.argsort(ends, kind="stable")
     to = other[order].tolist()
     first = np.searchsorted(ends[order], np.arange(n + 1)).tolist()
     at, seen, low, size = first[:], [-1] * n, [0] * n, [1] * n
     pieces: list[list[int]] = [[] for _ in range(n)]
+    near: list[list[int]] = [[] for _ in range(n)]
+    hits = [1] * n  # edges to a node's parent from the node and from below it
     bridges, stack, up, clock = [], [0], [-1] * n, 1
     seen[0] = 0
     while stack:
@@ -50,8 +57,10 @@ def low_links(a: np.ndarray, b: np.ndarray, n: int) -> tuple[list[list[int]], li
                 clock += 1
                 up[w] = v
                 stack.append(w)
-            elif w != up[v] and seen[w] < low[v]:
-                low[v] = seen[w]
+            elif w != up[v] and seen[w] < seen[v]:
+                hits[to[at[w] - 1]] += 1  # w is above v: its last edge taken leads here
+                if seen[w] < low[v]:
+                    low[v] = seen[w]
             continue
         stack.pop()
         p = up[v]
@@ -61,34 +70,39 @@ def low_links(a: np.ndarray, b: np.ndarray, n: int) -> tuple[list[list[int]], li
                 low[p] = low[v]
             if low[v] >= seen[p]:
                 pieces[p].append(size[v])
+                near[p].append(hits[v])
             if low[v] > seen[p]:
                 bridges.append((p, v, size[v]))
     for v in range(n):
         rest = n - 1 - sum(pieces[v])
         if rest:
             pieces[v].append(rest)
-    return pieces, bridges
+            near[v].append(first[v + 1] - first[v] - sum(near[v]))
+    return pieces, bridges, near
 
 
 def _kernel(edges: pd.DataFrame) -> pd.DataFrame:
     ids, inv = np.unique(np.r_[edges["src"].to_numpy(str), edges["dst"].to_numpy(str)], return_inverse=True)
     m = len(edges)
-    pieces, bridges = low_links(inv[:m], inv[m:], len(ids))
+    pieces, bridges, near = _pass(inv[:m], inv[m:], len(ids))
     comp = edges["component"].iloc[0]
-    rows = [("node", ids[i], None, comp, len(ids), p) for i, p in enumerate(pieces)]
-    rows += [("bridge", min(ids[p], ids[c]), max(ids[p], ids[c]), comp, len(ids), [int(s), len(ids) - int(s)]) for p, c, s in bridges]
-    return pd.DataFrame(rows, columns=["kind", "id", "other", "component", "size", "pieces"])
+    rows = [("node", ids[i], None, comp, len(ids), p, near[i]) for i, p in enumerate(pieces)]
+    rows += [("bridge", min(ids[p], ids[c]), max(ids[p], ids[c]), comp, len(ids), [int(s), len(ids) - int(s)], None) for p, c, s in bridges]
+    return pd.DataFrame(rows, columns=["kind", "id", "other", "component", "size", "pieces", "near"])
 
 
 def cuts(graph: Topology, comp: DataFrame | None = None) -> DataFrame:
-    """(kind, id, other, component, size, pieces) of every node with an edge and of every bridge."""
+    """(kind, id, other, component, size, pieces, near) of every node with an edge and of every bridge.
+
+    near: how many of a node's neighbours lie in each of its pieces.
+    """
     g = graph.undirected()
     comp = comp if comp is not None else components(g)
     e = g.edges.where("src <> dst").select("src", "dst").join(comp.withColumnRenamed("id", "src"), "src")
     most = e.groupBy("component").count().agg(F.max("count")).head()[0] or 0
     if most > LIMIT:
         return _by_joins(materialise(e.select("component", "src", "dst").distinct(), "cuts"))
-    return e.groupBy("component").applyInPandas(_kernel, "kind string, id string, other string, component string, size bigint, pieces array<bigint>")
+    return e.groupBy("component").applyInPandas(_kernel, "kind string, id string, other string, component string, size bigint, pieces array<bigint>, near array<bigint>")
 
 
 def _by_joins(edges: DataFrame) -> DataFrame:
@@ -142,14 +156,17 @@ def _by_joins(edges: DataFrame) -> DataFrame:
     single = members.groupBy("block").count().where("count = 1").select("block")
     n = nodes.where("hop = 0").select("component", F.col("size").alias("whole"))
     link = lower.join(single, "block").join(n, "component")
-    bridge = link.select(F.lit("bridge").alias("kind"), F.least("id", "parent").alias("id"), F.greatest("id", "parent").alias("other"), "component", F.col("whole").alias("size"), F.array("size", F.col("whole") - F.col("size")).alias("pieces"))
+    none = F.array().cast("array<bigint>")
+    bridge = link.select(F.lit("bridge").alias("kind"), F.least("id", "parent").alias("id"), F.greatest("id", "parent").alias("other"), "component", F.col("whole").alias("size"), F.array("size", F.col("whole") - F.col("size")).alias("pieces"), F.lit(None).cast("array<bigint>"))
     # Without a node, the subtrees of its children fall apart by block; those of its own block stay with what is above.
     own = lower.select(F.col("id").alias("parent"), F.col("block").alias("own"))
-    hung = lower.groupBy("parent", "block").agg(F.sum("size").alias("piece")).join(own, "parent", "left").where("not (block <=> own)")
-    down = hung.groupBy(F.col("parent").alias("id")).agg(F.collect_list("piece").alias("down"), F.sum("piece").alias("sum"))
-    node = nodes.join(n, "component").join(down, "id", "left").withColumn("rest", F.col("whole") - 1 - F.coalesce("sum", F.lit(0)))
-    pieces = F.concat(F.coalesce("down", F.array().cast("array<bigint>")), F.when(F.col("rest") > 0, F.array("rest")).otherwise(F.array().cast("array<bigint>")))
-    return bridge.union(node.select(F.lit("node"), "id", F.lit(None).cast("string"), "component", "whole", pieces))
+    more = outside.select(F.col("id_u").alias("parent"), F.col("id_w").alias("id")).join(lower.select("id", "block"), "id").select("parent", "block", F.lit(0).cast("bigint").alias("size"))
+    hung = lower.select("parent", "block", "size").union(more).groupBy("parent", "block").agg(F.sum("size").alias("piece"), F.count("*").alias("m")).join(own, "parent", "left").where("not (block <=> own)")
+    down = hung.groupBy(F.col("parent").alias("id")).agg(F.collect_list(F.struct("piece", "m")).alias("down"), F.sum("piece").alias("sum"), F.sum("m").alias("met"))
+    k = arcs.groupBy(F.col("a").alias("id")).agg(F.count("*").alias("k"))
+    node = nodes.join(n, "component").join(k, "id").join(down, "id", "left").withColumn("rest", F.col("whole") - 1 - F.coalesce("sum", F.lit(0)))
+    both = lambda c, rest: F.concat(F.coalesce(F.col(f"down.{c}"), none), F.when(F.col("rest") > 0, F.array(rest)).otherwise(none))
+    return bridge.union(node.select(F.lit("node"), "id", F.lit(None).cast("string"), "component", "whole", both("piece", F.col("rest")), both("m", F.col("k") - F.coalesce("met", F.lit(0))))).toDF("kind", "id", "other", "component", "size", "pieces", "near")
 
 
 def articulation_points(found: DataFrame) -> DataFrame:
