@@ -24,16 +24,22 @@ CODES = ("C", "S*", "O", "O IA", "O E2", "B", "D EX", "i L1")
 
 
 def lines(spark: SparkSession, d: str) -> DataFrame:
-    """(device, k, part, supp, qty, net, r, a, f) of every order line; k counts the lines of an order."""
-    w = W.partitionBy("l_orderkey").orderBy(*KEYS)
+    """(device, k, part, supp, qty, net, r, a, f) of every order line; k counts the lines of an order.
+
+    Rows are dealt by device, so that no later step by device moves the texts, and into all partitions: they are short,
+    but what is rendered from them is long.
+    """
+    w = W.partitionBy("device").orderBy(*KEYS)
     part = F.col("l_partkey")
     net = F.format_string("10.%d.%d", F.floor(part / 200) % 200, part % 200)
-    return table(spark, d, "lineitem").select(F.concat(F.lit("o"), F.col("l_orderkey").cast("string")).alias("device"), F.row_number().over(w).alias("k"), part.alias("part"), F.col("l_suppkey").alias("supp"), F.col("l_quantity").cast("int").alias("qty"), net.alias("net"), (F.col("l_returnflag") == "R").alias("r"), (F.col("l_returnflag") == "A").alias("a"), (F.col("l_linestatus") == "F").alias("f"))
+    named = table(spark, d, "lineitem").select(F.concat(F.lit("o"), F.col("l_orderkey").cast("string")).alias("device"), *KEYS)
+    named = named.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "device")
+    return named.select("device", F.row_number().over(w).alias("k"), part.alias("part"), F.col("l_suppkey").alias("supp"), F.col("l_quantity").cast("int").alias("qty"), net.alias("net"), (F.col("l_returnflag") == "R").alias("r"), (F.col("l_returnflag") == "A").alias("a"), (F.col("l_linestatus") == "F").alias("f"))
 
 
 def _texts(rows: DataFrame, block: Column, between: str = "", head: Column | str = "") -> DataFrame:
     """(device, value): the blocks of each device in order."""
-    got = rows.select("device", F.struct("k", block.alias("block")).alias("b")).groupBy("device").agg(F.array_sort(F.collect_list("b")).alias("blocks"))
+    got = rows.select("device", F.struct("k", block.alias("block")).alias("b")).groupBy("device").agg(F.sort_array(F.collect_list("b")).alias("blocks"))
     start = F.lit(head) if isinstance(head, str) else head
     return got.select("device", F.concat(start, F.array_join(F.transform("blocks", lambda b: b["block"]), between)).alias("value"))
 

@@ -6,6 +6,8 @@ keeps known oddities of earlier tools, which the default mends (see each functio
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -32,22 +34,30 @@ def from_literal(spark: SparkSession, device: str, text: str) -> DataFrame:
     return spark.range(1).select(F.lit(device).alias("device"), F.lit(text).alias("value"))
 
 
+def _once(rows: DataFrame, **columns: Column) -> DataFrame:
+    """rows with columns that are computed once a row, however often they are used; withColumn would repeat them at each use."""
+    kept = [F.col(c) for c in rows.columns if c not in columns]
+    got = rows.select(*kept, F.explode(F.array(F.struct(*[v.alias(k) for k, v in columns.items()]))).alias("_once"))
+    return got.select(*kept, *[F.col("_once")[k].alias(k) for k in columns])
+
+
 def _after(text: Column, mark: str) -> Column:
     """What follows the first mark in a text, trimmed; empty without one."""
     return F.trim(F.substr(text, F.length(F.substring_index(text, mark, 1)) + 1 + len(mark)), F.lit(" \t\r"))
 
 
-def _labelled(block: Column, cut: str = r"\r?\n") -> Column:
-    """The fields of a block: lower-case labels up to a line's first colon, and what follows, if need be on the next line."""
-    parts = F.filter(F.split(block, cut), lambda x: F.trim(x, F.lit(" \t\r")) != "")
+def _labelled(blocks: DataFrame, cut: str = r"\r?\n") -> DataFrame:
+    """blocks with their fields: lower-case labels up to a line's first colon, and what follows, if need be on the next line."""
+    trimmed = F.transform(F.split("block", cut), lambda x: F.trim(x, F.lit(" \t\r")))
+    b = _once(blocks, parts=F.filter(trimmed, lambda x: x != ""))
     label = lambda x: F.lower(F.regexp_replace(F.trim(F.substring_index(x, ":", 1), F.lit(" \t")), r"\s+", " "))
-    value = lambda x, i: F.coalesce(F.nullif(_after(x, ":"), F.lit("")), F.trim(F.get(parts, i + 1), F.lit(" \t\r")))
-    return F.transform(parts, lambda x, i: F.struct(F.when(x.contains(":"), label(x)).alias("label"), value(x, i).alias("value")))
+    value = lambda x, i: F.coalesce(F.nullif(_after(x, ":"), F.lit("")), F.get("parts", i + 1))
+    return _once(b, fields=F.transform("parts", lambda x, i: F.struct(F.when(x.contains(":"), label(x)).alias("label"), value(x, i).alias("value")))).drop("block", "parts")
 
 
 def _field(*names: str, whole: bool = True) -> Column:
     """The value of the first field with one of the labels; not whole: or with one that ends so."""
-    fits = lambda f: f["label"].isin(*names) if whole else F.exists(F.array(*map(F.lit, names)), lambda n: f["label"].endswith(n))
+    fits = lambda f: f["label"].isin(*names) if whole else functools.reduce(Column.__or__, [f["label"].endswith(n) for n in names])
     return F.get(F.filter("fields", fits), 0)["value"]
 
 
@@ -69,7 +79,9 @@ def _neighbors(rows: DataFrame) -> DataFrame:
 def _neighbor(rows: DataFrame, protocol: str, local: Column, remote: Column, port: Column, about: Column, able: Column, address: Column, ttl: Column) -> DataFrame:
     """Neighbour records of blocks; one without a local port or a remote device is none."""
     none = F.lit("")
-    got = rows.select(F.col("device").alias("local_device"), local.alias("local_port"), remote.alias("remote_device"), F.coalesce(port, F.lit("unknown")).alias("remote_port"), F.coalesce(about, none).alias("remote_system_description"), C.capabilities(able).alias("remote_capabilities"), F.coalesce(address, none).alias("remote_mgmt_address"), F.coalesce(ttl.try_cast("int"), F.lit(120)).alias("ttl"), F.lit(protocol).alias("protocol"), "ordinal")
+    rows = _once(rows, _local=local, _remote=remote, _port=port, _about=about, _able=able, _address=address, _ttl=ttl)
+    port, about, able, address, ttl = (F.col(c) for c in ("_port", "_about", "_able", "_address", "_ttl"))
+    got = rows.select(F.col("device").alias("local_device"), F.col("_local").alias("local_port"), F.col("_remote").alias("remote_device"), F.coalesce(port, F.lit("unknown")).alias("remote_port"), F.coalesce(about, none).alias("remote_system_description"), C.capabilities(able).alias("remote_capabilities"), F.coalesce(address, none).alias("remote_mgmt_address"), F.coalesce(ttl.try_cast("int"), F.lit(120)).alias("ttl"), F.lit(protocol).alias("protocol"), "ordinal")
     return _neighbors(got.where("local_port is not null and remote_device is not null"))
 
 
@@ -78,7 +90,7 @@ def lldp_neighbors(texts: DataFrame, compat: bool = False) -> DataFrame:
 
     The remote port is read from a line of its own; with compat, a local port line passes for one.
     """
-    b = _blocks(texts, r"-{20,}|\n\n(?=Local\s)").select("device", "ordinal", _labelled(F.col("block")).alias("fields"))
+    b = _labelled(_blocks(texts, r"-{20,}|\n\n(?=Local\s)"))
     any_ = lambda *names: _field(*names, whole=False)
     local = any_("local port id", "local port", "local portid", "local intf", "local intf id", "local intfid")
     return _neighbor(b, "lldp", local, any_("system name", "sysname"), _field("port id", "port description", whole=not compat), any_("system description"), any_("system capabilities"), any_("management address", "management addresses"), F.regexp_substr(any_("time to live"), F.lit(r"^\d+")))
@@ -86,7 +98,7 @@ def lldp_neighbors(texts: DataFrame, compat: bool = False) -> DataFrame:
 
 def cdp_neighbors(texts: DataFrame) -> DataFrame:
     """Neighbours of detailed CDP output, where labels may also follow commas: device names end at their first dot."""
-    b = _blocks(texts, "-{20,}").select("device", "ordinal", _labelled(F.col("block"), r"\r?\n|,\s+(?=[A-Z][^:,\n]*:)").alias("fields"))
+    b = _labelled(_blocks(texts, "-{20,}"), r"\r?\n|,\s+(?=[A-Z][^:,\n]*:)")
     any_ = lambda *names: _field(*names, whole=False)
     local = F.nullif(F.rtrim(_word(any_("interface", "local intrfce")), F.lit(",")), F.lit(""))
     about = F.trim(F.substring_index(any_("platform"), ",", 1))
@@ -97,7 +109,8 @@ def _json_rows(texts: DataFrame, *keys: str) -> DataFrame:
     """Elements of a JSON list, or of the first of the keys that an object has, as maps of text."""
     listed = F.get_json_object("value", "$")
     of = F.coalesce(*[F.get_json_object("value", f"$.{k}") for k in keys], F.when(listed.startswith("["), listed))
-    items = F.from_json(of, "array<string>")
+    texts = _once(texts, of=of)
+    items = F.from_json("of", "array<string>")
     return texts.select("device", F.posexplode(items).alias("ordinal", "item"))
 
 
@@ -129,10 +142,10 @@ def walk_lines(texts: DataFrame) -> DataFrame:
     """
     lines = texts.select("device", F.posexplode(F.split("value", "\n")).alias("line_no", "line")).where(F.col("line").contains("="))
     oid = F.ltrim(F.trim(F.substring_index("line", "=", 1), F.lit(" \t\r")), F.lit("."))
-    rows = lines.select("device", "line_no", oid.alias("oid"), _after(F.col("line"), "=").alias("rest")).where(F.col("oid").rlike(r"^[\d.]+$"))
+    rows = _once(lines, oid=oid, rest=_after(F.col("line"), "=")).where(F.col("oid").rlike(r"^[\d.]+$"))
     typed = F.substring_index("rest", ":", 1).rlike(r"^\w[\w-]*$") & F.col("rest").contains(":")
     value = F.trim(F.when(typed, _after(F.col("rest"), ":")).otherwise(F.col("rest")), F.lit('"'))
-    return rows.select("device", "line_no", "oid", value.alias("value")).groupBy("device", "oid").agg(F.max("line_no").alias("line_no"), F.max_by("value", "line_no").alias("value"))
+    return _once(rows, value=value).groupBy("device", "oid").agg(F.max("line_no").alias("line_no"), F.max_by("value", "line_no").alias("value"))
 
 
 def _under(table: dict[str, str]) -> Column:
@@ -154,7 +167,7 @@ def snmp_device(texts: DataFrame) -> DataFrame:
 
 def snmp_interfaces(texts: DataFrame) -> DataFrame:
     """One row an interface that has a description or a name; the later of both speeds counts."""
-    rows = walk_lines(texts).withColumn("name", _under(INTERFACE_OIDS)).where("name is not null").withColumn("if_index", F.element_at(F.split("oid", r"\."), -1).cast("int"))
+    rows = _once(walk_lines(texts), name=_under(INTERFACE_OIDS)).where("name is not null").withColumn("if_index", F.substring_index("oid", ".", -1).cast("int"))
     pick = lambda n: F.max_by("value", F.when(F.col("name") == n, F.col("line_no")))
     number = lambda n: F.coalesce(pick(n).try_cast("bigint"), F.lit(0)).alias(n)
     fast = F.when(F.col("name") == "high_speed", F.col("value").try_cast("bigint") * 1000000).when(F.col("name") == "speed", F.col("value").try_cast("bigint"))
@@ -165,7 +178,7 @@ def snmp_interfaces(texts: DataFrame) -> DataFrame:
 
 def snmp_neighbors(texts: DataFrame) -> DataFrame:
     """One row a remote entry that has a system name."""
-    rows = walk_lines(texts).withColumn("name", _under(LLDP_OIDS)).where("name is not null")
+    rows = _once(walk_lines(texts), name=_under(LLDP_OIDS)).where("name is not null")
     key = F.lit(None).cast("string")
     for name, oid in LLDP_OIDS.items():
         key = F.when(F.col("name") == name, F.substring("oid", len(oid) + 2, 1000)).otherwise(key)
@@ -194,16 +207,18 @@ def _number_pair(word: Column, part: int) -> Column:
 
 def _walked(lines: DataFrame) -> DataFrame:
     """Lines (.., line) with the parts of a route: lead (text before the address), prefix, own_mask, ad, metric, hop, rest (words after a comma)."""
-    words = lines.withColumn("words", _tokens(F.col("line")))
+    words = _once(lines, words=_tokens(F.col("line")))
     at = F.array_position(F.transform("words", lambda x: x.rlike(f"^{ADDRESS}(/\\d+)?$")), True).cast("int")
-    words = words.withColumns({"place": at, "address": F.get("words", at - 1), "tail": _drop(F.col("words"), at)}).where("place > 0")
+    words = _once(words, place=at).where("place > 0")
+    at = F.col("place")
+    words = _once(words, **{"address": F.get("words", at - 1), "tail": _drop(F.col("words"), at)})
     words = words.withColumn("lead", F.expr("substring(line, 1, locate(address, line) - 1)"))
-    words = words.withColumns({"pair": F.get("tail", F.lit(0)), "tail": F.when(_number_pair(F.get("tail", F.lit(0)), 1).isNotNull(), _drop(F.col("tail"), 1)).otherwise(F.col("tail"))})
+    words = _once(words, **{"pair": F.get("tail", F.lit(0)), "tail": F.when(_number_pair(F.get("tail", F.lit(0)), 1).isNotNull(), _drop(F.col("tail"), 1)).otherwise(F.col("tail"))})
     hop = F.when((F.get("tail", F.lit(0)) == "via") & F.get("tail", F.lit(1)).rlike(f"^{ADDRESS}$"), F.get("tail", F.lit(1)))
-    words = words.withColumns({"hop": hop, "tail": F.when(hop.isNotNull(), _drop(F.col("tail"), 2)).otherwise(F.col("tail"))})
+    words = _once(words, **{"hop": hop, "tail": F.when(hop.isNotNull(), _drop(F.col("tail"), 2)).otherwise(F.col("tail"))})
     rest = F.when(F.get("tail", F.lit(0)) == ",", F.filter(_drop(F.col("tail"), 1), lambda x: x != ","))
     mask = F.element_at(F.split("address", "/"), -1)
-    return words.withColumns({"prefix": F.substring_index("address", "/", 1), "own_mask": F.when(F.col("address").contains("/"), mask).try_cast("int"), "ad": _number_pair(F.col("pair"), 1), "metric": _number_pair(F.col("pair"), 2), "rest": rest})
+    return _once(words, **{"prefix": F.substring_index("address", "/", 1), "own_mask": F.when(F.col("address").contains("/"), mask).try_cast("int"), "ad": _number_pair(F.col("pair"), 1), "metric": _number_pair(F.col("pair"), 2), "rest": rest})
 
 
 def ios_routes(texts: DataFrame, compat: bool = False) -> DataFrame:
@@ -213,8 +228,8 @@ def ios_routes(texts: DataFrame, compat: bool = False) -> DataFrame:
     With compat, codes have capitals only (lines with others are lost), headers pass as routes and codes of two words
     stay as they are.
     """
-    lines = texts.select("device", F.posexplode(F.split("value", r"\r?\n")).alias("pos", "line")).select("device", "pos", F.rtrim("line").alias("line"))
-    lines = lines.where("line <> '' and not startswith(line, 'Codes:') and not startswith(line, 'Gateway')")
+    lines = texts.select("device", F.posexplode(F.split("value", r"\r?\n")).alias("pos", "line"))
+    lines = _once(lines, line=F.rtrim("line")).where("line <> '' and not startswith(line, 'Codes:') and not startswith(line, 'Gateway')")
     if not compat:
         lines = lines.where("not contains(line, 'variably subnetted') and not contains(line, 'is subnetted')")
     rows = _walked(lines)
@@ -223,7 +238,7 @@ def ios_routes(texts: DataFrame, compat: bool = False) -> DataFrame:
     coded = F.col("lead").rlike(r"^[A-Z*\s]+\s$") & (size <= 5) if compat else F.col("lead").rlike(r"^[A-Za-z][A-Za-z0-9* ]*\s$") & (size <= 8)
     blank = F.trim("lead") == ""
     full = coded | blank & (F.length("lead") > 1)
-    rows = rows.withColumn("full", full).where(F.col("full") | blank & (F.length("lead") == 1))
+    rows = _once(rows, full=full).where(F.col("full") | blank & (F.length("lead") == 1))
     code = F.when(F.col("full"), F.trim("lead"))
     rows = rows.withColumn("code", code if compat else F.nullif(code, F.lit("")))
     before = W.partitionBy("device").orderBy("pos")
@@ -269,18 +284,15 @@ def routes(texts: DataFrame, format: str = "ios") -> DataFrame:
         raise ValueError(f"unknown routing format: {format}") from None
 
 
-def _near(step: int, *marks: str) -> Column:
-    """Of a block's words, the first that stands step words from where the marks begin; NULL if they do not occur."""
-    at = lambda i: [F.get("words", i + k) == m for k, m in enumerate(marks)]
-    places = F.transform("words", lambda x, i: F.when(_all(at(i)), F.get("words", i + step)))
-    return F.get(F.filter(places, lambda x: x.isNotNull()), 0)
-
-
-def _all(conditions: list[Column]) -> Column:
-    out = conditions[0]
-    for c in conditions[1:]:
-        out = out & c
-    return out
+def _near(before: bool, *marks: str) -> Column:
+    """Of a block's words, the first that stands before or after the marks; NULL if they do not occur so."""
+    mark = f" {' '.join(marks)} "
+    text = F.concat(F.lit("" if before else " "), "joined", F.lit(" "))
+    if before:
+        word = F.when(F.contains(text, F.lit(mark)), F.substring_index(F.substring_index(text, mark, 1), " ", -1))
+    else:
+        word = F.substring_index(F.substr(text, F.length(F.substring_index(text, mark, 1)) + 1 + len(mark)), " ", 1)
+    return F.nullif(word, F.lit(""))
 
 
 def ios_interfaces(texts: DataFrame, ts: float | None = None) -> DataFrame:
@@ -289,28 +301,29 @@ def ios_interfaces(texts: DataFrame, ts: float | None = None) -> DataFrame:
     A block begins at a line like "name is up, line protocol is up"; its numbers are found by the words next to them.
     """
     b = texts.select("device", F.posexplode(F.split("value", r"(?m)(?=^\S+ +is +)")).alias("ordinal", "block"))
-    b = b.withColumns({"head": _tokens(F.get(F.split("block", "\n"), 0)), "words": F.filter(F.split("block", r"[\s,()]+"), lambda x: x != "")})
+    b = _once(b, head=_tokens(F.substring_index("block", "\n", 1)), joined=F.trim(F.regexp_replace("block", r"[\s,()]+", " ")))
     admin = (F.get("head", F.lit(1)) == "is") & (F.get("head", F.lit(2)) == "administratively")
     state = F.when(admin, _drop(F.col("head"), 3)).otherwise(_drop(F.col("head"), 2))  # up , line protocol is up
-    b = b.withColumns({"state": state, "admin": admin})
+    b = _once(b, state=state, admin=admin)
     both = F.get("state", F.lit(0)).isin("up", "down") & F.get("state", F.lit(5)).isin("up", "down") & (F.array_join(F.slice("state", 2, 4), " ") == ", line protocol is") & (F.get("head", F.lit(1)) == "is")
-    number = lambda step, *marks: F.coalesce(_near(step, *marks).try_cast("bigint"), F.lit(0))
-    net = F.split(_near(3, "Internet", "address", "is"), "/")
-    mac = F.filter(F.transform("words", lambda x, i: F.when(_all([F.get("words", i - 2) == "address", F.get("words", i - 1) == "is", x.rlike(r"^[0-9a-fA-F]{4}(\.[0-9a-fA-F]{4}){2}$")]), x)), lambda x: x.isNotNull())
+    number = lambda before, *marks: F.coalesce(_near(before, *marks).try_cast("bigint"), F.lit(0))
+    net = F.col("net")
+    mac = F.nullif(F.regexp_extract("joined", r"(?:^| )address is ([0-9a-fA-F]{4}(?:\.[0-9a-fA-F]{4}){2})(?: |$)", 1), F.lit(""))
     about = F.get(F.filter(F.transform(F.split("block", "\n"), lambda x: F.trim(x, F.lit(" \t\r"))), lambda x: x.startswith("Description: ")), 0)
-    return b.where(both).select(
+    b = _once(b.where(both), net=F.split(_near(False, "Internet", "address", "is"), "/"), about=about)
+    return b.select(
         "device",
         F.get("head", F.lit(0)).alias("name"),
         F.when(F.col("admin"), "down").otherwise("up").alias("admin_status"),
         F.get("state", F.lit(5)).alias("oper_status"),
-        F.floor(number(1, "BW") / 1000).cast("int").alias("speed_mbps"),
-        number(1, "MTU").cast("int").alias("mtu"),
+        F.floor(number(False, "BW") / 1000).cast("int").alias("speed_mbps"),
+        number(False, "MTU").cast("int").alias("mtu"),
         F.coalesce(F.when(F.size(net) == 2, F.get(net, 0)), F.lit("")).alias("ip_address"),
         F.coalesce(F.get(net, 1), F.lit("")).alias("subnet_mask"),
-        F.coalesce(F.get(mac, 0), F.lit("")).alias("mac_address"),
-        F.coalesce(_after(about, ":"), F.lit("")).alias("description"),
-        *[number(-1, *marks).alias(name) for name, marks in (("in_packets", ("packets", "input")), ("out_packets", ("packets", "output")), ("in_errors", ("input", "errors")), ("out_errors", ("output", "errors")), ("crc_errors", ("CRC",)), ("collisions", ("collisions",)))],
-        *[number(2, way, "rate").cast("double").alias(f"{way}_rate_bps") for way in ("input", "output")],
+        F.coalesce(mac, F.lit("")).alias("mac_address"),
+        F.coalesce(_after(F.col("about"), ":"), F.lit("")).alias("description"),
+        *[number(True, *marks).alias(name) for name, marks in (("in_packets", ("packets", "input")), ("out_packets", ("packets", "output")), ("in_errors", ("input", "errors")), ("out_errors", ("output", "errors")), ("crc_errors", ("CRC",)), ("collisions", ("collisions",)))],
+        *[number(False, way, "rate").cast("double").alias(f"{way}_rate_bps") for way in ("input", "output")],
         (F.lit(float(ts)) if ts is not None else F.unix_timestamp().cast("double")).alias("ts"),
         F.lit("cli").alias("collection_method"),
     )

@@ -89,3 +89,21 @@ def test_stream_of_counters(spark, tmp_path):
     q = stream.writeStream.format("memory").queryName("deltas").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     assert q.awaitTermination(120)
     assert [(r["ts"], r["in_bytes_delta"], r["in_errors_delta"]) for r in spark.table("deltas").orderBy("ts").collect()] == [(1.0, 5, 0), (2.0, 0, 1)]
+
+
+def test_columns_of_blocks_are_computed_once(spark):
+    """Each block is cut into fields once: the plan has one split of lines, however many fields are read from it."""
+    from graphloom.sources import texts
+
+    df = texts.cdp_neighbors(spark.createDataFrame([("d", "x")], "device string, value string"))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(block") == 1 and "Generate explode(array" in plan
+
+
+def test_words_beside_marks(spark):
+    """The first word beside marks: none before the first word, and the next place if there is none."""
+    from graphloom.sources import texts
+
+    df = spark.createDataFrame([("CRC x BW BW 7 CRC, BW",), ("CRC",), ("5 CRC MTU",)], "joined string")
+    got = [tuple(r) for r in df.select(texts._near(True, "CRC"), texts._near(False, "BW"), texts._near(False, "MTU")).collect()]
+    assert got == [(None, "BW", None), (None, None, None), ("5", None, None)]
