@@ -103,7 +103,7 @@ def _of_one_size(rows: DataFrame, size: int, bound: float, total: int, k: int, q
     spark = rows.sparkSession
     exact = np.float64 if bound < 2.0**52 else np.int64 if bound < 2.0**62 else object
     stored = np.int32 if bound < 2.0**61 else np.int64
-    sample = rows.orderBy(F.xxhash64("id"), "id").select("v").limit(PIVOT_ROWS).toArrow().combine_chunks()
+    sample = _least(rows, total).orderBy(F.xxhash64("id"), "id").select("v").limit(PIVOT_ROWS).toArrow().combine_chunks()
     x = _matrix(sample["v"].combine_chunks() if sample["v"].num_chunks != 1 else sample["v"].chunk(0))
     space = Space(float(bound), np.zeros((0, size + 1)))
     space.pivots = _pivots(np.unique(space.lift(x), axis=0), pivots)
@@ -190,6 +190,17 @@ def _of_one_size(rows: DataFrame, size: int, bound: float, total: int, k: int, q
     return _best(every, k).select("query_id", "rank", "vec_id", "score")
 
 
+def _least(rows: DataFrame, total: int) -> DataFrame:
+    """Rows of which some thousands of the least hashes are all that tasks send to the driver, PIVOT_ROWS at least.
+
+    Without a bound on the hash, each task would send PIVOT_ROWS vectors of its own.
+    """
+    if total <= 4 * PIVOT_ROWS:
+        return rows
+    few = rows.where(F.xxhash64("id") < int(-(2**63) + 2**64 * (4 * PIVOT_ROWS / total)))
+    return few if few.limit(PIVOT_ROWS).count() == PIVOT_ROWS else rows
+
+
 def _reach(space: Space) -> float:
     """A bound of distances between lifted vectors and pivots."""
     return max(2 * np.sqrt(space.bound) + np.sqrt((space.pivots**2).sum(1)).max(initial=0.0), 1.0)

@@ -293,3 +293,16 @@ def test_pipeline_on_nothing(spark, tmp_path):
     empty(spark).select(*corpus_pipeline.COLUMNS).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_pivot_sample_is_small_before_it_is_sorted(spark, monkeypatch):
+    """What may be sent for the sample does not grow with the rows, and the rows taken are the same."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(pivots, "PIVOT_ROWS", 50)
+    rows = spark.range(5000).select("id")
+    order = lambda df: [r["id"] for r in df.orderBy(F.xxhash64("id"), "id").limit(50).collect()]
+    few = pivots._least(rows, 5000)
+    assert few.count() < 400 and order(few) == order(rows)
+    same = spark.range(5000).select(F.lit(7).cast("long").alias("id"))
+    assert pivots._least(same, 5000).count() == 5000
