@@ -3,9 +3,12 @@
 import numpy as np
 import pytest
 
+from graphloom.frame import Topology
+from graphloom.gnn import links as L
 from graphloom.gnn import models as M
 from graphloom.gnn import passing
 from graphloom.gnn import tape as T
+from graphloom.operators import detect
 
 
 def ring(n=8, seed=42):
@@ -80,3 +83,30 @@ def test_unknown_aggregator(spark):
     with pytest.raises(ValueError):
         M.sage(4, [3], 2, "median")
     assert T.relu(T.lift(-1.0)).data == 0
+
+
+@pytest.mark.parametrize("tasks", [False, True])
+def test_autoencoder_of_links_equals_dense(spark, monkeypatch, tasks):
+    monkeypatch.setattr(L, "BLOCK", 16)
+    rng = np.random.RandomState(3)
+    n, (i, j) = 70, rng.randint(0, 70, (2, 150))  # with loops and repeated links
+    a, x = np.zeros((n, n)), rng.randn(n, 4)
+    a[i, j] = a[j, i] = 1
+    links = L.Links(n, i, j, detect._by_tasks(spark) if tasks else L.here)
+    dense, sparse = M.Autoencoder(4, 6, 3), M.Autoencoder(4, 6, 3)
+    want, got = dense.train(x, a, 4, 0.01), sparse.train(x, links, 4, 0.01)
+    assert [r[1] for r in got.rows] == pytest.approx([r[1] for r in want.rows], abs=1e-9)
+    node, edges, score = dense.scores(x, a)
+    by_node, by_cell = sparse.errors(x, links)
+    assert np.allclose(by_node, node, atol=1e-9) and by_node.mean() == pytest.approx(score)
+    assert np.allclose(by_cell, [edges[k] for k in zip(links.i.tolist(), links.j.tolist())], atol=1e-9) and len(by_cell) == len(edges)
+
+
+def test_detector_beyond_dense_matrices(spark, monkeypatch):
+    monkeypatch.setattr(detect, "DENSE_LIMIT", 3)
+    monkeypatch.setattr(detect, "HERE_LIMIT", 3)
+    nodes = spark.createDataFrame([(c, "router", ["Router"], 0.5) for c in "abcdef"], "id string, type string, capabilities array<string>, utilization double")
+    g = Topology(nodes, spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "d"), ("a", "c")], "src string, dst string"))
+    got = detect.Detector(4, 2).fit(g, 2).detect(g)
+    assert sorted(r["id"] for r in got["node_scores"].collect()) == list("abcdef")
+    assert got["edge_scores"].count() == 8 and 0 < got["graph_score"] < 1
