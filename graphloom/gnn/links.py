@@ -16,19 +16,24 @@ ROWS, COLUMNS, BLOCK = 64, 1024, 512
 EPS = 1e-10  # as in binary_cross_entropy
 
 
-def _probabilities(z: np.ndarray, lo: int, hi: int) -> np.ndarray:
-    """For rows lo to hi: the sum of p over all columns, where p is the sigmoid of the rows' inner product."""
-    out = np.zeros((hi - lo, 1))
-    for r in range(lo, hi, ROWS):
-        x = -z[r : min(r + ROWS, hi)]
-        for c in range(0, len(z), COLUMNS):
-            s = x @ z[c : c + COLUMNS].T
+def sigmoid_sums(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """For each row of x: the sum over the rows of y of the sigmoid of their inner product."""
+    out = np.zeros(len(x))
+    for r in range(0, len(x), ROWS):
+        part = -x[r : r + ROWS]
+        for c in range(0, len(y), COLUMNS):
+            s = part @ y[c : c + COLUMNS].T
             np.exp(np.clip(s, -500, 500, out=s), out=s)
             s += 1
-            out[r - lo : r - lo + len(x), 0] += np.reciprocal(s, out=s).sum(1)
+            out[r : r + ROWS] += np.reciprocal(s, out=s).sum(1)
     return out
 
 
+def _probabilities(z: np.ndarray, lo: int, hi: int) -> np.ndarray:
+    """For rows lo to hi: the sum of p over all columns, where p is the sigmoid of the rows' inner product."""
+    return sigmoid_sums(z[lo:hi], z)[:, None]
+
+
 def _slopes(z: np.ndarray, lo: int, hi: int) -> np.ndarray:
     """For rows lo to hi, over all columns: the sum of z by p * (1 - p) / (1 - p + EPS), and that of log(1 - p + EPS)."""
     k = z.shape[1]

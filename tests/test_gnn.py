@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from graphloom.frame import Topology
 from graphloom.gnn import links as L
@@ -110,3 +111,17 @@ def test_detector_beyond_dense_matrices(spark, monkeypatch):
     got = detect.Detector(4, 2).fit(g, 2).detect(g)
     assert sorted(r["id"] for r in got["node_scores"].collect()) == list("abcdef")
     assert got["edge_scores"].count() == 8 and 0 < got["graph_score"] < 1
+
+
+def test_node_errors_send_vectors_once(spark, monkeypatch):
+    monkeypatch.setattr(passing, "CHUNK", 8 * 3 * 25)  # 4 chunks
+    v = np.random.RandomState(5).randn(90, 3)
+    h = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(v)], "id long, h array<double>")
+    got = passing.node_errors(h, spark.createDataFrame([(0, 1), (1, 0), (4, 4)], "src long, dst long"), 8)
+    assert "explode" not in got._jdf.queryExecution().toString().lower()  # no copy of a block for each other block
+    p = 1 / (1 + np.exp(-v @ v.T))
+    p[[0, 1, 4], [1, 0, 4]] = 1 - p[[0, 1, 4], [1, 0, 4]]
+    rows = sorted(got.collect())
+    assert [r["id"] for r in rows] == list(range(90)) and np.allclose([r["score"] for r in rows], p.mean(1))
+    none = passing.node_errors(h.where("id < 0"), h.where("id < 0").select(F.col("id").alias("src"), F.col("id").alias("dst")))
+    assert none.collect() == []
