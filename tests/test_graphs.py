@@ -99,6 +99,30 @@ def test_betweenness_kernel_and_joins_agree(spark, hierarchy, monkeypatch):
     assert want["dist1"]["betweenness"] == max(v["betweenness"] for v in want.values())
 
 
+@pytest.mark.parametrize("many", [0, 10**9])
+def test_pagerank_reads_edges_once(spark, monkeypatch, many):
+    monkeypatch.setattr(centrality, "MANY", many)
+    links = [("a", "b", 2.0), ("b", "c", 1.0), ("a", "c", None), ("c", "d", 3.0), ("d", "d", 1.0)]
+    read = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    e = spark.createDataFrame(links, "src string, dst string, weight double").mapInArrow(count, "src string, dst string, weight double")
+    got = {r["id"]: r["pagerank"] for r in centrality.pagerank(Topology(spark.createDataFrame([(c,) for c in "abcde"], "id string"), e), rounds=4).collect()}
+    assert read.value == len(links)
+    w = np.zeros((5, 5))
+    for x, y, v in links:
+        i, j = "abcde".index(x), "abcde".index(y)
+        w[i, j] = w[j, i] = 1.0 if v is None else v
+    rank, out = np.full(5, 0.2), w.sum(1)
+    for _ in range(4):
+        rank = 0.85 * ((rank[:4] / out[:4]) @ w[:4] + rank[4] / 5) + 0.03
+    assert [got[c] for c in "abcde"] == pytest.approx(rank.tolist())
+
+
 def test_pagerank_sums_to_one(spark, hierarchy):
     assert centrality.pagerank(hierarchy, rounds=8).agg(F.sum("pagerank")).head()[0] == pytest.approx(1)
     with pytest.raises(ValueError):
