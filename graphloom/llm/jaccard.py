@@ -41,6 +41,7 @@ ROUNDS = 4  # seed rounds at most; they end when one finds no link or few pairs
 FEW = 4  # pairs to look at for each row of the postings that are few enough for the last round
 STEPS = 4  # bands of size up to the ratio of sizes that may be linked
 SLICE_BYTES = 1_000_000
+SMALL = 50_000  # links of which one task finds the components, 16 bytes each; beyond, joins do
 
 
 def _sets(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -350,7 +351,7 @@ def components(df: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", te
         checked = checked.union(new)
         found = not new.where("linked").isEmpty()
         if found or comp is None:
-            comp = materialise(connected_components(checked.where("linked"), "a", "b"), "jaccard-components")
+            comp = materialise(connected_components(checked.where("linked"), "a", "b", small=SMALL), "jaccard-components")
         # Postings that still meet classes of different components, and the component that most of a posting's rows have.
         owned = met.join(comp.withColumnRenamed("id", "class"), "class", "left").withColumn("comp", F.coalesce("component", "class")).drop("component")
         split = owned.groupBy("key", "comp").agg(F.count("*").alias("rows")).groupBy("key").agg(F.sum("rows").alias("all"), F.max(F.struct("rows", "comp")).alias("most"), F.count("*").alias("comps")).where("comps > 1")
@@ -368,7 +369,7 @@ def components(df: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", te
     enough = shared.groupBy("a", "b").agg(F.count("*").alias("met"), F.min("need").alias("need")).where("met >= need").select("a", "b")
     more = materialise(_checked(enough.join(checked.select("a", "b"), ["a", "b"], "left_anti"), texts, percent).where("linked").select("a", "b"), "jaccard-links")
     if not more.isEmpty():
-        comp = materialise(connected_components(checked.where("linked").select("a", "b").union(more), "a", "b"), "jaccard-components")
+        comp = materialise(connected_components(checked.where("linked").select("a", "b").union(more), "a", "b", small=SMALL), "jaccard-components")
     least = comp.join(reps.withColumnRenamed("class", "id"), "id").select("id", "component", "rep")
     least = least.join(least.groupBy("component").agg(F.min("rep").alias("component_id")), "component").select(F.col("id").alias("class"), "component_id")
     by_class = reps.join(least, "class", "left").select("class", F.col("rep").alias("class_id"), F.coalesce("component_id", "rep").alias("component_id"))

@@ -109,6 +109,23 @@ def test_representatives_keep_all_columns(spark):
     assert sorted((r["doc_id"] or 0, r["_kept_id"], r["component_id"]) for r in got) == [(0, "x", 7), (1, "x", 7), (3, "x", 7), (4, "x", 7)]
 
 
+def test_jaccard_finds_components_of_few_links_in_one_task(spark, monkeypatch):
+    from graphloom.operators import components
+
+    def star(*_):
+        raise AssertionError("joins for a few links")
+
+    base = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join(base[:-1] + [f"x{i}"])) for i in range(6)] + [(9, "other words that stand on their own here")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    with monkeypatch.context() as m:
+        m.setattr(components, "_star", star)
+        got = {r["doc_id"]: r["component_id"] for r in jaccard.components(df).collect()}
+    assert got == {**dict.fromkeys(range(6), 0), 9: 9}
+    monkeypatch.setattr(jaccard, "SMALL", 0)
+    assert {r["doc_id"]: r["component_id"] for r in jaccard.components(df).collect()} == got
+
+
 def test_jaccard_empty(spark):
     assert jaccard.components(empty(spark)).count() == 0
 
