@@ -185,7 +185,7 @@ def _of_one_size(rows: DataFrame, size: int, bound: float, total: int, k: int, q
             q, a = np.nonzero(open_)
             yield pa.RecordBatch.from_arrays([pa.array(name[a]), b.column("id").take(pa.array(q)), b.column("v").take(pa.array(q))], ["annulus", "query_id", "q"])
 
-    more = asked.join(floor, asked["id"] == floor["query_id"], "left").select("id", "v", "least").mapInArrow(rest, "annulus long, query_id long, q array<long>")
+    more = asked.hint("merge").join(floor, asked["id"] == floor["query_id"], "left").select("id", "v", "least").mapInArrow(rest, "annulus long, query_id long, q array<long>")
     every = near.select("query_id", "vec_id", "score").union(_scored(more, index, size, k, chunks, exact, stored))
     return _best(every, k).select("query_id", "rank", "vec_id", "score")
 
@@ -207,7 +207,10 @@ def _reach(space: Space) -> float:
 
 
 def _scored(pairs: DataFrame, index: DataFrame, size: int, k: int, chunks: int, exact: type, stored: type) -> DataFrame:
-    """The k best of each query and block, ties to the smaller id. Queries meet a block in chunks, not one by one."""
+    """The k best of each query and block, ties to the smaller id. Queries meet a block in chunks, not one by one.
+
+    No side is broadcast: files of repeated vectors are small, and what is read from them is not.
+    """
 
     def run(batches):
         for b in batches:
@@ -234,7 +237,7 @@ def _scored(pairs: DataFrame, index: DataFrame, size: int, k: int, chunks: int,
                 yield pa.RecordBatch.from_arrays([pa.array(qid[x]), pa.array(ids[y]), pa.array(s[x, y])], ["query_id", "vec_id", "score"])
 
     salt = F.pmod(F.xxhash64("query_id"), F.lit(chunks))
-    met = pairs.groupBy("annulus", salt.alias("chunk")).agg(F.collect_list(F.struct("query_id", "q")).alias("asked")).join(index.select("annulus", "ids", "vectors"), "annulus")
+    met = pairs.groupBy("annulus", salt.alias("chunk")).agg(F.collect_list(F.struct("query_id", "q")).alias("asked")).join(index.select("annulus", "ids", "vectors").hint("merge"), "annulus")
     return met.select("asked", "ids", "vectors").mapInArrow(run, "query_id long, vec_id long, score long")
 
 

@@ -182,6 +182,14 @@ def test_top_k_is_exact(spark):
         pivots.top_k(spark.createDataFrame([(1, [1e300]), (2, [1.0])], "vec_id long, embedding array<double>"))
 
 
+def test_top_k_broadcasts_no_vectors(spark):
+    """Blocks of repeated vectors are small files; as broadcast tables they filled the driver."""
+    df = spark.createDataFrame([(i, [float(i % 7), 1.0, 2.0]) for i in range(300)], "vec_id long, embedding array<double>")
+    got = pivots.top_k(df, 3, pivots=4, block=8)
+    assert "BroadcastHashJoin" not in got._jdf.queryExecution().executedPlan().toString()
+    assert got.count() == 9
+
+
 def test_longest_previous_factors():
     rng = np.random.RandomState(0)
     for _ in range(15):
