@@ -6,6 +6,8 @@ run over all rows of a table, and what they must find follows from the table (LI
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -23,6 +25,17 @@ x AS (SELECT *, '10.' || (part // 200 % 200) || '.' || (part % 200) AS net, ret
 CODES = ("C", "S*", "O", "O IA", "O E2", "B", "D EX", "i L1")
 
 
+def _fill(template: str, *args) -> Column:
+    """What format_string gives for a template of %d and %s, without a formatter run by row."""
+    parts, names = re.split("%[ds]", template), [F.col(a) if isinstance(a, str) else a for a in args]
+    if len(parts) != len(names) + 1:
+        raise ValueError("as many columns as places")
+    out = [F.lit(parts[0])]
+    for a, x in zip(names, parts[1:]):
+        out += [F.coalesce(a.cast("string"), F.lit("null")), F.lit(x)]
+    return F.concat(*out)
+
+
 def lines(spark: SparkSession, d: str) -> DataFrame:
     """(device, k, part, supp, qty, net, r, a, f) of every order line; k counts the lines of an order.
 
@@ -31,7 +44,7 @@ def lines(spark: SparkSession, d: str) -> DataFrame:
     """
     w = W.partitionBy("device").orderBy(*KEYS)
     part = F.col("l_partkey")
-    net = F.format_string("10.%d.%d", F.floor(part / 200) % 200, part % 200)
+    net = _fill("10.%d.%d", F.floor(part / 200) % 200, part % 200)
     named = table(spark, d, "lineitem").select(F.concat(F.lit("o"), F.col("l_orderkey").cast("string")).alias("device"), *KEYS)
     named = named.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "device")
     return named.select("device", F.row_number().over(w).alias("k"), part.alias("part"), F.col("l_suppkey").alias("supp"), F.col("l_quantity").cast("int").alias("qty"), net.alias("net"), (F.col("l_returnflag") == "R").alias("r"), (F.col("l_returnflag") == "A").alias("a"), (F.col("l_linestatus") == "F").alias("f"))
@@ -47,30 +60,30 @@ def _texts(rows: DataFrame, block: Column, between: str = "", head: Column | str
 def lldp(spark: SparkSession, d: str) -> DataFrame:
     """Blocks in LLDP form. Those of quantity 50 have no system name; the description is on a line of its own."""
     able = F.when(F.col("r"), "System Capabilities: router, BRIDGE\n").when(F.col("a"), "System Capabilities: telephone\n").otherwise("")
-    name = F.when(F.col("qty") == 50, "").otherwise(F.format_string("System Name: s%d.example.org\n", "supp"))
-    reach = F.when(F.col("f"), F.format_string("Management Address: %s.%d\n", "net", "k")).otherwise("")
-    body = F.format_string("Local Intf: xe-%d\nPort id: p%d\n%sSystem Description:\n  rack %d\nTime To Live: %d\n%s%s", "k", "part", name, "qty", F.col("qty") + 60, able, reach)
+    name = F.when(F.col("qty") == 50, "").otherwise(_fill("System Name: s%d.example.org\n", "supp"))
+    reach = F.when(F.col("f"), _fill("Management Address: %s.%d\n", "net", "k")).otherwise("")
+    body = _fill("Local Intf: xe-%d\nPort id: p%d\n%sSystem Description:\n  rack %d\nTime To Live: %d\n%s%s", "k", "part", name, "qty", F.col("qty") + 60, able, reach)
     return _texts(lines(spark, d), body, "-" * 24 + "\n")
 
 
 def cdp(spark: SparkSession, d: str) -> DataFrame:
-    body = F.format_string("Device ID: s%d.example.org\nEntry address(es):\n  IP address: %s.%d\nPlatform: box %d, Capabilities: Router Switch\nInterface: Te1/%d,  Port ID (outgoing port): Te2/%d\n", "supp", "net", "k", "part", "k", "qty")
+    body = _fill("Device ID: s%d.example.org\nEntry address(es):\n  IP address: %s.%d\nPlatform: box %d, Capabilities: Router Switch\nInterface: Te1/%d,  Port ID (outgoing port): Te2/%d\n", "supp", "net", "k", "part", "k", "qty")
     return _texts(lines(spark, d), body, "-" * 30 + "\n")
 
 
 def ios(spark: SparkSession, d: str) -> DataFrame:
     """A routing table with a summary header; returned lines have no mask of their own."""
     code = F.element_at(F.array(*map(F.lit, CODES)), (F.col("part") % len(CODES) + 1).cast("int"))
-    mask = F.when(F.col("r"), "").otherwise(F.format_string("/%d", F.col("supp") % 8 + 17))
-    way = F.when(code == "C", F.format_string(" is directly connected, Gi0/%d", "k")).otherwise(F.format_string(" [%d/%d] via 10.0.%d.1, 00:%d:00, Te1/%d", F.col("qty") + 10, "part", F.col("supp") % 250, "k", "k"))
+    mask = F.when(F.col("r"), "").otherwise(_fill("/%d", F.col("supp") % 8 + 17))
+    way = F.when(code == "C", _fill(" is directly connected, Gi0/%d", "k")).otherwise(_fill(" [%d/%d] via 10.0.%d.1, 00:%d:00, Te1/%d", F.col("qty") + 10, "part", F.col("supp") % 250, "k", "k"))
     return _texts(lines(spark, d), F.concat(F.rpad(code, 6, " "), "net", F.lit(".0"), mask, way), "\n", "Codes: C - connected\nGateway of last resort is not set\n\n      10.0.0.0/8 is variably subnetted, 9 subnets\n")
 
 
 def junos(spark: SparkSession, d: str) -> DataFrame:
     proto = F.element_at(F.array(F.lit("OSPF"), F.lit("BGP"), F.lit("Static")), (F.col("part") % 3 + 1).cast("int"))
     age = F.when(F.col("a"), "2w ago ").otherwise("")
-    hop = F.when(F.col("f"), "").otherwise(F.format_string("to 10.1.%d.1 ", F.col("supp") % 250))
-    return _texts(lines(spark, d), F.format_string("%s.0/%d *[%s/%d] %s> %svia ge-0/0/%d.0", "net", F.col("supp") % 8 + 17, proto, "qty", age, hop, "k"), "\n", "inet.0: some destinations\n")
+    hop = F.when(F.col("f"), "").otherwise(_fill("to 10.1.%d.1 ", F.col("supp") % 250))
+    return _texts(lines(spark, d), _fill("%s.0/%d *[%s/%d] %s> %svia ge-0/0/%d.0", "net", F.col("supp") % 8 + 17, proto, "qty", age, hop, "k"), "\n", "inet.0: some destinations\n")
 
 
 def interfaces(spark: SparkSession, d: str) -> DataFrame:
@@ -87,15 +100,15 @@ def interfaces(spark: SparkSession, d: str) -> DataFrame:
 
 def snmp(spark: SparkSession, d: str) -> DataFrame:
     """A walk: the system group, then the tables of interfaces and neighbours. A counter occurs twice: the later one counts."""
-    names = F.when(F.col("f"), F.format_string('.1.3.6.1.2.1.31.1.1.1.1.%d = STRING: "xe-%d"\n', "k", "k")).otherwise("")
-    fast = F.when(F.col("r"), F.format_string("1.3.6.1.2.1.31.1.1.1.15.%d = Gauge32: %d\n", "k", "supp")).otherwise("")
+    names = F.when(F.col("f"), _fill('.1.3.6.1.2.1.31.1.1.1.1.%d = STRING: "xe-%d"\n', "k", "k")).otherwise("")
+    fast = F.when(F.col("r"), _fill("1.3.6.1.2.1.31.1.1.1.15.%d = Gauge32: %d\n", "k", "supp")).otherwise("")
     base, far = "1.3.6.1.2.1.2.2.1", "1.0.8802.1.1.2.1.4.1.1"
-    body = F.format_string(
+    body = _fill(
         f"{base}.10.%d = Counter32: 1\n{base}.2.%d = STRING: \"port %d\"\n{base}.5.%d = Gauge32: %d\n{base}.7.%d = INTEGER: %d\n{base}.8.%d = INTEGER: %d\n{base}.10.%d = Counter32: %d\n{base}.16.%d = %d\n%s%s{far}.9.0.%d.1 = STRING: \"s%d\"\n{far}.7.0.%d.1 = STRING: \"p%d\"\n# next\n",
         "k", "k", "k", "k", F.col("qty") * 1000000, "k", F.when(F.col("a"), 2).otherwise(1), "k", F.when(F.col("f"), 1).otherwise(3), "k", F.col("part") * 100, "k", F.col("part") * 50, names, fast, "k", "supp", "k", "part",
     )
     group = "1.3.6.1.2.1.1"
-    head = F.concat(F.format_string(f".{group}.1.0 = STRING: \"software of %s\"\n{group}.3.0 = %d\n{group}.5.0 = STRING: \"%s.example\"\n", "device", F.size("blocks") * 100, "device"))
+    head = F.concat(_fill(f".{group}.1.0 = STRING: \"software of %s\"\n{group}.3.0 = %d\n{group}.5.0 = STRING: \"%s.example\"\n", "device", F.size("blocks") * 100, "device"))
     return _texts(lines(spark, d), body, "", head)
 
 

@@ -13,7 +13,7 @@ def from_neighbors(neighbors: DataFrame) -> Topology:
     local = neighbors.select(F.col("local_device").alias("id"), F.lit("network_device").alias("type"), *[F.lit(None).cast(t).alias(c) for c, t in (("description", "string"), ("mgmt_address", "string"), ("capabilities", "array<string>"))], (F.col("ordinal") * 2).alias("ordinal"))
     remote = neighbors.select(F.col("remote_device").alias("id"), F.lit("network_device").alias("type"), F.col("remote_system_description").alias("description"), F.col("remote_mgmt_address").alias("mgmt_address"), F.col("remote_capabilities").alias("capabilities"), (F.col("ordinal") * 2 + 1).alias("ordinal"))
     edges = neighbors.select(F.col("local_device").alias("src"), F.col("remote_device").alias("dst"), "local_port", "remote_port", "protocol", "edge_id", "ttl", "ordinal")
-    return Topology.build(local.union(remote), edges, ordinal="ordinal")
+    return Topology.build(local.union(remote), edges, ordinal="ordinal", linked=True)
 
 
 def from_snmp(device: DataFrame, interfaces: DataFrame, neighbors: DataFrame) -> Topology:
@@ -27,6 +27,16 @@ def from_snmp(device: DataFrame, interfaces: DataFrame, neighbors: DataFrame) ->
     return Topology.build(here.union(there), edges, ordinal="ordinal")
 
 
+def from_stars(stars: DataFrame) -> Topology:
+    """from_snmp() of texts.snmp_stars(): a device's interfaces and neighbours come in its row, without joins."""
+    here = stars.select(F.col("hostname").alias("id"), F.lit("network_device").alias("type"), "sys_descr", "sys_location", F.col("sys_uptime").alias("uptime"), "interface_count", F.lit(1).alias("ordinal"))
+    ids = stars.select(F.explode("neighbors.system_name").alias("id")).distinct()
+    there = ids.select("id", F.lit("network_device").alias("type"), *[F.lit(None).cast(t).alias(c) for c, t in (("sys_descr", "string"), ("sys_location", "string"), ("uptime", "bigint"), ("interface_count", "int"))], F.lit(0).alias("ordinal"))
+    n = stars.select("hostname", F.inline("neighbors"))
+    edges = n.select(F.col("hostname").alias("src"), F.col("system_name").alias("dst"), F.col("port_id").alias("remote_port"), F.lit("lldp-mib").alias("protocol"), F.col("key").alias("ordinal"))
+    return Topology.build(here.union(there), edges, ordinal="ordinal", whole=True)
+
+
 def from_routes(routes: DataFrame) -> Topology:
     """A directed star of each router and its next hops; connected routes give none, the last route to a hop wins."""
     r = routes.where("next_hop <> '' and protocol <> 'connected'")

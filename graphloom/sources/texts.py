@@ -46,11 +46,13 @@ def _after(text: Column, mark: str) -> Column:
     return F.trim(F.substr(text, F.length(F.substring_index(text, mark, 1)) + 1 + len(mark)), F.lit(" \t\r"))
 
 
-def _labelled(blocks: DataFrame, cut: str = r"\r?\n") -> DataFrame:
+def _labelled(blocks: DataFrame, cut: str = "\n") -> DataFrame:
     """blocks with their fields: lower-case labels up to a line's first colon, and what follows, if need be on the next line."""
     trimmed = F.transform(F.split("block", cut), lambda x: F.trim(x, F.lit(" \t\r")))
     b = _once(blocks, parts=F.filter(trimmed, lambda x: x != ""))
-    label = lambda x: F.lower(F.regexp_replace(F.trim(F.substring_index(x, ":", 1), F.lit(" \t")), r"\s+", " "))
+    wide = lambda x: functools.reduce(Column.__or__, [x.contains(w) for w in ("  ", "\t", "\x0b", "\f", "\r")])
+    narrow = lambda x: F.when(wide(x), F.regexp_replace(x, r"\s+", " ")).otherwise(x)
+    label = lambda x: F.lower(narrow(F.trim(F.substring_index(x, ":", 1), F.lit(" \t"))))
     value = lambda x, i: F.coalesce(F.nullif(_after(x, ":"), F.lit("")), F.get("parts", i + 1))
     return _once(b, fields=F.transform("parts", lambda x, i: F.struct(F.when(x.contains(":"), label(x)).alias("label"), value(x, i).alias("value")))).drop("block", "parts")
 
@@ -186,6 +188,39 @@ def snmp_neighbors(texts: DataFrame) -> DataFrame:
     return got.where("system_name is not null").select("device", "key", "system_name", *[F.coalesce(n, F.lit("")).alias(n) for n in ("port_id", "port_desc", "system_desc")])
 
 
+def snmp_stars(texts: DataFrame) -> DataFrame:
+    """One row a device, with what a graph takes of snmp_device(), snmp_interfaces() and snmp_neighbors(), in one pass over the lines.
+
+    interface_count counts snmp_interfaces() of the device; neighbors holds snmp_neighbors()' key, system_name and port_id.
+    Only lines under the identifiers of these are parsed, and no more of them than the last of each name is kept.
+    """
+    system = {n: SYSTEM_OIDS[n] for n in ("sys_descr", "sys_uptime", "sys_name", "sys_location")}
+    ports = {n: INTERFACE_OIDS[n] for n in ("description", "if_name")}
+    far = {n: LLDP_OIDS[n] for n in ("port_id", "system_name")}
+    table = system | ports | far
+    # A row without a line stands for each text, so that a device without lines is there.
+    split = F.concat(F.array(F.lit(None).cast("string")), F.coalesce(F.split("value", "\n"), F.array().cast("array<string>")))
+    line = F.col("line")
+    some = functools.reduce(Column.__or__, [line.contains(x) for x in (SYSTEM_OIDS["sys_descr"][:-1], *ports.values(), *far.values())])
+    lines = texts.select("device", F.posexplode(split).alias("line_no", "line")).where(line.isNull() | line.contains("=") & some)
+    oid = F.ltrim(F.trim(F.substring_index("line", "=", 1), F.lit(" \t\r")), F.lit("."))
+    rows = _once(lines, oid=oid, rest=_after(line, "="))
+    rows = _once(rows, name=_under(table)).where(F.col("line").isNull() | F.col("name").isNotNull() & F.col("oid").rlike(r"^[\d.]+$"))
+    typed = F.substring_index("rest", ":", 1).rlike(r"^\w[\w-]*$") & F.col("rest").contains(":")
+    value = F.trim(F.when(typed, _after(F.col("rest"), ":")).otherwise(F.col("rest")), F.lit('"'))
+    kind = F.when(F.col("name").isin(*ports), "port").when(F.col("name").isin(*far), "far").otherwise(F.col("name"))
+    key = F.when(F.col("name").isin(*ports), F.substring_index("oid", ".", -1).cast("int").cast("string"))
+    for n, x in far.items():
+        key = F.when(F.col("name") == n, F.substring("oid", len(x) + 2, 1000)).otherwise(key)
+    rows = rows.select("device", "line_no", kind.alias("kind"), key.alias("key"), (F.col("name") == "port_id").alias("second"), value.alias("value"))
+    last = lambda second: F.max_by("value", F.when(F.col("second") == second, F.col("line_no")))
+    each = rows.groupBy("device", "kind", "key").agg(last(False).alias("value"), last(True).alias("port_id"))
+    of = {n: F.max(F.when(F.col("kind") == n, F.col("value"))) for n in system}
+    neighbor = F.when((F.col("kind") == "far") & F.col("value").isNotNull() & F.col("device").isNotNull(), F.struct("key", F.col("value").alias("system_name"), F.coalesce("port_id", F.lit("")).alias("port_id")))
+    text = [F.coalesce(of[n], F.lit("")).alias(n) for n in ("sys_descr", "sys_location")]
+    return each.groupBy("device").agg(F.coalesce(of["sys_name"], F.col("device")).alias("hostname"), *text, F.coalesce(of["sys_uptime"].try_cast("bigint"), F.lit(0)).alias("sys_uptime"), F.count_if(F.col("kind") == "port").cast("int").alias("interface_count"), F.collect_list(neighbor).alias("neighbors"))
+
+
 def _codes(code: Column) -> Column:
     table = F.create_map(*[F.lit(x) for kv in ROUTE_CODES.items() for x in kv])
     return F.coalesce(table[code], code)

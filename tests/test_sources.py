@@ -38,6 +38,26 @@ def test_routes(spark):
         texts.routes(text(spark, "ios"), "other")
 
 
+def test_stars_are_what_three_parsers_give(spark):
+    """One pass gives the graph of devices, interfaces and neighbours; a device without lines stays, later lines win."""
+    more = '\n'.join(['.1.3.6.1.2.1.1.5.0 = STRING: "one"', "1.3.6.1.2.1.1.5.0 = two", "1.3.6.1.2.1.2.2.1.2.1 = a", "1.3.6.1.2.1.31.1.1.1.1.1 = b", "1.3.6.1.2.1.2.2.1.2.2 = c", "1.3.6.1.2.1.2.2.1.5.3 = 9", "1.0.8802.1.1.2.1.4.1.1.9.0.1.1 = x", "1.0.8802.1.1.2.1.4.1.1.9.0.1.1 = y", "1.0.8802.1.1.2.1.4.1.1.9.0.2.1 = y", "1.0.8802.1.1.2.1.4.1.1.7.0.2.1 = p9", "1.0.8802.1.1.2.1.4.1.1.7.0.3.1 = p3", "1.3.6.1.2.1.1.3.0 = INTEGER: 7", "no line of 1.3.6.1.2.1.1.3.0"])
+    t = text(spark, "snmp").select("device", "value").union(spark.createDataFrame([("m", more), ("bare", ""), ("none", None)], "device string, value string"))
+    want = graphs.from_snmp(texts.snmp_device(t), texts.snmp_interfaces(t), texts.snmp_neighbors(t))
+    stars = texts.snmp_stars(t)
+    got = graphs.from_stars(stars)
+    rows = lambda df: sorted(map(str, df.collect()))
+    assert rows(got.nodes.select(*want.nodes.columns)) == rows(want.nodes) and rows(got.edges.select(*want.edges.columns)) == rows(want.edges)
+    assert stars._jdf.queryExecution().optimizedPlan().toString().count("posexplode") == 1
+
+
+def test_neighbor_graph_reads_records_once(spark):
+    t = text(spark, "lldp")
+    g = graphs.from_neighbors(texts.lldp_neighbors(t))
+    plain = type(g)(g.nodes, g.edges)
+    assert sorted(g.degree().collect()) == sorted(plain.degree().collect())
+    assert g.degree()._jdf.queryExecution().optimizedPlan().toString().count("posexplode") == 1
+
+
 def test_snmp(spark):
     t = text(spark, "snmp")
     assert texts.snmp_device(t).head()["hostname"] == "mast-2.example"
