@@ -47,20 +47,23 @@ def _after(text: Column, mark: str) -> Column:
 
 
 def _labelled(blocks: DataFrame, cut: str = "\n") -> DataFrame:
-    """blocks with their fields: lower-case labels up to a line's first colon, and what follows, if need be on the next line."""
+    """blocks with their trimmed lines as parts, and labels: what stands before a line's first colon, in lower case; NULL without one."""
     trimmed = F.transform(F.split("block", cut), lambda x: F.trim(x, F.lit(" \t\r")))
     b = _once(blocks, parts=F.filter(trimmed, lambda x: x != ""))
+    label = lambda x: F.when(x.contains(":"), F.lower(F.trim(F.substring_index(x, ":", 1), F.lit(" \t"))))
+    b = _once(b, labels=F.transform("parts", label))
     wide = lambda x: functools.reduce(Column.__or__, [x.contains(w) for w in ("  ", "\t", "\x0b", "\f", "\r")])
-    narrow = lambda x: F.when(wide(x), F.regexp_replace(x, r"\s+", " ")).otherwise(x)
-    label = lambda x: F.lower(narrow(F.trim(F.substring_index(x, ":", 1), F.lit(" \t"))))
-    value = lambda x, i: F.coalesce(F.nullif(_after(x, ":"), F.lit("")), F.get("parts", i + 1))
-    return _once(b, fields=F.transform("parts", lambda x, i: F.struct(F.when(x.contains(":"), label(x)).alias("label"), value(x, i).alias("value")))).drop("block", "parts")
+    one = F.transform("labels", lambda x: F.regexp_replace(x, r"\s+", " "))
+    return _once(b, labels=F.when(F.exists("labels", wide), one).otherwise(F.col("labels"))).drop("block")
 
 
 def _field(*names: str, whole: bool = True) -> Column:
-    """The value of the first field with one of the labels; not whole: or with one that ends so."""
-    fits = lambda f: f["label"].isin(*names) if whole else functools.reduce(Column.__or__, [f["label"].endswith(n) for n in names])
-    return F.get(F.filter("fields", fits), 0)["value"]
+    """What follows the first colon of the first line with one of the labels, or the next line; not whole: or with a label that ends so."""
+    fits = lambda x: x.isin(*names) if whole else functools.reduce(Column.__or__, [x.endswith(n) for n in names])
+    at = F.array_position(F.transform("labels", fits), True).cast("int")
+    bare = lambda x: F.length(F.substring_index(x, ":", 1)) + 1 == F.length(x)
+    value = lambda p: F.when(p > 0, F.when(bare(F.get("parts", p - 1)), F.get("parts", p)).otherwise(_after(F.get("parts", p - 1), ":")))
+    return F.get(F.transform(F.array(at), value), 0)
 
 
 def _word(text: Column) -> Column:
@@ -81,10 +84,12 @@ def _neighbors(rows: DataFrame) -> DataFrame:
 def _neighbor(rows: DataFrame, protocol: str, local: Column, remote: Column, port: Column, about: Column, able: Column, address: Column, ttl: Column) -> DataFrame:
     """Neighbour records of blocks; one without a local port or a remote device is none."""
     none = F.lit("")
-    rows = _once(rows, _local=local, _remote=remote, _port=port, _about=about, _able=able, _address=address, _ttl=ttl)
+    # Ends are looked at twice; the other columns are computed only where they are asked for.
+    rows = _once(rows, _local=local, _remote=remote).where("_local is not null and _remote is not null")
+    rows = rows.select("device", "ordinal", "_local", "_remote", *[c.alias(n) for n, c in (("_port", port), ("_about", about), ("_able", able), ("_address", address), ("_ttl", ttl))])
     port, about, able, address, ttl = (F.col(c) for c in ("_port", "_about", "_able", "_address", "_ttl"))
     got = rows.select(F.col("device").alias("local_device"), F.col("_local").alias("local_port"), F.col("_remote").alias("remote_device"), F.coalesce(port, F.lit("unknown")).alias("remote_port"), F.coalesce(about, none).alias("remote_system_description"), C.capabilities(able).alias("remote_capabilities"), F.coalesce(address, none).alias("remote_mgmt_address"), F.coalesce(ttl.try_cast("int"), F.lit(120)).alias("ttl"), F.lit(protocol).alias("protocol"), "ordinal")
-    return _neighbors(got.where("local_port is not null and remote_device is not null"))
+    return _neighbors(got)
 
 
 def lldp_neighbors(texts: DataFrame, compat: bool = False) -> DataFrame:
