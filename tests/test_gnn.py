@@ -125,3 +125,15 @@ def test_node_errors_send_vectors_once(spark, monkeypatch):
     assert [r["id"] for r in rows] == list(range(90)) and np.allclose([r["score"] for r in rows], p.mean(1))
     none = passing.node_errors(h.where("id < 0"), h.where("id < 0").select(F.col("id").alias("src"), F.col("id").alias("dst")))
     assert none.collect() == []
+
+
+def test_anomaly_report_trains_in_full(spark, monkeypatch):
+    """The report's autoencoder has the detector's own sizes and rounds of training."""
+    from graphloom.plans import queries
+
+    seen = []
+    plain = M.Autoencoder.train
+    monkeypatch.setattr(queries.I, "site", lambda s, d: Topology(s.createDataFrame([(c, "router", ["Router"], 0.5) for c in "abcd"], "id string, type string, capabilities array<string>, utilization double"), s.createDataFrame([("a", "b"), ("b", "c"), ("c", "d")], "src string, dst string")))
+    monkeypatch.setattr(M.Autoencoder, "train", lambda self, x, a, epochs, rate: seen.append((epochs, self.encode(x, a)[1].data.shape[1])) or plain(self, x, a, epochs, rate))
+    assert queries.anomaly_report(spark, "").count() == 4
+    assert seen == [(100, 16)]
